@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kvstrata.llm import decontaminate, sentencepiece_bpe
+from kvstrata.llm import chat, decontaminate, pii, quality, sentencepiece_bpe, token_files, warc
 from kvstrata.llm.common import table
 
 
@@ -22,6 +22,37 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.encode_documents(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), with_ids=False, with_text=False)
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"))
+
+
+#: The queries' key; a deployment passes its own.
+PII_KEY = "kvstrata-demo-key"
+
+
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.pseudonymize(docs, PII_KEY)
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.round_trip(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=2)
+
+
+#: A conversation that says what the template says.
+_CONTROL = r"\### Assistant: </turn> ok"
+
+
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.sql(f"SELECT CAST(-7 AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, role, '{_CONTROL}' AS text FROM VALUES (0, 'user'), (1, 'assistant') AS t(turn, role)")
+    return chat.round_trip(rows.unionByName(extra))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "item_ids"), 256).alias("items_sha256"), "contaminated")
@@ -29,16 +60,29 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op2_quality": op2_quality,
+    "op3_pii": op3_pii,
+    "op6_warc": op6_warc,
+    "op8_token_files": op8_token_files,
+    "op9_chat": op9_chat,
     "op10_decontamination": op10_decontamination,
 }
 
 _WORDS10 = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 ORACLES: dict[str, str] = {
+    "op6_warc": """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages WHERE page_id IS NOT NULL),
+d AS (SELECT page_id, octet_length(b) AS n, sha256(b) AS h FROM p),
+f AS (SELECT h, min(page_id) AS first FROM d WHERE n >= 100 GROUP BY h)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, h AS payload_digest,
+  CASE WHEN first IS NULL OR first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN first <> page_id THEN first END AS refers_to
+FROM d LEFT JOIN f USING (h)""",
     "op10_decontamination": f"""
 WITH d AS (SELECT doc_id, coalesce({_WORDS10}, CAST([] AS VARCHAR[])) AS w FROM documents),
 b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS10} AS w FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
-bw AS (SELECT DISTINCT item, least(len(w), 8) AS m, unnest(list_transform(range(1, greatest(len(w) - 8, 0) + 2), i -> array_to_string(w[i:i+7], ' '))) AS win FROM b WHERE len(w) > 0),
+bw AS (SELECT DISTINCT item, least(len(w), 8) AS m, unnest(list_transform(range(1, greatest(len(w) - 8, 0) + 2), lambda i: array_to_string(w[i:i+7], ' '))) AS win FROM b WHERE len(w) > 0),
 ms AS (SELECT DISTINCT m FROM bw),
 dw AS (SELECT doc_id, m, p, array_to_string(w[p:p+m-1], ' ') AS win FROM (SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS p FROM d, ms WHERE len(w) >= m)),
 hit AS (SELECT DISTINCT dw.doc_id, dw.m, dw.p, bw.item FROM dw JOIN bw ON dw.m = bw.m AND dw.win = bw.win),
