@@ -35,13 +35,25 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/kvstrata/{label}-{uuid.uuid4().hex}"
 
 
+#: Settings while a table is written: Arrow batches stay small even if every row holds a
+#: very long text, and shuffle files go as soon as the table is there.
+_WRITING = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it again: what
     was computed survives the loss of any executor, and its size is known to the
-    optimizer."""
+    optimizer. ``release`` deletes it."""
     spark = df.sparkSession
     path = shared_path(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
+    before = {k: spark.conf.get(k, None) for k in _WRITING}
+    try:
+        for k, v in _WRITING.items():
+            spark.conf.set(k, v)
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
     out = spark.read.schema(df.schema).parquet(path)
     out._kvstrata_path = path
     return out

@@ -88,7 +88,7 @@ def _by_class(value: str, classes: list[str], key: str, tweak: str) -> str:
 
 def _luhn(digits: str) -> str:
     """SQL of the Luhn sum (mod 10) of a string of digits, the last one not doubled."""
-    return f"pmod(aggregate(transform(split(reverse({digits}), ''), (c, i) -> CASE WHEN i % 2 = 0 THEN CAST(c AS INT) ELSE CAST(c AS INT) * 2 DIV 10 + CAST(c AS INT) * 2 % 10 END), 0, (s, x) -> s + x), 10)"
+    return f"pmod(aggregate(transform(split(reverse({digits}), ''), (c, i) -> CASE WHEN i % 2 = 0 THEN CAST(c AS INT) ELSE CAST(c AS INT) * 2 DIV 10 + CAST(c AS INT) * 2 % 10 END), 0L, (s, x) -> s + x), 10)"
 
 
 def _mod97(text: str) -> str:

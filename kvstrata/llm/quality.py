@@ -24,8 +24,8 @@ SPACE = r"[\x20\x09-\x0D]"
 #: name -> (per ten thousand words or characters, slack: what any text may have)
 METRICS = {
     "symbols": ("10000 * n_symbols DIV greatest(word_chars, 1)", 200),
-    "dup_lines": ("10000 * n_dup_lines DIV greatest(n_lines, 1)", 2000),
-    "repeats": ("10000 * n_repeat_words DIV greatest(n_words, 1)", 500),
+    "dup_lines": ("10000 * n_dup_lines DIV greatest(n_lines, 1)", 5000),
+    "repeats": ("10000 * n_repeat_words DIV greatest(n_words, 1)", 2000),
     "capitals": ("10000 * n_capitals DIV greatest(word_chars, 1)", 1500),
     "marks": ("10000 * n_marks DIV greatest(word_chars, 1)", 400),
     "word_length": ("100 * word_chars DIV greatest(n_words, 1)", 300),
