@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kvstrata.llm import chat, decontaminate, neardup, pii, quality, sentencepiece_bpe, token_files, warc
+from kvstrata.llm import chat, decontaminate, neardup, pii, quality, sentencepiece_bpe, substring, token_files, warc
 from kvstrata.llm.common import table
 
 
@@ -39,6 +39,10 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), shingle=2, similarity=80)
 
 
+def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.repeats(table(spark, sf_dir, "documents"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -67,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
     "op3_pii": op3_pii,
     "op4_near_duplicates": op4_near_duplicates,
+    "op5_repeats": op5_repeats,
     "op6_warc": op6_warc,
     "op8_token_files": op8_token_files,
     "op9_chat": op9_chat,
@@ -85,6 +90,15 @@ r AS (SELECT DISTINCT a AS doc_id, a AS root FROM e UNION SELECT e.b, r.root FRO
 m AS (SELECT doc_id, min(root) AS root FROM r GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(root, d.doc_id) AS component_id, coalesce(root, d.doc_id) = d.doc_id AS kept
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)""".replace("\\\\", "\\"),
+    "op5_repeats": r"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), CAST([] AS VARCHAR[])) AS w FROM documents),
+v AS MATERIALIZED (SELECT doc_id, p, array_to_string(w[p:p+12], ' ') AS win FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS p FROM d WHERE len(w) >= 13)),
+f AS (SELECT win, min(doc_id) AS first FROM v GROUP BY win),
+g AS (SELECT DISTINCT doc_id, unnest(range(p, p + 13)) AS q FROM v JOIN f USING (win) WHERE first < doc_id),
+r AS (SELECT doc_id, list(q) AS gone FROM g GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+  sha256(array_to_string(CASE WHEN gone IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(gone, i)) END, ' ')) AS kept_sha256
+FROM d LEFT JOIN r USING (doc_id)""",
     "op6_warc": """
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages WHERE page_id IS NOT NULL),
 d AS (SELECT page_id, octet_length(b) AS n, sha256(b) AS h FROM p),
