@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kvstrata.llm import chat, decontaminate, neardup, pii, quality, sentencepiece_bpe, substring, token_files, warc
+from kvstrata.llm import chat, decontaminate, neardup, ngram_lm, pii, quality, sentencepiece_bpe, substring, token_files, warc
 from kvstrata.llm.common import table
 
 
@@ -47,6 +47,10 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op7_ngram_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.split_and_score(table(spark, sf_dir, "documents"))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=2)
 
@@ -73,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_near_duplicates": op4_near_duplicates,
     "op5_repeats": op5_repeats,
     "op6_warc": op6_warc,
+    "op7_ngram_model": op7_ngram_model,
     "op8_token_files": op8_token_files,
     "op9_chat": op9_chat,
     "op10_decontamination": op10_decontamination,
