@@ -92,7 +92,7 @@ def split_exact(commands: DataFrame, target_bytes: int, file: list[str]) -> Data
     stays bounded."""
     from pyspark.sql import types as T
 
-    schema = T.StructType([*commands.schema.fields, T.StructField("part", T.LongType())])
+    schema, names = T.StructType([*commands.schema.fields, T.StructField("part", T.LongType())]), commands.columns
 
     def run(batches):
         import pyarrow as pa
@@ -107,7 +107,7 @@ def split_exact(commands: DataFrame, target_bytes: int, file: list[str]) -> Data
                     part, size = part + 1, 0
                 parts.append(part)
                 size += n
-            yield pa.RecordBatch.from_arrays([*(b[c] for c in commands.columns), pa.array(parts, pa.int64())], [*commands.columns, "part"])
+            yield pa.RecordBatch.from_arrays([*(b[c] for c in names), pa.array(parts, pa.int64())], [*names, "part"])
 
     sized = commands.withColumn("__size", command_size(F.col("key"), F.col("op"), F.col("value")))
     return sized.repartition(*file).sortWithinPartitions(*file, "key", "tsn").mapInArrow(run, schema)
