@@ -40,22 +40,27 @@ def shared_path(spark: SparkSession, label: str) -> str:
 _WRITING = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it again: what
     was computed survives the loss of any executor, and its size is known to the
-    optimizer. ``release`` deletes it."""
+    optimizer. With ``by``, the table lies in buckets of that column, so that later joins
+    on it need not shuffle it. ``release`` deletes it."""
     spark = df.sparkSession
     path = shared_path(spark, label)
     before = {k: spark.conf.get(k, None) for k in _WRITING}
     try:
         for k, v in _WRITING.items():
             spark.conf.set(k, v)
-        df.write.option("compression", "zstd").parquet(path)
+        if by:
+            n, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"kvstrata_{uuid.uuid4().hex}"
+            df.repartition(n, by).write.option("compression", "zstd").option("path", path).bucketBy(n, by).saveAsTable(name)
+        else:
+            df.write.option("compression", "zstd").parquet(path)
     finally:
         for k, v in before.items():
             spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._kvstrata_path = path
+    out = spark.table(name) if by else spark.read.schema(df.schema).parquet(path)
+    out._kvstrata_path, out._kvstrata_name = path, name if by else None
     return out
 
 
@@ -63,6 +68,8 @@ def release(*frames: DataFrame) -> None:
     """Delete tables that ``materialize`` wrote and that nothing reads any more."""
     for df in frames:
         path = getattr(df, "_kvstrata_path", None)
+        if getattr(df, "_kvstrata_name", None):
+            df.sparkSession.sql(f"DROP TABLE IF EXISTS {df._kvstrata_name}")
         if path:
             remove_path(df.sparkSession, path)
 

@@ -7,15 +7,16 @@ signatures that differ in at most 31 symbols have, by the pigeonhole principle,
 with at most one error, so they share a key: every pair within that signature distance
 is found. (Texts with a similarity of 0.8 share no key with probability 5e-10.)
 
-Pairs that share a key are candidates. A second signature of 128 one-bit minima rules out
-those that are too far apart by more than 6.5 standard deviations; the rest is confirmed
+Pairs that share a key are candidates. A second signature of 512 one-bit minima rules out
+those that are too far apart by more than 6 standard deviations; the rest is confirmed
 on the full sets of 64-bit shingle hashes. Sets that are equal count once, from the start.
 
 Within a bucket of documents with one key, not all pairs are made. In a few rounds each
-document meets the bucket's first member and its nearest one that it isn't yet connected
+document meets the bucket's first member and the nearest ones that it isn't yet connected
 with; confirmed links join components. Then all remaining candidates between *different*
-components are tested, in blocks of bounded size, so no link that matters is lost: two
-candidates are left untested only if they are already connected.
+components are tested: the sets of two components with a candidate between them meet in
+tasks, in blocks of bounded size, and only confirmed links leave a task. No link that
+matters is lost: two candidates are left untested only if they are connected.
 
 Defined results: a null or wordless text has an empty set and is linked with nothing; a
 text with fewer words than a shingle is one shingle of all its words; rows that share an
@@ -37,10 +38,10 @@ from pyspark.sql import functions as F
 from kvstrata.llm.common import LOWER, hash_words, materialize, mix, release, window_hashes
 
 CHUNKS, CHUNK = 16, 5  # symbols: 80
-BITS = 128
+SYMBOLS, BITS = CHUNKS * CHUNK, 512
 _RNG = np.random.default_rng(20240229)
-_A = _RNG.integers(1, 1 << 63, BITS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_B = _RNG.integers(0, 1 << 63, BITS, dtype=np.uint64)
+_A = _RNG.integers(1, 1 << 63, SYMBOLS + BITS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_B = _RNG.integers(0, 1 << 63, SYMBOLS + BITS, dtype=np.uint64)
 
 
 def shingles(text: bytes | None, size: int) -> np.ndarray:
@@ -49,15 +50,21 @@ def shingles(text: bytes | None, size: int) -> np.ndarray:
     return np.unique(window_hashes(hash_words(words), min(size, len(words)))) if words else np.zeros(0, np.uint64)
 
 
-def signature(items: np.ndarray) -> tuple[bytes, int, int]:
-    """80 symbols of 16 bits, and 128 one-bit symbols as two signed 64-bit integers."""
-    low = np.full(BITS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(items), 2048):
-        part = items[at : at + 2048]
-        np.minimum(low, (part[None, :] * _A[:, None] + _B[:, None]).min(1), out=low)
-    low = mix(low)
-    bits = np.packbits((low >> np.uint64(40) & np.uint64(1)).astype(np.uint8)).view("<i8")
-    return (low[: CHUNKS * CHUNK] & np.uint64(0xFFFF)).astype("<u2").tobytes(), int(bits[0]), int(bits[1])
+def _minima(items: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    low = np.full(len(a), np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(items), 1024):
+        np.minimum(low, (items[None, at : at + 1024] * a[:, None] + b[:, None]).min(1), out=low)
+    return mix(low)
+
+
+def signature(items: np.ndarray) -> bytes:
+    """80 symbols of 16 bits."""
+    return (_minima(items, _A[:SYMBOLS], _B[:SYMBOLS]) & np.uint64(0xFFFF)).astype("<u2").tobytes()
+
+
+def sketch(items: np.ndarray) -> bytes:
+    """512 symbols of one bit."""
+    return np.packbits((_minima(items, _A[SYMBOLS:], _B[SYMBOLS:]) >> np.uint64(40) & np.uint64(1)).astype(np.uint8)).tobytes()
 
 
 def keys(symbols: np.ndarray) -> np.ndarray:
@@ -74,26 +81,22 @@ def keys(symbols: np.ndarray) -> np.ndarray:
 
 
 def _signatures(docs: DataFrame, size: int) -> DataFrame:
-    """id, n (shingles), h1 and h2 (of the whole set), sig, s1 and s2, by row of (id, text)."""
-    names = ["id", "n", "h1", "h2", "sig", "s1", "s2"]
+    """id, n (shingles), h1 and h2 (of the whole set) and sig, by row of (id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_digest
 
         for batch in batches:
-            n, h, sig, s1, s2 = [], [], [], [], []
+            n, h, sig = [], [], []
             for text in batch["text"]:
                 items = shingles(text.as_py(), size)
                 n.append(len(items))
                 h.append(xxh3_128_digest(items.tobytes()))
-                a, b, c = signature(items)
-                sig.append(a)
-                s1.append(b)
-                s2.append(c)
+                sig.append(signature(items))
             two = np.frombuffer(b"".join(h), "<i8").reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([batch["id"], pa.array(n, pa.int64()), pa.array(two[:, 0].copy()), pa.array(two[:, 1].copy()), pa.array(sig, pa.binary()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64())], names)
+            yield pa.RecordBatch.from_arrays([batch["id"], pa.array(n, pa.int64()), pa.array(two[:, 0].copy()), pa.array(two[:, 1].copy()), pa.array(sig, pa.binary())], ["id", "n", "h1", "h2", "sig"])
 
-    return docs.mapInArrow(run, "id bigint, n bigint, h1 bigint, h2 bigint, sig binary, s1 bigint, s2 bigint")
+    return docs.mapInArrow(run, "id bigint, n bigint, h1 bigint, h2 bigint, sig binary")
 
 
 def _buckets(reps: DataFrame, chunk: int) -> DataFrame:
@@ -143,7 +146,13 @@ def _buckets(reps: DataFrame, chunk: int) -> DataFrame:
     return exploded.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(share, "key bigint, rep bigint, anchor bigint, block bigint")
 
 
-_ROW = ["key", "other", "rep", "anchor", "n", "s1", "s2", "label"]
+def _far(similarity: int) -> int:
+    """Sketches of sets with that similarity differ in no more bits (6 deviations)."""
+    p = (1 - similarity / 100) / 2
+    return math.ceil(BITS * p + 6 * math.sqrt(BITS * p * (1 - p)))
+
+
+_ROW = ["key", "other", "rep", "anchor", "n", "sketch", "label"]
 
 
 def _groups(batches: Iterator[pa.RecordBatch], limit: int | None) -> Iterator[list[np.ndarray]]:
@@ -156,10 +165,10 @@ def _groups(batches: Iterator[pa.RecordBatch], limit: int | None) -> Iterator[li
         return [np.concatenate(c) for c in zip(*held, strict=True)]
 
     for batch in batches:
-        cols = [batch[c].to_numpy() for c in _ROW]
-        k, o = cols[0], cols[1]
-        if not len(k):
+        if not batch.num_rows:
             continue
+        cols = [_sketches(batch[c]) if c == "sketch" else batch[c].to_numpy() for c in _ROW]
+        k, o = cols[0], cols[1]
         start = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (o[1:] != o[:-1])])
         for a, b in zip(start, np.r_[start[1:], len(k)], strict=True):
             part = [c[a:b] for c in cols]
@@ -172,12 +181,14 @@ def _groups(batches: Iterator[pa.RecordBatch], limit: int | None) -> Iterator[li
         yield take()
 
 
-def _candidates(rows: DataFrame, similarity: float, limit: int | None, every: bool) -> DataFrame:
-    """x, y, distance of pairs with different labels in the sorted ``rows`` of buckets.
-    ``every``: all that may be similar enough; else for each x the bucket's first member
-    and the nearest one."""
-    p = (1 - similarity) / 2
-    far = math.ceil(BITS * p + 6.5 * math.sqrt(BITS * p * (1 - p)))
+def _sketches(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<u8").reshape(len(column), -1)
+
+
+def _near(rows: DataFrame, similarity: int, limit: int, most: int) -> DataFrame:
+    """x, y and distance: for each x of the sorted ``rows`` of buckets the first member
+    and the ``most`` nearest ones with other labels."""
+    far = _far(similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
@@ -187,32 +198,22 @@ def _candidates(rows: DataFrame, similarity: float, limit: int | None, every: bo
             cols = [np.concatenate(c) for c in zip(*out, strict=True)]
             return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], ["x", "y", "distance"])
 
-        for _, _, rep, anchor, n, s1, s2, label in _groups(batches, limit):
-            if len(rep) < 2 or (label == label[0]).all():
+        for _, _, rep, anchor, n, sk, label in _groups(batches, limit):
+            if (label == label[0]).all():
                 continue
-            s1, s2 = s1.view(np.uint64), s2.view(np.uint64)
-            at_anchor = np.flatnonzero(rep == anchor[0])
+            first = int(np.searchsorted(rep, anchor[0])) if rep[0] <= anchor[0] else -1
             for i in range(len(rep)):
-                ok = label != label[i]
-                if every:
-                    ok[: i + 1] = False
-                ok &= np.minimum(n, n[i]) >= similarity * np.maximum(n, n[i]) - 1e-9
-                j = np.flatnonzero(ok)
+                j = np.flatnonzero((label != label[i]) & (100 * np.minimum(n, n[i]) >= similarity * np.maximum(n, n[i])))
                 if not len(j):
                     continue
-                d = (np.bitwise_count(s1[j] ^ s1[i]) + np.bitwise_count(s2[j] ^ s2[i])).astype(np.int64)
-                if every:
-                    near = d <= far
-                    j, d = j[near], d[near]
-                else:
-                    best = int(d.argmin())
-                    pick = [best] + [int(np.searchsorted(j, a)) for a in at_anchor if ok[a]]
-                    pick = [q for q in dict.fromkeys(pick) if d[q] <= far]
-                    j, d = j[pick], d[pick]
-                if len(j):
-                    x, y = np.minimum(rep[i], rep[j]), np.maximum(rep[i], rep[j])
-                    out.append((x, y, d) if every else (np.full(len(j), rep[i]), rep[j], d))
-                    count += len(j)
+                d = np.bitwise_count(sk[j] ^ sk[i]).sum(1, dtype=np.int64)
+                pick = d.argsort(kind="stable")[:most] if most < len(j) else np.arange(len(j))
+                if first >= 0 and label[first] != label[i]:
+                    pick = np.union1d(pick, np.flatnonzero(j == first))
+                pick = pick[d[pick] <= far]
+                if len(pick):
+                    out.append((np.full(len(pick), rep[i]), rep[j[pick]], d[pick]))
+                    count += len(pick)
                 if count >= 20_000:
                     yield batch_of()
                     out, count = [], 0
@@ -222,20 +223,47 @@ def _candidates(rows: DataFrame, similarity: float, limit: int | None, every: bo
     return rows.mapInArrow(run, "x bigint, y bigint, distance bigint")
 
 
+def _open_pairs(rows: DataFrame, similarity: int) -> DataFrame:
+    """a and b, a < b: labels of components with a candidate between them. ``rows`` are
+    the sorted buckets, or pairs of blocks of long ones."""
+    far = _far(similarity)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, rep, _, n, sk, label in _groups(batches, None):
+            if (label == label[0]).all():
+                continue
+            found = []
+            for i in range(len(rep) - 1):
+                j = i + 1 + np.flatnonzero((label[i + 1 :] != label[i]) & (100 * np.minimum(n[i + 1 :], n[i]) >= similarity * np.maximum(n[i + 1 :], n[i])))
+                if len(j):
+                    j = j[np.bitwise_count(sk[j] ^ sk[i]).sum(1, dtype=np.int64) <= far]
+                if len(j):
+                    other = np.unique(label[j])
+                    found.append(np.stack([np.minimum(other, label[i]), np.maximum(other, label[i])], 1))
+            if found:
+                found = np.unique(np.concatenate(found), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy())], ["a", "b"])
+
+    return rows.mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def _similar(a: np.ndarray, b: np.ndarray, similarity: int) -> bool:
+    """Whether ``100 * intersection >= similarity * union`` for two sorted sets."""
+    if len(a) > len(b):
+        a, b = b, a
+    at = np.searchsorted(b, a)
+    at[at == len(b)] = 0
+    both = int((b[at] == a).sum())
+    return 100 * both >= similarity * (len(a) + len(b) - both)
+
+
 def _confirm(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
-    """The pairs (x, y) whose full sets have ``100 * intersection >= similarity * union``."""
+    """The pairs (x, y) whose full sets are similar enough. ``sets`` lie in buckets by
+    rep, so only pairs, and one set for each, are shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = []
-            for a, b in zip(batch["sx"], batch["sy"], strict=True):
-                a, b = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
-                if len(a) > len(b):
-                    a, b = b, a
-                at = np.searchsorted(b, a)
-                at[at == len(b)] = 0
-                both = int((b[at] == a).sum())
-                ok.append(100 * both >= similarity * (len(a) + len(b) - both))
+            ok = [_similar(np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64), similarity) for a, b in zip(batch["sx"], batch["sy"], strict=True)]
             keep = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch["x"].filter(keep), batch["y"].filter(keep)], ["x", "y"])
 
@@ -244,6 +272,51 @@ def _confirm(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     return both.select("x", "y", "sx", "sy").mapInArrow(run, "x bigint, y bigint")
 
 
+def _confirm_blocks(open_: DataFrame, labels: DataFrame, sets: DataFrame, similarity: int, block: int) -> DataFrame:
+    """Links (x, y) between the components of each pair (a, b) of ``open_``.
+
+    The larger component of a pair is the host. Its members are dealt to blocks of about
+    ``block``; the other's members go to each of them and stream by, and meet every
+    member of the block. One link for each guest component and block will do."""
+    far = _far(similarity)
+    sizes = labels.groupBy("label").agg(F.count("*").alias("size"))
+    sized = open_.join(sizes.select(F.col("label").alias("a"), F.col("size").alias("na")), "a").join(sizes.select(F.col("label").alias("b"), F.col("size").alias("nb")), "b")
+    swap = F.col("nb") > F.col("na")
+    plan = sized.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("host"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("guest"), F.ceil(F.greatest("na", "nb") / block).cast("bigint").alias("blocks"))
+    hosts = plan.groupBy("host").agg(F.max("blocks").alias("blocks"))
+    inside = labels.join(hosts, F.col("label") == F.col("host")).select("host", F.pmod(F.xxhash64("rep"), F.col("blocks")).alias("part"), F.lit(0).alias("side"), "label", "rep")
+    guests = labels.join(plan, F.col("label") == F.col("guest")).select("host", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("part"), F.lit(1).alias("side"), "label", "rep")
+    rows = inside.unionByName(guests).join(sets.select("rep", "items", "sketch"), "rep")
+    cols = ["host", "part", "side", "label", "rep", "sketch", "items"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, sk, done = None, [], None, None
+        for batch in batches:
+            xs, ys = [], []
+            for host, part, side, label, rep, sketch_, items in zip(*(batch[c] if c == "items" else batch[c].to_pylist() for c in cols), strict=True):
+                if key != (host, part):
+                    key, held, sk, done = (host, part), [], None, None
+                if not side:
+                    held.append((rep, sketch_, np.frombuffer(items.as_py(), np.uint64)))
+                    continue
+                if done == label or not held:
+                    continue
+                if sk is None:
+                    sk = np.frombuffer(b"".join(x[1] for x in held), "<u8").reshape(len(held), -1)
+                mine = np.frombuffer(items.as_buffer(), np.uint64)
+                d = np.bitwise_count(sk ^ np.frombuffer(sketch_, "<u8")).sum(1, dtype=np.int64)
+                near = np.flatnonzero(d <= far)
+                for i in near[d[near].argsort(kind="stable")].tolist():
+                    if _similar(held[i][2], mine, similarity):
+                        xs.append(held[i][0])
+                        ys.append(rep)
+                        done = label
+                        break
+            yield pa.RecordBatch.from_arrays([pa.array(xs, pa.int64()), pa.array(ys, pa.int64())], ["x", "y"])
+
+    return rows.select(*cols).repartition("host", "part").sortWithinPartitions("host", "part", "side", "label").mapInArrow(run, "x bigint, y bigint")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node and root (the least node that it is connected with) for the nodes of
     ``edges`` (x, y) that aren't roots themselves.
@@ -297,40 +370,41 @@ def _join_salted(left: DataFrame, right: DataFrame, on: list[str], spread_by: st
     return a.join(b, [*on, "__salt"], "left").drop("__salt")
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 2, similarity: int = 80, rounds: int = 3, chunk: int = 4096) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 2, similarity: int = 80, rounds: int = 2, chunk: int = 4096, block: int = 1000) -> DataFrame:
     """Per row with its id: n_shingles, component_id (least id that it is connected with)
     and kept (whether that is its own). Runs at once; the result is read from tables."""
     source = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").cast("binary").alias("text"))
     sig = materialize(_signatures(source, shingle), "signatures")
     known = sig.where("id IS NOT NULL AND n > 0")
-    classes = materialize(known.groupBy("h1", "h2").agg(F.min(F.struct("id", "n", "sig", "s1", "s2")).alias("r"), F.count("*").alias("copies")).select("h1", "h2", "copies", F.col("r.id").alias("rep"), "r.n", "r.sig", "r.s1", "r.s2"), "classes")
+    classes = materialize(known.groupBy("h1", "h2").agg(F.min(F.struct("id", "n", "sig")).alias("r"), F.count("*").alias("copies")).select("h1", "h2", "copies", F.col("r.id").alias("rep"), "r.n", "r.sig"), "classes")
     members = materialize(_buckets(classes, chunk), "buckets")
-    info = materialize(members.select("rep").distinct().join(classes.select("rep", "n", "s1", "s2"), "rep"), "members")
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch["id"], pa.array([shingles(t.as_py(), shingle).tobytes() for t in batch["text"]], pa.binary())], ["rep", "items"])
+            items = [shingles(t.as_py(), shingle) for t in batch["text"]]
+            yield pa.RecordBatch.from_arrays([batch["id"], pa.array([len(x) for x in items], pa.int64()), pa.array([sketch(x) for x in items], pa.binary()), pa.array([x.tobytes() for x in items], pa.binary())], ["rep", "n", "sketch", "items"])
 
-    wanted = source.join(info.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
-    sets = materialize(wanted.mapInArrow(to_sets, "rep bigint, items binary"), "sets")
+    wanted = source.join(members.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
+    sets = materialize(wanted.mapInArrow(to_sets, "rep bigint, n bigint, sketch binary, items binary").where("n > 0"), "sets", by="rep")
+    info = materialize(sets.select("rep", "n", "sketch"), "members")
     labels = materialize(info.select("rep", F.col("rep").alias("label")).distinct(), "labels")
-    share = similarity / 100
     for number in range(rounds + 1):
-        every = number == rounds
         rows = members.join(info, "rep").join(labels, "rep")
-        if every:
+        if number < rounds:
+            rows = rows.withColumn("other", F.lit(0).cast("bigint")).select(*_ROW).repartition("key").sortWithinPartitions("key", "rep")
+            near = _near(rows, similarity, chunk, number + 1).groupBy("x").agg(F.slice(F.array_sort(F.collect_set(F.struct("distance", "y"))), 1, number + 1).alias("a"), F.min("y").alias("b"))
+            pairs = near.select("x", F.explode(F.array_distinct(F.concat(F.col("a.y") if number else F.array(), F.array("b")))).alias("y")).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+            links = materialize(_confirm(pairs, sets, similarity), "links")
+        else:
             # Only buckets that still hold several components; long ones as pairs of blocks.
-            open_ = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("block").alias("last")).where("lo <> hi").select("key", "last")
-            rows = rows.join(open_, "key").withColumn("b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("last")))).withColumn("other", F.least("block", "b") * (F.col("last") + 1) + F.greatest("block", "b"))
+            several = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("block").alias("last")).where("lo <> hi").select("key", "last")
+            rows = rows.join(several, "key").withColumn("b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("last")))).withColumn("other", F.least("block", "b") * (F.col("last") + 1) + F.greatest("block", "b"))
             rows = rows.select(*_ROW).repartition("key", "other").sortWithinPartitions("key", "other", "rep")
-            pairs = _candidates(rows, share, None, True).select("x", "y").distinct()
-        else:
-            rows = rows.withColumn("other", F.lit(0).cast("bigint")).select(*_ROW).repartition("key").sortWithinPartitions("key", "rep")
-            near = _candidates(rows, share, chunk, False).groupBy("x").agg(F.min(F.struct("distance", "y")).alias("a"), F.min(F.struct("y", "distance")).alias("b"))
-            pairs = near.select("x", F.explode(F.array_distinct(F.array("a.y", "b.y"))).alias("y")).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-        links = materialize(_confirm(pairs, sets, similarity), "links")
-        edges = _mapped(_mapped(links, labels.select(F.col("rep").alias("node"), F.col("label").alias("root")), "x"), labels.select(F.col("rep").alias("node"), F.col("label").alias("root")), "y")
-        roots = components(edges)
+            open_ = materialize(_open_pairs(rows, similarity), "open")
+            links = materialize(_confirm_blocks(open_, labels, sets, similarity, block), "links")
+            release(open_)
+        of = labels.select(F.col("rep").alias("node"), F.col("label").alias("root"))
+        roots = components(_mapped(_mapped(links, of, "x"), of, "y"))
         old, labels = labels, materialize(_mapped(labels, roots, "label"), "labels")
         release(old, links, roots)
     release(sets, members, info)

@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import pytest
@@ -8,8 +9,8 @@ from kvstrata.llm import neardup
 
 
 def sets_of(t, size):
-    w = "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "").split(" ")
-    w = [x for x in w if x]
+    w = "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")
+    w = re.findall(r"[^\x20\x09-\x0D]+", w)
     n = min(size, len(w))
     return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if w else set()
 
@@ -55,10 +56,10 @@ def cases_of(seed):
     return cases
 
 
-@pytest.mark.parametrize("size,chunk,rounds", [(2, 4096, 3), (5, 4096, 3), (2, 7, 1), (2, 5, 0)])
+@pytest.mark.parametrize("size,chunk,rounds", [(2, 4096, 2), (5, 4096, 2), (2, 7, 0)])
 def test_against_brute_force(spark, size, chunk, rounds):
     cases = cases_of(size)
-    out = neardup.near_duplicates(frame(spark, cases), shingle=size, chunk=chunk, rounds=rounds)
+    out = neardup.near_duplicates(frame(spark, cases), shingle=size, chunk=chunk, rounds=rounds, block=4 if chunk < 99 else 1000)
     assert rows(out, "doc_id", "n_shingles", "component_id", "kept") == expected(cases, size)
 
 
