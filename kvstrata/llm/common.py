@@ -87,24 +87,36 @@ def open_fs(path: str):
     return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
 
 
-_WORDS: dict[bytes, int] = {}
-_WORDS_MAX = 400_000
+class _WordHashes(dict):
+    """Hashes of words. A full memo becomes the ``old`` one of the next, so frequent words
+    stay and size is bounded by two memos."""
+
+    MOST = 300_000
+
+    def __init__(self, old: dict):
+        from xxhash import xxh3_64_intdigest
+
+        super().__init__()
+        self.old, self.make = old, xxh3_64_intdigest
+
+    def __missing__(self, word: bytes) -> int:
+        h = self.old.get(word)
+        if h is None:
+            h = self.make(word)
+        if len(word) <= 64:
+            self[word] = h
+        return h
+
+
+_WORDS = _WordHashes({})
 
 
 def hash_words(words: list[bytes]) -> np.ndarray:
     """64-bit hashes of words; a bounded memo makes repeated words cheap."""
-    from xxhash import xxh3_64_intdigest
-
-    memo = _WORDS
-    try:
-        return np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
-    except KeyError:
-        if len(memo) > _WORDS_MAX:
-            memo.clear()
-        for w in words:
-            if w not in memo:
-                memo[w] = xxh3_64_intdigest(w)
-        return np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
+    global _WORDS
+    if len(_WORDS) > _WordHashes.MOST:
+        _WORDS = _WordHashes(dict(_WORDS))
+    return np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
 
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)

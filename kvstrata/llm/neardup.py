@@ -155,7 +155,7 @@ def _far(similarity: int) -> int:
 _ROW = ["key", "other", "rep", "anchor", "n", "sketch", "label"]
 
 
-def _groups(batches: Iterator[pa.RecordBatch], limit: int | None) -> Iterator[list[np.ndarray]]:
+def _groups(batches: Iterator[pa.RecordBatch], limit: int | None, names: list[str] = _ROW) -> Iterator[list[np.ndarray]]:
     """Columns of each group of equal (key, other), in order. ``limit``: longer groups
     come in pieces; without it, groups are known to be short."""
     held: list[list[np.ndarray]] = []
@@ -167,7 +167,7 @@ def _groups(batches: Iterator[pa.RecordBatch], limit: int | None) -> Iterator[li
     for batch in batches:
         if not batch.num_rows:
             continue
-        cols = [_sketches(batch[c]) if c == "sketch" else batch[c].to_numpy() for c in _ROW]
+        cols = [_matrix(batch[c], _BINARY[c]) if c in _BINARY else batch[c].to_numpy() for c in names]
         k, o = cols[0], cols[1]
         start = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (o[1:] != o[:-1])])
         for a, b in zip(start, np.r_[start[1:], len(k)], strict=True):
@@ -181,8 +181,11 @@ def _groups(batches: Iterator[pa.RecordBatch], limit: int | None) -> Iterator[li
         yield take()
 
 
-def _sketches(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<u8").reshape(len(column), -1)
+_BINARY = {"sketch": "<u8", "sig": "<u2"}
+
+
+def _matrix(column, kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
 
 
 def _near(rows: DataFrame, similarity: int, limit: int, most: int) -> DataFrame:
@@ -225,18 +228,24 @@ def _near(rows: DataFrame, similarity: int, limit: int, most: int) -> DataFrame:
 
 def _open_pairs(rows: DataFrame, similarity: int) -> DataFrame:
     """a and b, a < b: labels of components with a candidate between them. ``rows`` are
-    the sorted buckets, or pairs of blocks of long ones."""
+    the sorted buckets, or pairs of blocks of long ones. Two documents meet in each bucket
+    that they share; the first of their shared keys alone reports them."""
     far = _far(similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, rep, _, n, sk, label in _groups(batches, None):
+        for key, _, rep, _, n, sk, label, sig in _groups(batches, None, [*_ROW, "sig"]):
             if (label == label[0]).all():
                 continue
-            found = []
+            found, all_keys = [], None
             for i in range(len(rep) - 1):
                 j = i + 1 + np.flatnonzero((label[i + 1 :] != label[i]) & (100 * np.minimum(n[i + 1 :], n[i]) >= similarity * np.maximum(n[i + 1 :], n[i])))
                 if len(j):
                     j = j[np.bitwise_count(sk[j] ^ sk[i]).sum(1, dtype=np.int64) <= far]
+                if len(j):
+                    if all_keys is None:
+                        all_keys = keys(sig).view(np.int64)
+                    first = (all_keys[j] == all_keys[i]).argmax(1)
+                    j = j[all_keys[i][first] == key[0]]
                 if len(j):
                     other = np.unique(label[j])
                     found.append(np.stack([np.minimum(other, label[i]), np.maximum(other, label[i])], 1))
@@ -382,11 +391,11 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             items = [shingles(t.as_py(), shingle) for t in batch["text"]]
-            yield pa.RecordBatch.from_arrays([batch["id"], pa.array([len(x) for x in items], pa.int64()), pa.array([sketch(x) for x in items], pa.binary()), pa.array([x.tobytes() for x in items], pa.binary())], ["rep", "n", "sketch", "items"])
+            yield pa.RecordBatch.from_arrays([batch["id"], pa.array([len(x) for x in items], pa.int64()), pa.array([sketch(x) for x in items], pa.binary()), pa.array([signature(x) for x in items], pa.binary()), pa.array([x.tobytes() for x in items], pa.binary())], ["rep", "n", "sketch", "sig", "items"])
 
     wanted = source.join(members.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
-    sets = materialize(wanted.mapInArrow(to_sets, "rep bigint, n bigint, sketch binary, items binary").where("n > 0"), "sets", by="rep")
-    info = materialize(sets.select("rep", "n", "sketch"), "members")
+    sets = materialize(wanted.mapInArrow(to_sets, "rep bigint, n bigint, sketch binary, sig binary, items binary").where("n > 0"), "sets", by="rep")
+    info = materialize(sets.select("rep", "n", "sketch", "sig"), "members")
     labels = materialize(info.select("rep", F.col("rep").alias("label")).distinct(), "labels")
     for number in range(rounds + 1):
         rows = members.join(info, "rep").join(labels, "rep")
@@ -399,7 +408,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             # Only buckets that still hold several components; long ones as pairs of blocks.
             several = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("block").alias("last")).where("lo <> hi").select("key", "last")
             rows = rows.join(several, "key").withColumn("b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("last")))).withColumn("other", F.least("block", "b") * (F.col("last") + 1) + F.greatest("block", "b"))
-            rows = rows.select(*_ROW).repartition("key", "other").sortWithinPartitions("key", "other", "rep")
+            rows = rows.select(*_ROW, "sig").repartition("key", "other").sortWithinPartitions("key", "other", "rep")
             open_ = materialize(_open_pairs(rows, similarity), "open")
             links = materialize(_confirm_blocks(open_, labels, sets, similarity, block), "links")
             release(open_)

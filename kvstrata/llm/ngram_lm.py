@@ -160,7 +160,7 @@ class _Shard:
         self.c.close()
 
 
-def _build(rows: DataFrame, level: int, folder: str, shards: int) -> DataFrame:
+def _build(rows: DataFrame, level: int, folder: str, shards: int, passes: int = 1) -> DataFrame:
     """Writes the arrays of one order. Returns a table of kinds of rows: 0, the n-grams
     for the next lower order (c: how many distinct n-grams they end); 1, how many n-grams
     have the count w (1 to 4) in c; 2, the name of shard w; 3, how many there are, and the
@@ -221,7 +221,9 @@ def _build(rows: DataFrame, level: int, folder: str, shards: int) -> DataFrame:
             yield out(3, [None], [*zeros(1), sums[:1]], sums[1:2].copy(), sums[2:].copy())
             yield out(2, [n for _, n in made], [*zeros(len(made)), np.array([i for i, _ in made])], np.zeros(len(made), np.int64), np.zeros(len(made), np.int64))
 
-    return rows.select(*cols_in).repartition(shards, "shard").sortWithinPartitions(*dict.fromkeys(["shard", names[0], "w"])).mapInArrow(run, schema)
+    # A partition for each shard of this pass; hashes of shard numbers would deal unevenly.
+    dealt = rows.select(*cols_in).repartitionById(-(-shards // passes), (F.col("shard") / passes).cast("int"))
+    return dealt.sortWithinPartitions(*dict.fromkeys(["shard", names[0], "w"])).mapInArrow(run, schema)
 
 
 def discounts(n: list[int]) -> tuple[float, float, float]:
@@ -371,7 +373,7 @@ def train(docs: DataFrame, *, text_col: str = "text", order: int = 2, passes: in
             if level > 1:
                 rows = rows.unionByName(_counted(source, order, level, shards))
             inputs = [rows]
-        done = [materialize(_build(x, level, folder, shards), f"ngrams-{level}") for x in inputs]
+        done = [materialize(_build(x, level, folder, shards, len(inputs)), f"ngrams-{level}") for x in inputs]
         release(*parts)
         parts = done
         seen = [0] * 4

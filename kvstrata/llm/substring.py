@@ -93,11 +93,12 @@ class Texts:
         best = low[at + c]
         return np.where(best == _NONE, mix(w ^ _SECOND), best) & ~_ONE
 
-    def symbols(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def symbols(self, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """First word, length, name and second name of the symbols that are worth
-        sharing. The lowest bit of names is 1."""
-        s, t = self.h, mix(self.h ^ _SECOND)
-        doc, size, start = self.doc, np.ones(len(s), np.int64), np.arange(len(s))
+        sharing, of all texts or the ``wanted`` ones. The lowest bit of names is 1."""
+        start = np.arange(len(self.h)) if wanted is None else np.flatnonzero(wanted[self.doc])
+        s, doc = self.h[start], self.doc[start]
+        t, size = mix(s ^ _SECOND), np.ones(len(s), np.int64)
         rank = np.zeros(len(s), np.int64)  # powers of four that the length has passed
         out: list[tuple] = []
         for level in range(200):
@@ -220,7 +221,8 @@ def _shared(rows: DataFrame, marks: bool) -> DataFrame:
 def _inside(x: Texts, known: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Marks words that lie in symbols known to repeat, and for each word how far the
     longest such symbol reaches that starts there or before it."""
-    first, size, s, _ = x.symbols()
+    known = [k[(k & _ONE) == _ONE] for k in known]
+    first, size, s, _ = x.symbols(np.array([len(k) > 0 for k in known], bool))
     n = len(x.h)
     hit = np.zeros(len(s), bool)
     owner = x.doc[first]

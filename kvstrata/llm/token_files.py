@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import io
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -123,7 +124,7 @@ class WordMemo(dict):
     """Packed ids of text parts, made by the tokenizers library and kept while they
     are frequent: two memos bound the size."""
 
-    MOST, CHARS = 300_000, 48
+    MOST, CHARS = 500_000, 48
 
     def __init__(self, tokenizer, old: dict):
         super().__init__()
@@ -140,8 +141,11 @@ class WordMemo(dict):
 
 class Encoder:
     """Encodes whole texts as the tokenizers library does. If the tokenizer drops white
-    space between words (it says so by its rules), texts are cut at ASCII white space
-    and parts encoded through a memo; else the library gets the whole text."""
+    space between words and splits letters from signs (a few probes tell), texts are cut
+    at ASCII white space, and between a letter and a sign that follows it, and parts are
+    encoded through a memo; else the library gets the whole text."""
+
+    SIGN = re.compile(rb"(?<=[A-Za-z])(?=[,.!?;:])")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -150,6 +154,7 @@ class Encoder:
         self.vocab = self.tokenizer.get_vocab_size()
         probe = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
         self.by_word = probe("x \t\n\x0b\x0c\r y") == probe("x y") == probe("x") + probe("y") and probe(" x ") == probe("x") and probe(" \t") == []
+        self.by_sign = self.by_word and all(probe(f"ab{c}{d}") == probe("ab") + probe(f"{c}{d}") for c in ",.!?;:" for d in ("", ",", "x", "9", "'s"))
         self.memo = WordMemo(self.tokenizer, {})
 
     def packed(self, text: bytes | None) -> bytes:
@@ -159,6 +164,8 @@ class Encoder:
             return np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, "<u4").tobytes()
         if len(self.memo) > WordMemo.MOST:
             self.memo = WordMemo(self.tokenizer, dict(self.memo))
+        if self.by_sign:
+            text = self.SIGN.sub(b" ", text)
         return b"".join(map(self.memo.__getitem__, text.split()))
 
 

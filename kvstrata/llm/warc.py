@@ -121,11 +121,13 @@ def read_archive(src, chunk: int = 1 << 18) -> Iterator[dict]:
 
 def train_dictionary(pages: DataFrame, *, html_col: str = "html", samples: int = 256, sample_chars: int = 8192, size: int = 1 << 16) -> bytes:
     """A dictionary trained on a bounded sample: the first ``sample_chars`` characters of
-    the ``samples`` pages with the least hash. Nothing if there is too little text."""
+    the ``samples`` pages with the least hash, once each. Nothing if there is too little
+    text. Only hashes are ranked; texts are fetched for those chosen."""
     import zstandard
 
-    text = F.substring(F.col(f"`{html_col}`"), 1, sample_chars)
-    rows = pages.select(text.alias("t")).where(F.length("t") > 0).orderBy(F.xxhash64("t"), "t").limit(samples).collect()
+    text = pages.select(F.substring(F.col(f"`{html_col}`"), 1, sample_chars).alias("t")).where(F.length("t") > 0).withColumn("h", F.xxhash64("t"))
+    least = [r["h"] for r in text.select("h").distinct().orderBy("h").limit(samples).collect()]
+    rows = text.where(F.col("h").isin(least)).groupBy("h").agg(F.min("t").alias("t")).orderBy("h").collect() if least else []
     try:
         return zstandard.train_dictionary(size, [r["t"].encode() for r in rows]).as_bytes()
     except zstandard.ZstdError:
