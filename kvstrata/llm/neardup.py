@@ -266,9 +266,10 @@ def _similar(a: np.ndarray, b: np.ndarray, similarity: int) -> bool:
     return 100 * both >= similarity * (len(a) + len(b) - both)
 
 
-def _confirm(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
-    """The pairs (x, y) whose full sets are similar enough. ``sets`` lie in buckets by
-    rep, so only pairs, and one set for each, are shuffled."""
+def _confirm(pairs: DataFrame, sets: DataFrame, similarity: int, block: int) -> DataFrame:
+    """The pairs (x, y), a table, whose full sets are similar enough. ``sets`` lie in buckets
+    by rep. Pairs of one x, which may be many, meet its set in parts of about ``block``; only
+    pairs, and the sets that meet, are shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -276,9 +277,11 @@ def _confirm(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
             keep = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch["x"].filter(keep), batch["y"].filter(keep)], ["x", "y"])
 
-    with_y = pairs.join(sets.select(F.col("rep").alias("y"), F.col("items").alias("sy")), "y")
-    both = with_y.join(sets.select(F.col("rep").alias("x"), F.col("items").alias("sx")), "x")
-    return both.select("x", "y", "sx", "sy").mapInArrow(run, "x bigint, y bigint")
+    hot = pairs.groupBy("x").agg(F.ceil(F.count("*") / block).alias("parts")).where("parts > 1")
+    dealt = _join_salted(pairs, hot, ["x"], "y").select("x", "y", F.coalesce(F.pmod(F.xxhash64("y"), "parts"), F.lit(0)).alias("part"))
+    with_y = dealt.join(sets.select(F.col("rep").alias("y"), F.col("items").alias("sy")), "y")
+    with_x = dealt.select("x", "part").distinct().join(sets.select(F.col("rep").alias("x"), F.col("items").alias("sx")), "x")
+    return with_y.join(with_x, ["x", "part"]).select("x", "y", "sx", "sy").mapInArrow(run, "x bigint, y bigint")
 
 
 def _confirm_blocks(open_: DataFrame, labels: DataFrame, sets: DataFrame, similarity: int, block: int) -> DataFrame:
@@ -403,7 +406,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             rows = rows.withColumn("other", F.lit(0).cast("bigint")).select(*_ROW).repartition("key").sortWithinPartitions("key", "rep")
             near = _near(rows, similarity, chunk, number + 1).groupBy("x").agg(F.slice(F.array_sort(F.collect_set(F.struct("distance", "y"))), 1, number + 1).alias("a"), F.min("y").alias("b"))
             pairs = near.select("x", F.explode(F.array_distinct(F.concat(F.col("a.y") if number else F.array(), F.array("b")))).alias("y")).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-            links = materialize(_confirm(pairs, sets, similarity), "links")
+            pairs = materialize(pairs, "pairs")
+            links = materialize(_confirm(pairs, sets, similarity, block), "links")
+            release(pairs)
         else:
             # Only buckets that still hold several components; long ones as pairs of blocks.
             several = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("block").alias("last")).where("lo <> hi").select("key", "last")

@@ -56,7 +56,7 @@ def cases_of(seed):
     return cases
 
 
-@pytest.mark.parametrize("size,chunk,rounds", [(2, 4096, 2), (5, 4096, 2), (2, 7, 0)])
+@pytest.mark.parametrize("size,chunk,rounds", [(2, 4096, 2), (5, 4096, 2), (2, 7, 0), (2, 8, 2)])
 def test_against_brute_force(spark, size, chunk, rounds):
     cases = cases_of(size)
     out = neardup.near_duplicates(frame(spark, cases), shingle=size, chunk=chunk, rounds=rounds, block=4 if chunk < 99 else 1000)
