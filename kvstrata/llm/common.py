@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -87,38 +88,6 @@ def open_fs(path: str):
     return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
 
 
-class _WordHashes(dict):
-    """Hashes of words. A full memo becomes the ``old`` one of the next, so frequent words
-    stay and size is bounded by two memos."""
-
-    MOST = 300_000
-
-    def __init__(self, old: dict):
-        from xxhash import xxh3_64_intdigest
-
-        super().__init__()
-        self.old, self.make = old, xxh3_64_intdigest
-
-    def __missing__(self, word: bytes) -> int:
-        h = self.old.get(word)
-        if h is None:
-            h = self.make(word)
-        if len(word) <= 64:
-            self[word] = h
-        return h
-
-
-_WORDS = _WordHashes({})
-
-
-def hash_words(words: list[bytes]) -> np.ndarray:
-    """64-bit hashes of words; a bounded memo makes repeated words cheap."""
-    global _WORDS
-    if len(_WORDS) > _WordHashes.MOST:
-        _WORDS = _WordHashes(dict(_WORDS))
-    return np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
-
-
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -152,3 +121,95 @@ def window_hashes(h: np.ndarray, k: int) -> np.ndarray:
     for cur, offset in parts:
         out = mix(out * np.uint64(0xD6E8FEB86659FD93) + cur[offset : offset + n])
     return out
+
+
+#: Texts are hashed in blocks of about so many bytes, and longer words one by one.
+_BLOCK, _LONG = 1 << 18, 64
+_GAP = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_BASE = 0x9E6C63D0876A9A35
+_SYMBOL = np.random.default_rng(20240301).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_SYMBOL[_GAP] = 0
+_SYMBOL_LOWER = _SYMBOL[np.frombuffer(LOWER, np.uint8)]
+_POWERS: list[np.ndarray] = []
+
+
+def _powers() -> list[np.ndarray]:
+    """Powers of the base and of its inverse, modulo 2 ** 64."""
+    if not _POWERS:
+        for x in (_BASE, pow(_BASE, -1, 1 << 64)):
+            steps = np.full(_BLOCK + 2, x, np.uint64)
+            steps[0] = 1
+            _POWERS.append(np.multiply.accumulate(steps))
+    return _POWERS
+
+
+def _long_word(word: bytes, lower: bool) -> int:
+    from xxhash import xxh3_64_intdigest
+
+    return xxh3_64_intdigest(word.translate(LOWER) if lower else word)
+
+
+def _hash_block(block: bytes, lower: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and hashes of a block's words. The block begins and ends with a gap. A word's
+    hash is a polynomial of its bytes' symbols, as a difference of sums over the block."""
+    power, inverse = _powers()
+    x = np.frombuffer(block, np.uint8)
+    gap = _GAP[x]
+    edge = np.flatnonzero(gap[1:] != gap[:-1]) + 1
+    start, end = edge[0::2], edge[1::2]
+    sums = np.cumsum((_SYMBOL_LOWER if lower else _SYMBOL)[x] * power[: len(x)])
+    size = end - start
+    h = mix((sums[end - 1] - sums[start - 1]) * inverse[start] + size.astype(np.uint64))
+    for i in np.flatnonzero(size > _LONG).tolist():
+        h[i] = _long_word(block[start[i] : end[i]], lower)
+    return start, h
+
+
+def _pieces(text: bytes, lower: bool) -> Iterator[np.ndarray]:
+    """Hashes of a long text's words, piece by piece; pieces end at gaps."""
+    at, x = 0, np.frombuffer(text, np.uint8)
+    while at < len(text):
+        gaps = np.flatnonzero(_GAP[x[at : at + _BLOCK - 2]])
+        last = len(text) <= at + _BLOCK - 2
+        if len(gaps) or last:
+            end = len(text) if last else at + int(gaps[-1]) + 1
+            yield _hash_block(b" " + text[at:end] + b" ", lower)[1]
+        else:  # one word fills the piece
+            end = at + _BLOCK - 2
+            while end < len(text) and not (more := np.flatnonzero(_GAP[x[end : end + _BLOCK]])).size:
+                end += _BLOCK
+            end = min(len(text), end + (int(more[0]) if end < len(text) else 0))
+            yield np.array([_long_word(text[at:end], lower)], np.uint64)
+        at = end
+
+
+def hash_texts(texts: list[bytes | None], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words ``[^\\x20\\x09-\\x0D]+`` of all texts end to end (with ``lower``,
+    of their words with A-Z lower-cased), and how many words each text has."""
+    parts, sizes = [], np.zeros(len(texts), np.int64)
+    held: list[bytes] = []
+    first = room = 0
+
+    def flush() -> None:
+        if held:
+            start, h = _hash_block(b" " + b" ".join(held) + b" ", lower)
+            bounds = np.cumsum([1, *(len(t) + 1 for t in held)])
+            sizes[first : first + len(held)] = np.diff(np.searchsorted(start, bounds))
+            parts.append(h)
+
+    for i, t in enumerate(texts):
+        t = t or b""
+        if held and room + len(t) + 2 > _BLOCK or len(t) + 2 > _BLOCK:
+            flush()
+            held, room = [], 0
+        if len(t) + 2 > _BLOCK:
+            mine = list(_pieces(t, lower))
+            sizes[i] = sum(map(len, mine))
+            parts += mine
+            continue
+        if not held:
+            first = i
+        held.append(t)
+        room += len(t) + 1
+    flush()
+    return (np.concatenate(parts) if parts else np.zeros(0, np.uint64)), sizes

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kvstrata.llm.common import LOWER, hash_words, materialize, mix, release, window_hashes
+from kvstrata.llm.common import hash_texts, materialize, mix, release, window_hashes
 
 CHUNKS, CHUNK = 16, 5  # symbols: 80
 SYMBOLS, BITS = CHUNKS * CHUNK, 512
@@ -44,10 +44,14 @@ _A = _RNG.integers(1, 1 << 63, SYMBOLS + BITS, dtype=np.uint64) * np.uint64(2) +
 _B = _RNG.integers(0, 1 << 63, SYMBOLS + BITS, dtype=np.uint64)
 
 
-def shingles(text: bytes | None, size: int) -> np.ndarray:
-    """The sorted, distinct 64-bit hashes of a text's word shingles."""
-    words = text.translate(LOWER).split() if text else []
-    return np.unique(window_hashes(hash_words(words), min(size, len(words)))) if words else np.zeros(0, np.uint64)
+def shingle_sets(texts: list[bytes | None], size: int) -> Iterator[np.ndarray]:
+    """The sorted, distinct 64-bit hashes of each text's word shingles."""
+    for lo in range(0, len(texts), 200):
+        h, sizes = hash_texts(texts[lo : lo + 200], lower=True)
+        at = 0
+        for n in sizes.tolist():
+            yield np.unique(window_hashes(h[at : at + n], min(size, n))) if n else np.zeros(0, np.uint64)
+            at += n
 
 
 def _minima(items: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -88,8 +92,7 @@ def _signatures(docs: DataFrame, size: int) -> DataFrame:
 
         for batch in batches:
             n, h, sig = [], [], []
-            for text in batch["text"]:
-                items = shingles(text.as_py(), size)
+            for items in shingle_sets(batch["text"].to_pylist(), size):
                 n.append(len(items))
                 h.append(xxh3_128_digest(items.tobytes()))
                 sig.append(signature(items))
@@ -393,7 +396,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            items = [shingles(t.as_py(), shingle) for t in batch["text"]]
+            items = list(shingle_sets(batch["text"].to_pylist(), shingle))
             yield pa.RecordBatch.from_arrays([batch["id"], pa.array([len(x) for x in items], pa.int64()), pa.array([sketch(x) for x in items], pa.binary()), pa.array([signature(x) for x in items], pa.binary()), pa.array([x.tobytes() for x in items], pa.binary())], ["rep", "n", "sketch", "sig", "items"])
 
     wanted = source.join(members.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kvstrata.llm.common import LOWER, hash_words, materialize, mix, open_fs, release, remove_path, shared_path
+from kvstrata.llm.common import hash_texts, materialize, mix, open_fs, release, remove_path, shared_path
 
 _U = np.uint64
 END, BEGIN = _U(0x9AE16A3B2F90404F), _U(0xC949D7C7509E6557)
@@ -38,15 +38,11 @@ _CHAIN = _U(0x9E3779B97F4A7C15)
 
 def tokens(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     """Token hashes of all texts end to end, each with its end token, and the starts."""
-    parts, sizes = [], []
-    for t in texts:
-        words = t.translate(LOWER).split() if t else []
-        if words:
-            parts.append(hash_words(words))
-        parts.append(np.array([END], _U))
-        sizes.append(len(words) + 1)
-    starts = np.concatenate(([0], np.cumsum(np.array(sizes, np.int64))))
-    return (np.concatenate(parts) if parts else np.zeros(0, _U)), starts
+    words, sizes = hash_texts(texts, lower=True)
+    starts = np.concatenate(([0], np.cumsum(sizes + 1)))
+    out = np.full(len(words) + len(texts), END, _U)
+    out[np.arange(len(words)) + np.repeat(np.arange(len(texts)), sizes)] = words
+    return out, starts
 
 
 def contexts(h: np.ndarray, starts: np.ndarray, order: int) -> tuple[list[np.ndarray], np.ndarray]:

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kvstrata.llm.common import hash_words, materialize, mix, release, window_hashes
+from kvstrata.llm.common import hash_texts, materialize, mix, release, window_hashes
 
 WINDOW = 13
 CONTEXT = 3
@@ -54,12 +54,9 @@ class Texts:
     """The words of some texts, end to end, as fingerprints."""
 
     def __init__(self, texts: list[bytes | None]):
-        self.words = [t.split() if t else [] for t in texts]
-        sizes = np.array([len(w) for w in self.words], np.int64)
-        self.sizes = sizes
-        self.first = np.concatenate(([0], np.cumsum(sizes)))[:-1]
-        self.doc = np.repeat(np.arange(len(texts)), sizes)
-        self.h = np.concatenate([hash_words(w) for w in self.words if w]) if sizes.sum() else np.zeros(0, _U)
+        self.h, self.sizes = hash_texts(texts)
+        self.first = np.concatenate(([0], np.cumsum(self.sizes)))[:-1]
+        self.doc = np.repeat(np.arange(len(texts)), self.sizes)
 
     def windows(self) -> tuple[np.ndarray, np.ndarray]:
         """Starts of all windows, and their fingerprints."""
@@ -291,12 +288,17 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _parts(batches):
-            x = Texts(part["text"].to_pylist())
-            gone = _removed(x, _keys_of(part["symbols"]), _keys_of(part["windows"]))
+            found = part["text"].to_pylist()
+            symbols, windows = _keys_of(part["symbols"]), _keys_of(part["windows"])
+            some = [i for i, (a, b) in enumerate(zip(symbols, windows, strict=True)) if len(a) or len(b)]
+            x = Texts([found[i] for i in some])
+            gone = _removed(x, [symbols[i] for i in some], [windows[i] for i in some])
+            cut = {i: gone[a : a + k] for i, a, k in zip(some, x.first.tolist(), x.sizes.tolist(), strict=True)}
             n, r, sha, texts = [], [], [], []
-            for i, words in enumerate(x.words):
-                g = gone[x.first[i] : x.first[i] + len(words)]
-                count = int(g.sum())
+            for i, text in enumerate(found):
+                words = text.split() if text else []
+                g = cut.get(i)
+                count = 0 if g is None else int(g.sum())
                 kept = b" ".join(words if not count else [a for a, b in zip(words, g.tolist(), strict=True) if not b])
                 n.append(len(words))
                 r.append(count)

@@ -85,3 +85,22 @@ def test_symbols_are_alike_in_any_context():
     for k, v in zip(w.tolist(), m.tolist(), strict=True):
         assert marks.setdefault(k, v) == v
     assert np.all(m & np.uint64(1) == 0)
+
+
+def test_word_hashes(monkeypatch):
+    """Words of any length, wherever blocks are cut, have the hash of their bytes alone."""
+    from kvstrata.llm import common
+
+    monkeypatch.setattr(common, "_BLOCK", 1 << 10)
+    monkeypatch.setattr(common, "_POWERS", [])
+    r, known, names = random.Random(5), {}, {}
+    for _ in range(120):
+        texts = [None, b"", b"x" * r.choice([63, 64, 65, 1021, 1022, 1023, 1024, 1025, 2047, 5000]) + r.choice([b"", b" ", b"\ny", b" " + b"Z" * 3000])]
+        texts += [bytes(r.choice(b"aAbB\xc3\xa9 \t\n\x0b\x0c\r \x1c") for _ in range(r.choice([1, 5, 100, 3000]))) for _ in range(4)]
+        r.shuffle(texts)
+        for lower in (False, True):
+            h, sizes = common.hash_texts(texts, lower)
+            words = [((t or b"").translate(common.LOWER) if lower else t or b"").split() for t in texts]
+            assert sizes.tolist() == [len(w) for w in words]
+            for w, k in zip((w for ws in words for w in ws), h.tolist(), strict=True):
+                assert known.setdefault(w, k) == k and names.setdefault(k, w) == w
