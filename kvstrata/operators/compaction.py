@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,6 +80,19 @@ def overlapping_files(files: DataFrame, picked: DataFrame) -> DataFrame:
     return files.join(p, overlaps(files.min_key, files.max_key, p.lo, p.hi), "left_semi")
 
 
+def overlapping_pairs(a: DataFrame, b: DataFrame, bin_of: Callable[[Column], Column]) -> DataFrame:
+    """Pairs (a, b) of the files of two levels whose closed key ranges meet. ``bin_of`` maps
+    keys to whole numbers in their order. Each file goes to the bins that its range touches,
+    and files meet in the first bin that both touch: an equi-join, without repeated pairs."""
+
+    def binned(files: DataFrame, name: str) -> DataFrame:
+        lo, hi = bin_of(F.col("min_key")).cast("bigint"), bin_of(F.col("max_key")).cast("bigint")
+        return files.select(F.col("file_index").alias(name), F.col("min_key").alias(f"{name}_min"), F.col("max_key").alias(f"{name}_max"), lo.alias(f"{name}_bin"), F.explode(F.sequence(lo, hi)).alias("bin"))
+
+    met = binned(a, "a").join(binned(b, "b"), "bin").where(F.col("bin") == F.greatest("a_bin", "b_bin"))
+    return met.where(overlaps(F.col("a_min"), F.col("a_max"), F.col("b_min"), F.col("b_max"))).select("a", "b")
+
+
 def split_by_floor(commands: DataFrame, target_bytes: int, file: list[str]) -> DataFrame:
     """Adds ``part``: the bytes before a row, in order, over the target. Fully parallel by
     file; ``split_exact`` follows the rolling rule instead."""

@@ -168,15 +168,15 @@ def last_entry(spark, sf):
 
 
 def _seek(mode: str, test: str, best: str):
-    """Probes are line numbers that fall between, on and beyond the keys."""
+    """Probes are event numbers that fall between, on and beyond the keys."""
 
     def run(spark, sf):
         keys = table(spark, sf, "events").where("event_type = 'purchase'").select(F.col("event_id").alias("key"))
-        probes = table(spark, sf, "events").where("event_id % 7 = 0").select((F.col("event_id") - 3).alias("probe"))
+        probes = table(spark, sf, "events").select((F.col("event_id") - 3).alias("probe"))
         return reads.seek_many(keys, probes, mode)
 
     run.__name__ = f"seek_{mode}"
-    asof = f"SELECT p.probe, k.key AS found FROM (SELECT DISTINCT event_id - 3 AS probe FROM events WHERE event_id % 7 = 0) p ASOF LEFT JOIN (SELECT event_id AS key FROM events WHERE event_type = 'purchase') k ON p.probe {test} k.key"
+    asof = f"SELECT p.probe, k.key AS found FROM (SELECT DISTINCT event_id - 3 AS probe FROM events) p ASOF LEFT JOIN (SELECT event_id AS key FROM events WHERE event_type = 'purchase') k ON p.probe {test} k.key"
     query(asof)(run)
 
 
@@ -314,12 +314,14 @@ def split_by_floor(spark, sf):
     return shown(compaction.split_by_floor(commands(spark, sf), 10_000, ["store_id"]))
 
 
-@query("WITH f AS (SELECT l_orderkey % 97 AS file_index, min(l_partkey) AS min_key, max(l_partkey) AS max_key FROM lineitem WHERE l_suppkey % 40 = 0 GROUP BY 1) SELECT a.file_index AS a, b.file_index AS b FROM f a JOIN f b ON a.file_index < b.file_index AND a.min_key <= b.max_key AND b.min_key <= a.max_key")
+_level = lambda size: f"SELECT o_orderkey // {size} AS file_index, min(o_orderkey) AS min_key, max(o_orderkey) AS max_key FROM orders GROUP BY 1"
+
+
+@query(f"SELECT a.file_index AS a, b.file_index AS b FROM ({_level(100)}) a JOIN ({_level(170)}) b ON a.min_key <= b.max_key AND b.min_key <= a.max_key")
 def file_overlap(spark, sf):
-    f = table(spark, sf, "lineitem").where("l_suppkey % 40 = 0").groupBy((F.col("l_orderkey") % 97).alias("file_index")).agg(F.min("l_partkey").alias("min_key"), F.max("l_partkey").alias("max_key"))
-    x, y = f.alias("x"), f.alias("y")  # a catalog of at most 97 files
-    test = (F.col("x.file_index") < F.col("y.file_index")) & compaction.overlaps(F.col("x.min_key"), F.col("x.max_key"), F.col("y.min_key"), F.col("y.max_key"))
-    return x.join(y, test).select(F.col("x.file_index").alias("a"), F.col("y.file_index").alias("b"))
+    """Two levels of files; those of one against those of the next."""
+    level = lambda size: table(spark, sf, "orders").groupBy(F.expr(f"o_orderkey DIV {size}").alias("file_index")).agg(F.min("o_orderkey").alias("min_key"), F.max("o_orderkey").alias("max_key"))
+    return compaction.overlapping_pairs(level(100), level(170), lambda k: F.floor(k / 256))
 
 
 @query(f"{_FS} SELECT store_id, file_index FROM s WHERE min_key <= '8000000000000032' AND max_key >= '8000000000000032' AND min_tsn <= {S}")
@@ -369,9 +371,9 @@ def wal_transactions(spark, sf):
     return wal.transactions(_wal(spark, sf))
 
 
-@query("WITH s AS (SELECT event_id AS seq, lag(event_id) OVER (ORDER BY event_id) AS previous FROM events WHERE event_id % 50 <> 7 AND event_id < 1000) SELECT seq, previous FROM s WHERE seq <> previous + 1")
+@query("WITH s AS (SELECT event_id AS seq, lag(event_id) OVER (ORDER BY event_id) AS previous FROM events WHERE event_type <> 'error') SELECT seq, previous FROM s WHERE seq <> previous + 1")
 def wal_gaps(spark, sf):
-    return wal.gaps(table(spark, sf, "events").where("event_id % 50 <> 7 AND event_id < 1000").select(F.col("event_id").alias("seq")))
+    return wal.gaps(table(spark, sf, "events").where("event_type <> 'error'").select(F.col("event_id").alias("seq")))
 
 
 @query(f"WITH {C} SELECT tsn FROM c WHERE tsn % 100 = 13 AND op = 'PUT'")
@@ -473,10 +475,10 @@ def manifest_live_files(spark, sf):
     return manifest.live_files(e)
 
 
-@query("SELECT 'missing' AS state, o_custkey AS file_index FROM (SELECT DISTINCT o_custkey FROM orders) WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 5 <> 0) UNION ALL SELECT 'superfluous', c_custkey FROM customer WHERE c_custkey % 5 <> 0 AND c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT 'missing' AS state, o_custkey AS file_index FROM (SELECT DISTINCT o_custkey FROM orders) WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) UNION ALL SELECT 'superfluous', c_custkey FROM customer WHERE c_acctbal > 0 AND c_custkey NOT IN (SELECT o_custkey FROM orders)")
 def reconcile_files(spark, sf):
     known = table(spark, sf, "orders").select(F.col("o_custkey").alias("file_index")).distinct()
-    there = table(spark, sf, "customer").where("c_custkey % 5 <> 0").select(F.col("c_custkey").alias("file_index"))
+    there = table(spark, sf, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("file_index"))
     missing, extra = manifest.reconcile(known, there, ["file_index"])
     return missing.select(F.lit("missing").alias("state"), "file_index").unionByName(extra.select(F.lit("superfluous").alias("state"), "file_index"))
 
