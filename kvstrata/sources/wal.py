@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kvstrata.operators.reads import seek_many
+
 
 def completed(wal: DataFrame) -> DataFrame:
     """Entries of transactions that have a commit entry; what a crash cut off is gone."""
@@ -25,9 +27,13 @@ def transactions(wal: DataFrame) -> DataFrame:
 
 
 def gaps(files: DataFrame) -> DataFrame:
-    """Sequence numbers (column ``seq``) whose predecessor is missing; file lists are small."""
-    before = F.lag("seq").over(Window.orderBy("seq"))
-    return files.select("seq", before.alias("previous")).where(F.col("previous").isNotNull() & (F.col("seq") != F.col("previous") + 1))
+    """Sequence numbers (column ``seq``) whose predecessor is missing, with the one before
+    the gap. Ends and starts of runs are found by joins, and only they are searched."""
+    seqs = files.select("seq").distinct()
+    starts = seqs.join(seqs.select((F.col("seq") + 1).alias("seq")), "seq", "left_anti")
+    ends = seqs.join(seqs.select((F.col("seq") - 1).alias("seq")), "seq", "left_anti")
+    found = seek_many(ends, starts.withColumnRenamed("seq", "probe"), "lower", "seq")
+    return found.where("found IS NOT NULL").select(F.col("probe").alias("seq"), F.col("found").alias("previous"))
 
 
 def with_checksum(wal: DataFrame) -> DataFrame:
