@@ -344,7 +344,7 @@ class Model:
         return np.diff(starts).tolist(), sums((raw > 0).astype(np.int64)), sums(base), sums(score)
 
 
-def train(docs: DataFrame, *, text_col: str = "text", order: int = 2, passes: int = 2, shards: int | None = None) -> Model:
+def train(docs: DataFrame, *, text_col: str = "text", order: int = 3, passes: int = 8, shards: int | None = None) -> Model:
     """Counts and writes a model from all rows of ``docs``, in a fresh folder of the shared
     store. Only names of shards and sums over all n-grams come to the driver."""
     spark = docs.sparkSession
@@ -412,7 +412,7 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
     return source.mapInArrow(run, f"id {kind}, n_tokens bigint, n_known bigint, base_score double, score double").withColumnRenamed("id", id_col)
 
 
-def split_and_score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", order: int = 2, passes: int = 2) -> DataFrame:
+def split_and_score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", order: int = 3, passes: int = 8) -> DataFrame:
     """Learns from the documents that aren't held out, and scores all: id, held_out,
     n_tokens, n_known, train_tokens, base_score, score."""
     held = F.pmod(F.crc32(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")).cast("binary")), F.lit(10)) == 0

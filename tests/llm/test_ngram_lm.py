@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 from helpers import frame
 
-from kvstrata.llm import ngram_lm
+from kvstrata.llm import ngram_lm, queries
 
 
 def toks(t):
@@ -89,3 +89,13 @@ def test_beats_the_base_on_held_out_texts(spark, small):
     df = ngram_lm.split_and_score(spark.read.parquet(f"{small}/documents.parquet"))
     x = df.where("held_out").agg({"score": "sum", "base_score": "sum"}).first()
     assert x["sum(score)"] > x["sum(base_score)"]
+
+
+def test_the_query_looks_at_two_words_before_each(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect()
+    held = {i for i, _ in docs if zlib.crc32(str(i).encode()) % 10 == 0}
+    m = Plain([t for i, t in docs if i not in held], 3)
+    got = {x.doc_id: x.score for x in queries.op7_ngram_model(spark, small).collect()}
+    assert len(got) == len(docs)
+    for i, t in docs[:20]:
+        assert got[i] == pytest.approx(m.score(t), rel=1e-9)
