@@ -150,5 +150,5 @@ def pseudonymize(docs: DataFrame, key: str, *, text_col: str = "text") -> DataFr
     p = _q(PATTERN)
     new = f"transform(regexp_extract_all({c}, {p}, 0), v -> {replacement(key)})"
     woven = f"array_join(flatten(zip_with(split({c}, {p}, -1), concat({new}, array('')), (g, x) -> array(g, x))), '')"
-    text = F.expr(f"CASE WHEN {c} RLIKE '@|[0-9]' AND {c} RLIKE {p} THEN {woven} ELSE {c} END")
+    text = F.expr(f"CASE WHEN {c} RLIKE {p} THEN {woven} ELSE {c} END")
     return docs.select(*[text.alias(n) if n == text_col else F.col("`" + n.replace("`", "``") + "`") for n in docs.columns])
