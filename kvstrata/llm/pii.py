@@ -10,7 +10,7 @@ stay letters of their case, so punctuation, length and layout are kept.
 
 Kinds: e-mail addresses (local part), phone numbers, payment cards, IBANs, IPv4
 addresses, US social security numbers, ISO and day-first dates, and secrets (AKIA keys,
-hex values of password/token/secret/key settings).
+hex values of password/token/secret/key settings, in either case).
 
 Defined results: a null text stays null; text without valid candidates is returned
 unchanged, byte for byte; repeated rows are treated alike; all other columns, whatever
@@ -27,7 +27,7 @@ _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 KINDS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9](?:[A-Za-z0-9.-]*[A-Za-z0-9])?\.[A-Za-z]{2,}",
     "aws": r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])",
-    "secret": r"(?<![A-Za-z0-9_])(?:password|passwd|token|secret|api_key|apikey)[ ]{0,2}[=:][ ]{0,2}[\"']?[0-9a-f]{12,64}(?![0-9A-Za-z])",
+    "secret": r"(?<![A-Za-z0-9_])(?i:password|passwd|token|secret|api_key|apikey)[ ]{0,2}[=:][ ]{0,2}[\"']?[0-9a-fA-F]{12,64}(?![0-9A-Za-z])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "date_iso": r"(?<![0-9A-Za-z-])(?:19|20)\d{2}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])(?![0-9A-Za-z-])",
     "date_dmy": r"(?<![0-9A-Za-z/.])(?:0[1-9]|[12]\d|3[01])([/.])(?:0[1-9]|1[0-2])\1(?:19|20)\d{2}(?![0-9A-Za-z/])",
@@ -40,7 +40,7 @@ PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
 _WHOLE = {
     "email": "@",
     "aws": "^AKIA[A-Z0-9]{16}$",
-    "secret": "^(?:password|passwd|token|secret|api_key|apikey)",
+    "secret": "^(?i:password|passwd|token|secret|api_key|apikey)",
     "iban": r"^[A-Z]{2}\d{2}",
     "date_iso": r"^\d{4}-\d{2}-\d{2}$",
     "date_dmy": r"^\d{2}[/.]\d{2}[/.]\d{4}$",
@@ -109,8 +109,8 @@ def replacement(key: str) -> str:
     """SQL of the pseudonym of a candidate ``v``; the candidate itself if not valid."""
     email = f"concat({_by_class("substring_index(v, '@', 1)", _DIGITS + _LETTERS, key, 'email')}, '@', substring_index(v, '@', -1))"
     aws = f"concat('AKIA', {_by_class('substring(v, 5)', _DIGITS + _LETTERS, key, 'aws')})"
-    value = "regexp_extract(v, '([0-9a-f]{12,64})$', 1)"
-    secret = f"concat(substring(v, 1, length(v) - length({value})), {_by_class(value, [*_DIGITS, 'abcdef'], key, 'secret')})"
+    value = "regexp_extract(v, '([0-9a-fA-F]{12,64})$', 1)"
+    secret = f"concat(substring(v, 1, length(v) - length({value})), {_by_class(value, [*_DIGITS, 'abcdef', 'ABCDEF'], key, 'secret')})"
     # Cards: first digit stays, the rest but the check digit is permuted.
     d = "regexp_replace(v, '[ -]', '')"
     body = f"concat(substring(d, 1, 1), {_by_class('substring(d, 2, length(d) - 2)', ['0123456789'], key, 'card')})"

@@ -108,3 +108,10 @@ def test_values_without_digits_are_linked(spark):
     out = one(spark, *texts, *[f"{t} 7" for t in texts])
     assert out[:2] == ["AKIA" + by_class(texts[0][4:], DIG + LET, "aws"), "password=" + by_class("deadbeefcafe", [*DIG, "abcdef"], "secret")]
     assert out[2:] == [f"{t} 7" for t in out[:2]] and not set(out) & set(texts)
+
+
+def test_secrets_in_either_case(spark):
+    names, values = ["TOKEN = \"", "Api_Key:", "token = '", "PASSWORD="], ["9233A8ECF7C5" + "0B" * 14, "9233a8ecf7c5", "DEADBEEFCAFE", "0aB1cD2eF345"]
+    want = [n + by_class(v, [*DIG, "abcdef", "ABCDEF"], "secret") for n, v in zip(names, values, strict=True)]
+    assert one(spark, *[n + v for n, v in zip(names, values, strict=True)]) == want
+    assert all(a != n + v for a, n, v in zip(want, names, values, strict=True))
