@@ -385,6 +385,14 @@ def _join_salted(left: DataFrame, right: DataFrame, on: list[str], spread_by: st
     return a.join(b, [*on, "__salt"], "left").drop("__salt")
 
 
+def _several(sig: DataFrame) -> DataFrame:
+    """id, h1, h2 and n of rows whose id has texts of several classes."""
+    rows = sig.where("id IS NOT NULL").select("id", "h1", "h2", "n")
+    of = F.struct("h1", "h2")
+    ids = rows.groupBy("id").agg(F.min(of).alias("lo"), F.max(of).alias("hi")).where("lo <> hi").select("id")
+    return rows.join(ids, "id", "left_semi").distinct()
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 2, similarity: int = 80, rounds: int = 2, chunk: int = 4096, block: int = 1000) -> DataFrame:
     """Per row with its id: n_shingles, component_id (least id that it is connected with)
     and kept (whether that is its own). Runs at once; the result is read from tables."""
@@ -425,11 +433,24 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         old, labels = labels, materialize(_mapped(labels, roots, "label"), "labels")
         release(old, links, roots)
     release(sets, members, info)
-    moved = classes.select("h1", "h2", "rep", "copies").join(labels, "rep", "left").select("h1", "h2", F.coalesce("label", "rep").alias("root"), (F.coalesce("label", "rep") != F.col("rep")).alias("moved"), "copies").where("moved OR copies > 1").select("h1", "h2", "root")
+    rooted = classes.select("h1", "h2", "rep", "copies").join(labels, "rep", "left").withColumn("root", F.coalesce("label", "rep"))
+    several = materialize(_several(sig), "several")
+    tied = None
+    if not several.isEmpty():
+        ties = materialize(several.where("n > 0").join(rooted, ["h1", "h2"]).select("id", "root").distinct(), "ties")
+        least = ties.groupBy("id").agg(F.min("root").alias("x"))
+        ends = components(ties.join(least, "id").select("x", F.col("root").alias("y")))
+        rooted = _mapped(rooted, ends, "root")
+        tied = _mapped(least.withColumnRenamed("x", "tied"), ends, "tied")
+    moved = rooted.where("root <> rep OR copies > 1").select("h1", "h2", "root")
     out = _join_salted(sig.select("id", "n", F.when(F.col("n") > 0, F.col("h1")).alias("h1"), "h2"), moved, ["h1", "h2"], "id")
+    if tied is not None:  # also for rows without words
+        out = out.join(tied, "id", "left").withColumn("root", F.coalesce("tied", "root"))
     out = out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("root", "id")).alias("component_id"))
     out = materialize(out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True))), "components")
-    release(sig, classes, labels)
+    release(sig, classes, labels, several)
+    if tied is not None:
+        release(ties, ends)
     return out
 
 

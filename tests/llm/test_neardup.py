@@ -90,3 +90,12 @@ def test_pigeonhole():
         at = rng.choice(80, 31, replace=False) if i % 2 else np.concatenate([np.arange(c * 5, c * 5 + 2) for c in range(16)])[:31]
         b[i, at] ^= 1
     assert (neardup.keys(a) == neardup.keys(b)).any(1).all()
+
+
+def test_texts_of_one_id_are_one_node(spark):
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(30)) for x in "abcd")
+    cases = [(5, a), (5, b), (5, None), (3, b), (9, a), (9, c), (7, c), (11, None), (11, d), (None, a), (12, d), (12, d)]
+    out = neardup.near_duplicates(frame(spark, cases))
+    got = rows(out, "doc_id", "n_shingles", "component_id", "kept")
+    assert got == expected(cases, 2)
+    assert {r[0]: r[2] for r in got} == {3: 3, 5: 3, 7: 3, 9: 3, 11: 11, 12: 11, None: None}
