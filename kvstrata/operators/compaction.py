@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kvstrata.functions.bytesfn import command_size
+from kvstrata.operators.reads import running_total
 from kvstrata.operators.versioning import distinct_commands, drop_history_safe, drop_tombstones, latest
 
 
@@ -57,8 +58,8 @@ def block_stats(commands: DataFrame, file: list[str], block_bytes: int) -> DataF
     """By file and block (cut where the bytes before reach another ``block_bytes``): least
     and greatest key and version, entries and bytes."""
     size = command_size(F.col("key"), F.col("op"), F.col("value")).cast("bigint")
-    before = F.sum(size).over(Window.partitionBy(*file).orderBy("key", "tsn").rowsBetween(Window.unboundedPreceding, -1))
-    blocks = commands.withColumns({"size": size, "block": F.expr("0") + F.floor(F.coalesce(before, F.lit(0)) / block_bytes).cast("bigint")})
+    before = running_total(commands, size, file, ["key", "tsn"], "__before")
+    blocks = before.withColumns({"size": size, "block": F.floor(F.col("__before") / block_bytes).cast("bigint")})
     return blocks.groupBy(*file, "block").agg(F.min("key").alias("min_key"), F.max("key").alias("max_key"), F.min("tsn").alias("min_tsn"), F.max("tsn").alias("max_tsn"), F.count("*").alias("entries"), F.sum("size").alias("size_bytes"))
 
 
@@ -94,11 +95,11 @@ def overlapping_pairs(a: DataFrame, b: DataFrame, bin_of: Callable[[Column], Col
 
 
 def split_by_floor(commands: DataFrame, target_bytes: int, file: list[str]) -> DataFrame:
-    """Adds ``part``: the bytes before a row, in order, over the target. Fully parallel by
-    file; ``split_exact`` follows the rolling rule instead."""
+    """Adds ``part``: the bytes before a row, in order, over the target. Ranges of the key
+    are summed in parallel; ``split_exact`` follows the rolling rule instead."""
     size = command_size(F.col("key"), F.col("op"), F.col("value")).cast("bigint")
-    before = F.sum(size).over(Window.partitionBy(*file).orderBy("key", "tsn").rowsBetween(Window.unboundedPreceding, -1))
-    return commands.withColumn("part", F.floor(F.coalesce(before, F.lit(0)) / target_bytes).cast("bigint"))
+    before = running_total(commands, size, file, ["key", "tsn"], "__before")
+    return before.withColumn("part", F.floor(F.col("__before") / target_bytes).cast("bigint")).drop("__before")
 
 
 def split_exact(commands: DataFrame, target_bytes: int, file: list[str]) -> DataFrame:

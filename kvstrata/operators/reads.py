@@ -81,50 +81,91 @@ def seek(rows: DataFrame, probe, mode: str, key: str = "key") -> DataFrame:
     return first_entry(found, key) if least else last_entry(found, key)
 
 
+def range_of(value: Column, cuts: list) -> Column:
+    """How many of the sorted ``cuts`` are at most ``value``, by binary search: the
+    expression has one literal array and stays flat however many cuts there are."""
+    if not cuts:
+        return F.lit(0)
+    steps = [1 << i for i in range(len(cuts).bit_length() - 1, -1, -1)]
+    table = F.array(*[F.lit(c) for c in cuts])
+    fits = lambda at, step: (at + step <= len(cuts)) & (F.get(table, at + step - 1) <= value)
+    return F.aggregate(F.array(*[F.lit(x) for x in steps]), F.lit(0), lambda at, step: F.when(fits(at, step), at + step).otherwise(at))
+
+
+def range_cuts(keys: DataFrame, n: int) -> list:
+    """Up to ``n`` - 1 values of the one column that cut the rows about evenly, from a bounded
+    sample."""
+    k = keys.columns[0]
+    sample = [r[0] for r in keys.where(F.col(k).isNotNull()).orderBy(F.xxhash64(k)).limit(64 * n).orderBy(k).collect()]
+    step = max(1, len(sample) // n)
+    return sorted(set(sample[step::step][: n - 1]))
+
+
+def ranges_wanted(rows: DataFrame, parts: int | None) -> int:
+    return parts or max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def seek_many(rows: DataFrame, probes: DataFrame, mode: str, key: str = "key", probe: str = "probe", parts: int | None = None) -> DataFrame:
     """For each probe the nearest key (null if there is none), as one merge of both sides.
 
     Rows are dealt to ranges of the key with probes among them; within a range a running
     maximum (or minimum) carries the last key along. What a range takes from its
-    neighbours is one key each, found by an aggregate over ranges, so no range waits for
-    another and nothing is sorted in one task."""
-    spark = rows.sparkSession
-    n = parts or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    neighbours is one key each, found by a window over one row a range, so no range
+    waits for another and nothing is sorted in one task."""
     _, least = SEEKS[mode]
     kind = rows.schema[key].dataType.simpleString()
     keys = rows.select(F.col(key).alias("k")).where(F.col("k").isNotNull())
     asked = probes.select(F.col(probe).cast(kind).alias("p")).where(F.col("p").isNotNull()).distinct()
-    cuts = [r[0] for r in _cuts(keys, n)]
-    bucket = F.lit(0)
-    for c in cuts:  # at most ``n`` constants
-        bucket = bucket + F.when(F.col("x") >= F.lit(c), 1).otherwise(0)
     # Among equal values, keys come on the side from which an exact probe may see them.
     side = {"ceiling": 1, "floor": 0, "higher": 0, "lower": 1}[mode]
     both = keys.select(F.col("k").alias("x"), F.col("k"), F.lit(side).alias("s")).unionByName(asked.select(F.col("p").alias("x"), F.lit(None).cast(kind).alias("k"), F.lit(1 - side).alias("s")))
-    both = both.withColumn("b", bucket.cast("int"))
+    both = both.withColumn("b", range_of(F.col("x"), range_cuts(keys, ranges_wanted(rows, parts))))
     order = [F.asc("x"), F.asc("s")] if not least else [F.desc("x"), F.desc("s")]
     w = Window.partitionBy("b").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    pick = F.min("k") if least else F.max("k")
-    local = both.withColumn("near", pick.over(w)).where(F.col("k").isNull()).select("x", "b", "near")
-    edges = both.where(F.col("k").isNotNull()).groupBy("b").agg(pick.alias("e"))
-    rest = edges.select(F.col("b").alias("eb"), "e")
-    test = F.col("eb") > F.col("b") if least else F.col("eb") < F.col("b")
-    steps = local.select("b").distinct().join(rest, test, "left").groupBy("b").agg((F.min("e") if least else F.max("e")).alias("beyond"))
-    return local.join(steps, "b", "left").select(F.col("x").alias(probe), F.coalesce("near", "beyond").alias("found"))
-
-
-def _cuts(keys: DataFrame, n: int) -> list:
-    """Up to ``n`` - 1 keys that cut the rows about evenly, from a bounded sample."""
-    sample = keys.orderBy(F.xxhash64("k")).limit(64 * n).orderBy("k").collect()
-    step = max(1, len(sample) // n)
-    return sample[step::step][: n - 1]
+    pick = F.min if least else F.max
+    local = both.withColumn("near", pick("k").over(w)).where(F.col("k").isNull()).select("x", "b", "near")
+    edges = both.groupBy("b").agg(pick("k").alias("e"))
+    outward = Window.orderBy(F.desc("b") if least else F.asc("b")).rowsBetween(Window.unboundedPreceding, -1)
+    beyond = edges.select("b", pick("e").over(outward).alias("beyond"))
+    return local.join(beyond, "b", "left").select(F.col("x").alias(probe), F.coalesce("near", "beyond").alias("found"))
 
 
-def neighbours(rows: DataFrame, key: str = "key", within: list[str] | None = None) -> DataFrame:
+def neighbours(rows: DataFrame, key: str = "key", within: list[str] | None = None, parts: int | None = None) -> DataFrame:
     """Each row with the keys before and after it (``previous_key``, ``next_key``), in the
-    whole of each group of ``within``."""
-    w = Window.partitionBy(*(within or [])).orderBy(key)
-    return rows.withColumns({"previous_key": F.lag(key).over(w), "next_key": F.lead(key).over(w)})
+    whole of each group of ``within``. Rows are dealt to ranges of the key, so a large group
+    is sorted by many tasks; of each group and range, the first and last key make up for
+    what its neighbours lack. Null keys come first."""
+    group = within or []
+    names = [f"__g{i}" for i in range(len(group))]
+    cut = rows.withColumn("__b", F.coalesce(range_of(F.col(key), range_cuts(rows.select(key), ranges_wanted(rows, parts))), F.lit(0)))
+    w = Window.partitionBy(*group, "__b").orderBy(key)
+    local = cut.withColumns({"__p": F.lag(key).over(w), "__n": F.lead(key).over(w), "__i": F.row_number().over(w), "__e": F.lead(F.lit(1)).over(w).isNull()})
+    edges = cut.groupBy(*group, "__b").agg(F.min(F.struct(key)).alias("lo"), F.max(F.struct(key)).alias("hi"))
+    order = Window.partitionBy(*group).orderBy("__b")
+    edges = edges.select(*[F.col(c).alias(n) for c, n in zip(group, names, strict=True)], F.col("__b").alias("__eb"), F.lag("hi").over(order)[key].alias("__before"), F.lead("lo").over(order)[key].alias("__after"))
+    same = F.col("__b") == F.col("__eb")
+    for c, n in zip(group, names, strict=True):
+        same &= F.col(c).eqNullSafe(F.col(n))
+    out = local.join(edges, same, "left")
+    return out.select(*rows.columns, F.when(F.col("__i") == 1, F.col("__before")).otherwise(F.col("__p")).alias("previous_key"), F.when(F.col("__e"), F.col("__after")).otherwise(F.col("__n")).alias("next_key"))
+
+
+def running_total(rows: DataFrame, amount: Column, group: list[str], order: list[str], name: str, parts: int | None = None) -> DataFrame:
+    """Adds ``name``: the sum of ``amount`` over the rows before each one, in the order of
+    ``order`` within its group (rows with equal order in any order). Each range of the
+    first order column is summed in a task of its own, and takes the total of the ranges
+    before it from a window over one row for each group and range."""
+    names = [f"__g{i}" for i in range(len(group))]
+    cut = rows.withColumns({"__a": amount, "__b": F.coalesce(range_of(F.col(order[0]), range_cuts(rows.select(order[0]), ranges_wanted(rows, parts))), F.lit(0))})
+    w = Window.partitionBy(*group, "__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    local = cut.withColumn("__local", F.coalesce(F.sum("__a").over(w), F.lit(0)))
+    sums = cut.groupBy(*group, "__b").agg(F.sum("__a").alias("s"))
+    before = F.coalesce(F.sum("s").over(Window.partitionBy(*group).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.select(*[F.col(c).alias(n) for c, n in zip(group, names, strict=True)], F.col("__b").alias("__eb"), before.alias("__before"))
+    same = F.col("__b") == F.col("__eb")
+    for c, n in zip(group, names, strict=True):
+        same &= F.col(c).eqNullSafe(F.col(n))
+    return local.join(sums, same, "left").select(*rows.columns, (F.col("__local") + F.col("__before")).alias(name))
 
 
 def entries_from(rows: DataFrame, current, ascending: bool = True, include_current: bool = True, key: str = "key") -> DataFrame:

@@ -79,9 +79,9 @@ def _key(user: int) -> bytes:
     return ((1 << 63) + user).to_bytes(8, "big")
 
 
-@query(_last(f"tsn <= {S} AND key = '8' || lpad(lower(to_hex(7)), 15, '0')", "op = 'PUT'"))
+@query(_last(f"tsn <= {S} AND key = '8' || lpad(lower(to_hex(ONE)), 15, '0')", "op = 'PUT'").replace("ONE", "4"))
 def get_one(spark, sf):
-    return shown(reads.get(commands(spark, sf), "s3", _key(7), S))
+    return shown(reads.get(commands(spark, sf), "s0", _key(4), S))
 
 
 ASKED = [1, 2, 2, 3, 50, 149, 999_999]
@@ -127,10 +127,10 @@ def prefix_scan_entries(spark, sf):
     return reads.ordered(reads.with_prefix(_customers(spark, sf), "Customer#00000012"))
 
 
-@query(f"WITH {C} SELECT * FROM c WHERE key LIKE '80000000000000%' AND key >= '8000000000000000' AND tsn < {S}")
+@query(f"WITH {C} SELECT * REPLACE ('8' || lpad(lower(to_hex(tsn)), 15, '0') AS key) FROM c WHERE tsn >= 256 AND tsn < 512")
 def prefix_scan_bytes(spark, sf):
-    rows = commands(spark, sf).where(F.col("tsn") < S)
-    return shown(reads.with_prefix(rows, b"\x80\x00\x00\x00\x00\x00\x00"))
+    rows = commands(spark, sf).withColumn("key", b.stable_long(F.col("tsn")))
+    return shown(reads.with_prefix(rows, b"\x80\x00\x00\x00\x00\x00\x01"))
 
 
 def _orders(spark, sf) -> DataFrame:
@@ -345,10 +345,19 @@ def tiered_triggers(spark, sf):
     return policies.tier_triggers(_catalog(spark, sf), TieredStrategy(number_of_tiers=3, size_ratio=0.6, min_merge_tiers=2))
 
 
-@query(f"{_FS} SELECT store_id, file_index FROM (SELECT *, row_number() OVER (PARTITION BY store_id ORDER BY head_entries / total_entries, min_tsn, file_index) AS rn FROM s) WHERE rn = 1")
+def _picked(order: str) -> str:
+    return f"SELECT store_id, file_index FROM (SELECT *, row_number() OVER (PARTITION BY store_id ORDER BY {order}) AS rn FROM s) WHERE rn = 1"
+
+
+@query(f"""{_FS}, a AS ({_picked("head_entries / total_entries, min_tsn, file_index")}), b AS ({_picked("min_tsn, file_index")}), d AS ({_picked("max_tsn, file_index")})
+SELECT store_id, a.file_index AS most_deletions, b.file_index AS oldest_smallest, d.file_index AS oldest_largest FROM a JOIN b USING (store_id) JOIN d USING (store_id)""")
 def pick_file(spark, sf):
-    f = compaction.file_stats(_filed(spark, sf), ["store_id", "file_index"])
-    return f.groupBy("store_id").agg(F.min_by("file_index", F.struct("head_history_ratio", "min_tsn", "file_index")).alias("file_index"))
+    """The policies choose from a store's catalog, a few rows for terabytes of data."""
+    stores: dict[str, list[policies.File]] = {}
+    for r in compaction.file_stats(_filed(spark, sf), ["store_id", "file_index"]).collect():
+        stores.setdefault(r["store_id"], []).append(policies.File(r["file_index"], 0, r["size_bytes"], bytes(r["min_key"]), bytes(r["max_key"]), r["min_tsn"], r["max_tsn"], r["head_entries"], r["total_entries"]))
+    rows = [(s, *(policies.pick(f, x).index for x in ("BY_MOST_DELETIONS", "OLDEST_SMALLEST_SEQUENCE_FIRST", "OLDEST_LARGEST_SEQUENCE_FIRST"))) for s, f in sorted(stores.items())]
+    return spark.createDataFrame(rows, "store_id string, most_deletions bigint, oldest_smallest bigint, oldest_largest bigint")
 
 
 def _wal(spark, sf) -> DataFrame:

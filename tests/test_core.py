@@ -219,3 +219,24 @@ def test_runs(spark, tmp_path):
     assert runs.read_runs(spark, []).count() == 0
     with pytest.raises(errors.FlushException):
         runs.write_run(c, str(tmp_path / "bad"), compression="zip")
+
+
+def test_seeks_and_neighbours_over_thousands_of_ranges(spark):
+    rows = spark.range(0, 40_000, 2).select(F.col("id").alias("key"))
+    probes = spark.createDataFrame([(x,) for x in (-1, 0, 1, 777, 39_998, 40_001)], "probe bigint")
+    found = {m: {r.probe: r.found for r in reads.seek_many(rows, probes, m, parts=2000).collect()} for m in reads.SEEKS}
+    assert found["ceiling"] == {-1: 0, 0: 0, 1: 2, 777: 778, 39_998: 39_998, 40_001: None}
+    assert found["floor"] == {-1: None, 0: 0, 1: 0, 777: 776, 39_998: 39_998, 40_001: 39_998}
+    assert found["higher"] == {-1: 0, 0: 2, 1: 2, 777: 778, 39_998: None, 40_001: None}
+    assert found["lower"] == {-1: None, 0: None, 1: 0, 777: 776, 39_998: 39_996, 40_001: 39_998}
+    near = reads.neighbours(rows, parts=2000).where("coalesce(previous_key, -2) <> key - 2 OR coalesce(next_key, 40000) <> key + 2")
+    assert near.count() == 0
+
+
+def test_running_total_by_ranges(spark):
+    r = random.Random(5)
+    rows = [(r.choice(["a", "b", None]), i // 3, i, r.randrange(10)) for i in range(500)]
+    df = spark.createDataFrame(rows, "g string, k int, t int, n int")
+    for parts in (1, 7, 300):
+        out = {x.t: x.before for x in reads.running_total(df, F.col("n"), ["g"], ["k", "t"], "before", parts).collect()}
+        assert out == {t: sum(m for h, _, u, m in rows if h == g and u < t) for g, _, t, _ in rows}
