@@ -21,10 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a
-    temporary one where that is unset (tests on one machine)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where that is
+    unset, a temporary one if all runs on one machine, else an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="kvstrata-")
         atexit.register(shutil.rmtree, root[7:], ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", root)
@@ -49,25 +51,39 @@ def materialize(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, label)
     before = {k: spark.conf.get(k, None) for k in _WRITING}
+    name = f"kvstrata_{uuid.uuid4().hex}" if by else None
     try:
         for k, v in _WRITING.items():
             spark.conf.set(k, v)
         if by:
-            n, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"kvstrata_{uuid.uuid4().hex}"
+            n = int(spark.conf.get("spark.sql.shuffle.partitions"))
             df.repartition(n, by).write.option("compression", "zstd").option("path", path).bucketBy(n, by).saveAsTable(name)
         else:
             df.write.option("compression", "zstd").parquet(path)
+    except BaseException:
+        if by:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+        remove_path(spark, path)
+        raise
     finally:
         for k, v in before.items():
             spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
     out = spark.table(name) if by else spark.read.schema(df.schema).parquet(path)
-    out._kvstrata_path, out._kvstrata_name = path, name if by else None
+    out._kvstrata_path, out._kvstrata_name = path, name
+    return out
+
+
+def owning(out: DataFrame, *frames: DataFrame) -> DataFrame:
+    """``out``, which reads the tables ``frames``: its release deletes them."""
+    out._kvstrata_owned = [*getattr(out, "_kvstrata_owned", []), *frames]
     return out
 
 
 def release(*frames: DataFrame) -> None:
-    """Delete tables that ``materialize`` wrote and that nothing reads any more."""
+    """Delete the tables that ``materialize`` wrote for these frames, and those they own.
+    Nothing may read them any more."""
     for df in frames:
+        release(*getattr(df, "_kvstrata_owned", []))
         path = getattr(df, "_kvstrata_path", None)
         if getattr(df, "_kvstrata_name", None):
             df.sparkSession.sql(f"DROP TABLE IF EXISTS {df._kvstrata_name}")

@@ -3,14 +3,18 @@
 Each document gets counts that one pass over its text yields. Documents that pass the
 base rules feed quantile sketches, one for each language, source and metric: log-linear
 histograms, whose buckets are at most 1/128 of their value wide and which merge by
-adding counts. From a sketch's quartiles comes the group's threshold,
-``q75 + spread * (q75 - q25) + slack``; groups of fewer than ``least`` documents use
-the merged sketch of their language, or of all. A document is kept if none of its
-metrics is above its group's threshold.
+adding counts. A sketch's two quantiles give a threshold, ``high + factor * (high - low)``:
+the middle and the upper quartile where values spread (up to a quarter of outliers
+doesn't move them), the middle and the last fiftieth where most documents have none. A
+group's threshold leans on its language's, and that on the one of all, the more the
+fewer documents it has; and it is at most twice its language's, so that a source full
+of junk doesn't set its own standard. A document is kept if none of its metrics is above
+its group's threshold.
 
 Defined results: a null text has no words (and so fails the base rules); null languages
 and sources are groups of their own; rows are judged one by one, so repeated rows share
-a verdict; an empty table gives no rows. Languages and sources are matched exactly.
+a verdict; an empty table gives no rows. Languages and sources are matched exactly. Very
+long texts are judged whole; one text's words and windows are what a task holds.
 """
 
 from __future__ import annotations
@@ -18,18 +22,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kvstrata.llm.common import materialize
+from kvstrata.llm.common import materialize, owning, release
 
 SPACE = r"[\x20\x09-\x0D]"
-#: name -> (per ten thousand words or characters, slack: what any text may have)
+#: name -> (per ten thousand words or characters, low and high percentile, factor, least threshold)
 METRICS = {
-    "symbols": ("10000 * n_symbols DIV greatest(word_chars, 1)", 200),
-    "dup_lines": ("10000 * n_dup_lines DIV greatest(n_lines, 1)", 5000),
-    "repeats": ("10000 * n_repeat_words DIV greatest(n_words, 1)", 2000),
-    "capitals": ("10000 * n_capitals DIV greatest(word_chars, 1)", 1500),
-    "marks": ("10000 * n_marks DIV greatest(word_chars, 1)", 400),
-    "word_length": ("100 * word_chars DIV greatest(n_words, 1)", 300),
+    "symbols": ("10000 * (n_symbols + n_marks) DIV greatest(word_chars, 1)", 50, 75, 12, 100),
+    "dup_lines": ("10000 * n_dup_lines DIV greatest(n_lines, 1)", 50, 98, 2, 500),
+    "repeats": ("10000 * n_repeat_words DIV greatest(n_words, 1)", 50, 98, 2, 200),
+    "capitals": ("10000 * n_capitals DIV greatest(word_chars, 1)", 50, 75, 12, 100),
+    "marks": ("10000 * n_marks DIV greatest(word_chars, 1)", 50, 75, 12, 100),
+    "word_length": ("100 * word_chars DIV greatest(n_words, 1)", 50, 75, 12, 100),
 }
+#: Documents of the coarser group that a group's own threshold is averaged with.
+PRIOR = 200
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals", "n_marks"]
 
 
@@ -81,7 +87,7 @@ def features(docs: DataFrame, keep: dict[str, Column], *, text_col: str = "text"
         _repeated_words(F.col("__w"), window).alias("n_repeat_words"),
         F.size("__l").alias("n_lines"),
         F.regexp_count("__t", F.lit("[A-Z]")).alias("n_capitals"),
-        F.regexp_count("__t", F.lit("[!?]")).alias("n_marks"),
+        F.regexp_count("__t", F.lit("[.,;:!?]")).alias("n_marks"),
     )
     out = out.select(*keep, *[F.col(c).cast("bigint").alias(c) for c in COUNTS])
     return out.withColumn("base_failed", (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words")))
@@ -96,7 +102,7 @@ def bucket(value: Column) -> Column:
 def sketch(rows: DataFrame, group: list[str]) -> DataFrame:
     """Sketches of all metrics by group: one row for each bucket with its count. Counts
     are summed before the shuffle, so a group of any size sends few rows."""
-    values = F.array(*[F.struct(F.lit(m).alias("metric"), bucket(F.expr(e).cast("bigint")).alias("bucket")) for m, (e, _) in METRICS.items()])
+    values = F.array(*[F.struct(F.lit(m).alias("metric"), bucket(F.expr(e).cast("bigint")).alias("bucket")) for m, (e, *_) in METRICS.items()])
     return rows.select(*group, F.explode(values).alias("v")).groupBy(*group, "v.metric", "v.bucket").agg(F.count("*").alias("n"))
 
 
@@ -105,45 +111,51 @@ def merged(sketches: DataFrame, group: list[str]) -> DataFrame:
     return sketches.groupBy(*group, "metric", "bucket").agg(F.sum("n").alias("n"))
 
 
-def thresholds(sketches: DataFrame, group: list[str], spread: int) -> DataFrame:
+def thresholds(sketches: DataFrame, group: list[str]) -> DataFrame:
     """n (documents) and one threshold for each metric, by group."""
     per = [*group, "metric"]
     buckets = sketches.groupBy(*per).agg(F.sum("n").alias("n"), F.sort_array(F.collect_list(F.struct("bucket", F.col("n").alias("c")))).alias("b"))
+    of = lambda i: F.create_map(*[F.lit(x) for m, rule in METRICS.items() for x in (m, rule[i])])[F.col("metric")]
 
-    def quantile(percent: int) -> Column:
+    def quantile(percent: Column) -> Column:
         """Lower edge of the first bucket up to which that share of the values lies."""
         zero = F.struct(F.lit(0).cast("bigint").alias("seen"), F.lit(None).cast("bigint").alias("at"))
         step = lambda s, x: F.struct((s["seen"] + x["c"]).alias("seen"), F.coalesce(s["at"], F.when(100 * (s["seen"] + x["c"]) >= percent * F.col("n"), x["bucket"])).alias("at"))
         key = F.aggregate("b", zero, step, lambda s: s["at"])
         return F.call_function("shiftleft", F.pmod(key, F.lit(256)), F.expr("0") + (key / 256).cast("int"))
 
-    slack = F.create_map(*[x for m, (_, s) in METRICS.items() for x in (F.lit(m), F.lit(s))])
-    edge = buckets.select(*per, "n", quantile(25).alias("lo"), quantile(75).alias("hi"))
-    edge = edge.withColumn("t", F.col("hi") + spread * (F.col("hi") - F.col("lo")) + slack[F.col("metric")])
+    edge = buckets.select(*per, "n", quantile(of(1)).alias("lo"), quantile(of(2)).alias("hi"))
+    edge = edge.withColumn("t", F.greatest(F.col("hi") + of(3) * (F.col("hi") - F.col("lo")), of(4).cast("bigint")))
     return edge.groupBy(*group).agg(F.max("n").alias("n"), *[F.max(F.when(F.col("metric") == m, F.col("t"))).alias(f"t_{m}") for m in METRICS])
 
 
-def judge(rows: DataFrame, *, spread: int = 3, least: int = 50) -> DataFrame:
+def limits_of(fine: DataFrame, prior: int = PRIOR) -> DataFrame:
+    """g_lang, g_source and one threshold ``t_`` for each metric, from the sketches by
+    language and source; one small row for each group."""
+    names = [f"t_{m}" for m in METRICS]
+    of_lang = thresholds(merged(fine, ["lang"]), ["lang"])
+    overall = thresholds(merged(fine, []), [])
+    blend = lambda n, own, other: F.expr(f"({n} * {own} + {prior} * {other}) DIV ({n} + {prior})")
+    c = overall.select(*[F.col(x).alias(f"c_{x}") for x in names]).limit(1)
+    b = of_lang.join(F.broadcast(c))  # one row
+    b = b.select(F.col("lang").alias("b_lang"), *[blend("n", x, f"c_{x}").alias(f"b_{x}") for x in names])
+    a = thresholds(fine, ["lang", "source"]).join(b, F.col("lang").eqNullSafe(F.col("b_lang")))
+    return a.select(F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), *[F.least(blend("n", x, f"b_{x}"), 2 * F.col(f"b_{x}")).alias(x) for x in names])
+
+
+def judge(rows: DataFrame, *, prior: int = PRIOR) -> DataFrame:
     """``rows`` of features with lang and source (one table in the shared folder, as it
     is read twice), with ``kept``. The thresholds are joined to the narrow rows; their
     side is small, and the optimizer broadcasts it only below its size limit."""
     fine = materialize(sketch(rows.where("NOT base_failed"), ["lang", "source"]), "quality-sketch")
-    by_lang = merged(fine, ["lang"])
-    overall = merged(fine, [])
-    names = [f"t_{m}" for m in METRICS]
-    a = thresholds(fine, ["lang", "source"], spread)
-    b = thresholds(by_lang, ["lang"], spread)
-    c = thresholds(overall, [], spread)
-    b = b.select(F.col("lang").alias("b_lang"), F.col("n").alias("b_n"), *[F.col(n).alias(f"b_{n}") for n in names])
-    c = c.select(F.col("n").alias("c_n"), *[F.col(n).alias(f"c_{n}") for n in names])
-    limits = a.join(b, F.col("lang").eqNullSafe(F.col("b_lang")), "left").join(F.broadcast(c.limit(1)), F.lit(True), "left")  # one row
-    limits = limits.select(F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), *[F.when(F.col("n") >= least, F.col(n)).when(F.col("b_n") >= least, F.col(f"b_{n}")).otherwise(F.col(f"c_{n}")).alias(n) for n in names])
-    limits = materialize(limits, "quality-limits")
+    limits = materialize(limits_of(fine, prior), "quality-limits")
+    release(fine)
     joined = rows.join(limits, F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source")), "left")
     ok = F.lit(True)
-    for m, (e, _) in METRICS.items():
+    for m, (e, *_) in METRICS.items():
         ok = ok & (F.expr(e) <= F.col(f"t_{m}"))
-    return joined.withColumn("kept", F.when(F.col("base_failed"), False).otherwise(F.coalesce(ok, F.lit(True)))).drop("g_lang", "g_source", *names)
+    out = joined.withColumn("kept", F.when(F.col("base_failed"), False).otherwise(F.coalesce(ok, F.lit(True))))
+    return owning(out.drop("g_lang", "g_source", *[f"t_{m}" for m in METRICS]), limits)
 
 
 def _col(docs: DataFrame, name: str | None) -> Column:
@@ -152,20 +164,22 @@ def _col(docs: DataFrame, name: str | None) -> Column:
 
 def quality(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang", source_col: str | None = "source", **rules) -> DataFrame:
     """Per row: id, the counts, base_failed and kept."""
-    rows = materialize(features(docs, {id_col: _col(docs, id_col), "lang": _col(docs, lang_col), "source": _col(docs, source_col)}, text_col=text_col), "quality-features")
-    return judge(rows, **rules).select(id_col, *COUNTS[:5], "base_failed", "kept", *COUNTS[5:])
-
-
-def filter_quality(docs: DataFrame, *, text_col: str = "text", lang_col: str | None = "lang", source_col: str | None = "source", **rules) -> DataFrame:
-    """The rows of ``docs`` that are kept, all columns unchanged.
-
-    The verdict depends on text, language and source alone, so kept rows are found again
-    by two hashes of the three (128 bits): no row needs an id. Only hashes are
-    shuffled with the rows' verdicts, one for each distinct content."""
-    content = [_col(docs, text_col), _col(docs, lang_col), _col(docs, source_col)]
-    marks = [F.coalesce(c.cast("string"), F.lit("")) for c in content] + [F.concat(*[F.when(c.isNull(), "1").otherwise("0") for c in content])]
-    h1, h2 = F.xxhash64(*marks), F.xxhash64(F.lit(7), *marks)
-    rows = materialize(features(docs, {"h1": h1, "h2": h2, "lang": content[1], "source": content[2]}, text_col=text_col), "quality-features")
-    keep = judge(rows, **rules).where("kept").select("h1", "h2").distinct()
-    tagged = docs.withColumn("__h1", h1).withColumn("__h2", h2)
-    return tagged.join(keep, (F.col("__h1") == F.col("h1")) & (F.col("__h2") == F.col("h2")), "left_semi").select(*[f"`{c}`" for c in docs.columns])
+    rows = materialize(features(docs, {"__id": _col(docs, id_col), "lang": _col(docs, lang_col), "source": _col(docs, source_col)}, text_col=text_col), "quality-features")
+    out = judge(rows, **rules)
+    return owning(out.select(F.col("__id").alias(id_col), *COUNTS[:5], "base_failed", "kept", *COUNTS[5:]), rows, out)
+
+
+def filter_quality(docs: DataFrame, *, text_col: str = "text", lang_col: str | None = "lang", source_col: str | None = "source", prior: int = PRIOR) -> DataFrame:
+    """The rows of ``docs`` that are kept, all columns unchanged, whatever their names.
+
+    One pass over the texts writes the rows with their counts to a table; the sketches
+    read its counts, and each row is judged where it lies by its group's thresholds. No
+    text is shuffled, no row needs an id, and copies of one text don't meet in a task."""
+    names = [f"__c{i}" for i in range(len(docs.columns))]
+    inner = docs.toDF(*names)
+    of = dict(zip(docs.columns, names, strict=True))
+    keep = {n: F.col(n) for n in names} | {c: _col(inner, of[x] if x else None) for c, x in (("lang", lang_col), ("source", source_col))}
+    rows = materialize(features(inner, keep, text_col=of[text_col]), "quality-features")
+    judged = judge(rows, prior=prior)
+    kept = judged.where("kept").select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])
+    return owning(kept, rows, judged)

@@ -86,16 +86,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _WORDS10 = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 _WORDS2 = r"regexp_extract_all(text, '[^\x20\x09-\x0D]+')"
-_METRICS2 = " UNION ALL ".join(f"SELECT lang, source, '{m}' AS metric, {slack} AS slack, CAST({e.replace('DIV', '//')} AS BIGINT) AS v FROM f WHERE NOT base_failed" for m, (e, slack) in quality.METRICS.items())
+_METRICS2 = " UNION ALL ".join(f"SELECT lang, source, '{m}' AS metric, {lo} AS plo, {hi} AS phi, {factor} AS factor, {least} AS least, CAST({e.replace('DIV', '//')} AS BIGINT) AS v FROM f WHERE NOT base_failed" for m, (e, lo, hi, factor, least) in quality.METRICS.items())
 
 
 def _limits2(groups: str) -> str:
     """Thresholds of sketches by group, as one row for each group and metric."""
     per = groups + ", " if groups else ""
-    return f"""SELECT {per}metric, max(n) AS n, max(hi) + 3 * (max(hi) - max(lo)) + max(slack) AS t FROM (
-  SELECT {per}metric, slack, n, min(CASE WHEN 100 * cum >= 25 * n THEN edge END) OVER g AS lo, min(CASE WHEN 100 * cum >= 75 * n THEN edge END) OVER g AS hi FROM (
-    SELECT {per}metric, slack, edge, sum(c) OVER (PARTITION BY {per}metric ORDER BY k) AS cum, sum(c) OVER (PARTITION BY {per}metric) AS n FROM (
-      SELECT {per}metric, slack, k, (k % 256) << (k // 256) AS edge, count(*) AS c FROM sk GROUP BY ALL))
+    return f"""SELECT {per}metric, max(n) AS n, greatest(max(hi) + max(factor) * (max(hi) - max(lo)), max(least)) AS t FROM (
+  SELECT {per}metric, factor, least, n, min(CASE WHEN 100 * cum >= plo * n THEN edge END) OVER g AS lo, min(CASE WHEN 100 * cum >= phi * n THEN edge END) OVER g AS hi FROM (
+    SELECT {per}metric, plo, phi, factor, least, edge, sum(c) OVER (PARTITION BY {per}metric ORDER BY k) AS cum, sum(c) OVER (PARTITION BY {per}metric) AS n FROM (
+      SELECT {per}metric, plo, phi, factor, least, k, (k % 256) << (k // 256) AS edge, count(*) AS c FROM sk GROUP BY ALL))
   WINDOW g AS (PARTITION BY {per}metric)) GROUP BY ALL"""
 
 
@@ -106,13 +106,14 @@ p AS (SELECT r, p, array_to_string(w[p:p+4], ' ') AS win FROM (SELECT r, w, unne
 q AS (SELECT r, count(DISTINCT q) AS n FROM (SELECT r, unnest(range(p, p + 5)) AS q FROM (SELECT *, count(*) OVER (PARTITION BY r, win) AS c FROM p) WHERE c > 1) GROUP BY r),
 b AS (SELECT w.r, doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, length(array_to_string(w, '')) AS word_chars, CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
   CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words, CAST(len(l) AS BIGINT) AS n_lines,
-  CAST(len(regexp_extract_all(text, '[A-Z]')) AS BIGINT) AS n_capitals, CAST(len(regexp_extract_all(text, '[!?]')) AS BIGINT) AS n_marks FROM w LEFT JOIN q USING (r)),
+  CAST(len(regexp_extract_all(text, '[A-Z]')) AS BIGINT) AS n_capitals, CAST(len(regexp_extract_all(text, '[.,;:!?]')) AS BIGINT) AS n_marks FROM w LEFT JOIN q USING (r)),
 f AS MATERIALIZED (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM b),
 m AS ({_METRICS2}),
 sk AS MATERIALIZED (SELECT *, greatest(length(bin(v)) - 8, 0) * 256 + (v >> greatest(length(bin(v)) - 8, 0)) AS k FROM m),
 l1 AS ({_limits2("lang, source")}), l2 AS ({_limits2("lang")}), l3 AS ({_limits2("")}),
-lim AS (SELECT l1.lang, l1.source, metric, CASE WHEN l1.n >= 50 THEN l1.t WHEN l2.n >= 50 THEN l2.t ELSE l3.t END AS t FROM l1 JOIN l2 USING (metric) JOIN l3 USING (metric) WHERE l1.lang IS NOT DISTINCT FROM l2.lang),
-bad AS (SELECT DISTINCT r FROM (SELECT f.r, f.lang, f.source, u.metric, u.v FROM f, LATERAL ({" UNION ALL ".join(f"SELECT '{m}' AS metric, {e.replace('DIV', '//')} AS v" for m, (e, _) in quality.METRICS.items())}) u) x JOIN lim ON lim.metric = x.metric AND lim.lang IS NOT DISTINCT FROM x.lang AND lim.source IS NOT DISTINCT FROM x.source WHERE v > t)
+b2 AS (SELECT l2.lang, metric, (l2.n * l2.t + {quality.PRIOR} * l3.t) // (l2.n + {quality.PRIOR}) AS t FROM l2 JOIN l3 USING (metric)),
+lim AS (SELECT l1.lang, l1.source, metric, least((l1.n * l1.t + {quality.PRIOR} * b2.t) // (l1.n + {quality.PRIOR}), 2 * b2.t) AS t FROM l1 JOIN b2 USING (metric) WHERE l1.lang IS NOT DISTINCT FROM b2.lang),
+bad AS (SELECT DISTINCT r FROM (SELECT f.r, f.lang, f.source, u.metric, u.v FROM f, LATERAL ({" UNION ALL ".join(f"SELECT '{m}' AS metric, {e.replace('DIV', '//')} AS v" for m, (e, *_) in quality.METRICS.items())}) u) x JOIN lim ON lim.metric = x.metric AND lim.lang IS NOT DISTINCT FROM x.lang AND lim.source IS NOT DISTINCT FROM x.source WHERE v > t)
 SELECT f.* EXCLUDE (r, lang, source), NOT base_failed AND r NOT IN (SELECT r FROM bad) AS kept FROM f"""
 
 ORACLES: dict[str, str] = {

@@ -5,6 +5,7 @@ from collections import Counter
 from helpers import frame, rows
 
 from kvstrata.llm import quality as q
+from kvstrata.llm.common import materialize
 
 COLS = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
 
@@ -49,10 +50,10 @@ def test_thresholds_follow_groups(spark):
         data.append((1000 + i, text(0.0), "en", "prose"))
     data += [(2000, text(0.6), "en", "prose"), (2001, text(0.6), "en", "tables"), (2002, text(0.0), None, None), (2003, text(0.0), "en", "rare"), (2004, text(0.6), "en", None)]
     df = spark.createDataFrame(data, "doc_id bigint, text string, lang string, source string")
-    got = {x.doc_id: x.kept for x in q.quality(df, least=50).collect()}
+    got = {x.doc_id: x.kept for x in q.quality(df, prior=20).collect()}
     assert not got[2000] and got[2001] and got[2002] and got[2003]
     assert all(got[i] and got[1000 + i] for i in range(120))
-    kept = q.filter_quality(df)
+    kept = q.filter_quality(df, prior=20)
     assert kept.columns == df.columns and sorted(x.doc_id for x in kept.collect()) == sorted(i for i, k in got.items() if k)
 
 
@@ -73,3 +74,33 @@ def test_filter_keeps_columns_and_rows(spark):
     want = Counter(x.doc_id for x in q.quality(df).where("kept").collect())
     assert Counter(x.doc_id for x in out.collect()) == want and out.columns == df.columns
     assert q.filter_quality(df.limit(0)).count() == 0
+
+
+def test_every_threshold_differs_between_groups(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    counted = materialize(q.features(docs, {"lang": docs.lang, "source": docs.source}), "counted")
+    limits = q.limits_of(materialize(q.sketch(counted.where("NOT base_failed"), ["lang", "source"]), "sketch")).collect()
+    assert len(limits) == 80
+    for m, rule in q.METRICS.items():
+        values = {r[f"t_{m}"] for r in limits}
+        assert len(values) > 20 and min(values) > rule[-1], m  # the least threshold never decides
+
+
+def test_a_source_full_of_junk_sets_no_standard(spark):
+    r = random.Random(6)
+    word = lambda: r.choice("abcdefgh") * r.randint(2, 6) + str(r.random())[2:6]
+    clean = lambda: " ".join(word() + ("," if r.random() < 0.1 else "") for _ in range(60))
+    junk = lambda: " ".join("####" + word() for _ in range(60))
+    data = [(i, clean(), "en", "good") for i in range(900)] + [(1000 + i, junk() if i % 3 == 0 else clean(), "en", "bad") for i in range(150)]
+    kept = {x.doc_id for x in q.quality(spark.createDataFrame(data, "doc_id bigint, text string, lang string, source string")).where("kept").collect()}
+    assert {d[0] for d in data} - kept == {i for i, _, _, s in data if s == "bad" and (i - 1000) % 3 == 0}
+
+
+def test_filter_takes_any_column_names(spark):
+    cases = cases_of(4)
+    clash = ["h1", "h2", "__h1", "n_words", "kept", "t_symbols", "g_lang", "__t", "__w", "n", "metric", "bucket"]
+    df = frame(spark, cases).select("doc_id", "text", "lang", "source", "n_chars")
+    for c in clash:
+        df = df.withColumn(c, df.doc_id + 1)
+    out = q.filter_quality(df)
+    assert out.columns == df.columns and Counter(map(tuple, out.collect())) <= Counter(map(tuple, df.collect())) and out.count() > 0
