@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes with A-Z lower-cased and every other byte unchanged.
@@ -104,6 +105,21 @@ def open_fs(path: str):
     return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
 
 
+def pieces(batches: Iterator[pa.RecordBatch], size: int = 4 << 20, rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Pieces of batches with at most ``rows`` rows and, but for single rows, ``size`` bytes of
+    their column ``text``."""
+    for batch in batches:
+        lo, held = 0, 0
+        for i, text in enumerate(batch["text"]):
+            n = len(text.as_buffer()) if text.is_valid else 0
+            if i > lo and (i - lo >= rows or held + n > size):
+                yield batch.slice(lo, i - lo)
+                lo, held = i, 0
+            held += n
+        if lo < batch.num_rows:
+            yield batch.slice(lo)
+
+
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 

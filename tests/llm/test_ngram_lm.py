@@ -63,12 +63,13 @@ def cases_of():
     return out + [(200, None), (201, ""), (None, "the w1"), (3, out[3][1]), (3, out[3][1]), (202, "one\nnew  W1 " * 400)]
 
 
-@pytest.mark.parametrize("order,passes", [(1, 1), (2, 2), (3, 2), (4, 1)])
-def test_against_dictionaries(spark, order, passes):
+@pytest.mark.parametrize("order,passes,group", [(1, 1, 100), (2, 2, 200), (3, 2, 100), (3, 4, 1 << 20), (4, 1, 200)])
+def test_against_dictionaries(spark, order, passes, group):
     cases = cases_of()
     held = [zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0 for i, _ in cases]
     m = Plain([t for (_, t), h in zip(cases, held, strict=True) if not h], order)
-    got = ngram_lm.split_and_score(frame(spark, cases), order=order, passes=passes).collect()
+    # Small groups: many of them, and the common words' keys are hot.
+    got = ngram_lm.split_and_score(frame(spark, cases), order=order, passes=passes, group_tokens=group, hold=700).collect()
     want = sorted(((i, h, len(toks(t)), sum(m.raw[w] > 0 for w in toks(t)), sum(m.raw.values()), m.base(t), m.score(t)) for (i, t), h in zip(cases, held, strict=True)), key=str)
     assert len(got) == len(want)
     for a, b in zip(sorted(map(tuple, got), key=str), want, strict=True):
@@ -99,3 +100,13 @@ def test_the_query_looks_at_two_words_before_each(spark, small):
     assert len(got) == len(docs)
     for i, t in docs[:20]:
         assert got[i] == pytest.approx(m.score(t), rel=1e-9)
+
+
+def test_tables_keep_large_counts():
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    key = np.unique(r.integers(0, 1 << 63, 5000, dtype=np.uint64) >> np.uint64(2))
+    values = [r.integers(0, 300, len(key)), np.full(len(key), 1 << 40)]
+    t = ngram_lm.Table(np.frombuffer(ngram_lm.dump(key, 3, values) + b"more", "u1"))
+    assert (t.get(key) == np.stack(values)).all() and not t.get(key + np.uint64(1 << 28)).any()
