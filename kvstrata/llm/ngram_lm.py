@@ -12,7 +12,7 @@ million n-grams. A context or ending that a sample of tokens shows to fill a gro
 dealt by whole n-grams instead, and its sums over the groups are added up.
 
 A group's counts are stored as sorted hash arrays: a directory over the leading bits, 32
-further bits of each hash, and a byte a count, with exact exceptions beyond 254. Workers map
+further bits of each hash, and a code of one or two bytes for its counts, which stand in a list. Workers map
 the files into memory and score whole batches of texts by binary search, so a worker's memory
 doesn't grow with the model; from a store that can't be mapped they read one group at a
 time, and keep a bounded number of groups.
@@ -101,12 +101,15 @@ def among(values: np.ndarray, few: np.ndarray) -> np.ndarray:
 
 
 def pack(arrays: list[np.ndarray]) -> bytes:
-    """Arrays of one length as bytes, each in the narrowest whole numbers that hold it."""
+    """Arrays of one length as bytes, each in the narrowest whole numbers that hold it;
+    arrays of zeros take none."""
     parts, codes = [], []
     for a in arrays:
-        kind = np.min_scalar_type(int(a.max()) if len(a) else 0)
-        codes.append(kind.itemsize)
-        parts.append(np.ascontiguousarray(a, kind).tobytes())
+        most = int(a.max()) if len(a) else 0
+        kind = np.min_scalar_type(most)
+        codes.append(kind.itemsize if most else 0)
+        if most:
+            parts.append(np.ascontiguousarray(a, kind).tobytes())
     return b"".join([np.array([len(arrays), len(arrays[0]), *codes], "<i8").tobytes(), *parts])
 
 
@@ -115,7 +118,7 @@ def unpack(raw: bytes) -> list[np.ndarray]:
     codes = np.frombuffer(raw, "<i8", k, 16).tolist()
     out, at = [], 16 + 8 * k
     for c in codes:
-        out.append(np.frombuffer(raw, f"<u{c}", n, at))
+        out.append(np.frombuffer(raw, f"<u{c}", n, at) if c else np.zeros(n, np.uint8))
         at += n * c
     return out
 
@@ -154,16 +157,24 @@ def dealt(group: np.ndarray, arrays: list[np.ndarray]) -> Iterator[tuple[int, li
 
 
 def dump(key: np.ndarray, skip: int, values: list[np.ndarray]) -> bytes:
-    """A table of sorted distinct keys (their first ``skip`` bits are alike) and their values."""
+    """A table of sorted distinct keys (their first ``skip`` bits are alike) and their values:
+    a row's code says where its values stand in the list of distinct ones."""
     n = len(key)
-    bits = max(0, (n // 4).bit_length())
+    bits = max(0, (n // 12).bit_length())
     bucket, rest = _split(key, skip, bits)
     starts = np.searchsorted(bucket, np.arange((1 << bits) + 1))
-    more = [np.flatnonzero(v > 254) for v in values]
-    parts = [np.array([n, skip, bits, len(values), *map(len, more)], "<i8").tobytes(), starts.astype("<u4").tobytes(), rest.astype("<u4").tobytes()]
-    for v, x in zip(values, more, strict=True):
-        parts += [np.minimum(v, 255).astype("u1").tobytes(), x.astype("<u4").tobytes(), v[x].astype("<i8").tobytes()]
-    return b"".join(parts)
+    code, room = np.zeros(n, np.int64), 1
+    for v in values:
+        most = int(v.max()) + 1 if n else 1
+        if room > (1 << 62) // most:  # number the combinations so far
+            code = np.unique(code, return_inverse=True)[1]
+            room = int(code.max()) + 1
+        code, room = code * most + v, room * most
+    _, first, code = np.unique(code, return_index=True, return_inverse=True)
+    listed = np.stack([v[first] for v in values]) if n else np.zeros((len(values), 0))
+    width = max(1, np.min_scalar_type(max(0, len(first) - 1)).itemsize)
+    parts = [np.array([n, skip, bits, *listed.shape, width], "<i8"), starts.astype("<u4"), rest.astype("<u4"), code.astype(f"<u{width}"), listed.astype("<i8")]
+    return b"".join(x.tobytes() for x in parts)
 
 
 def _split(key: np.ndarray, skip: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -177,22 +188,20 @@ class Table:
 
     def __init__(self, raw: np.ndarray):
         take = lambda at, kind, n: np.frombuffer(raw[at : at + n * np.dtype(kind).itemsize], kind)
-        self.n, self.skip, self.bits, k = take(0, "<i8", 4).tolist()
-        sizes = take(32, "<i8", k).tolist()
-        at = 32 + 8 * k
+        self.n, self.skip, self.bits, k, m, width = take(0, "<i8", 6).tolist()
+        at = 48
         self.starts = take(at, "<u4", (1 << self.bits) + 1)
         at += 4 * len(self.starts)
         self.rest = take(at, "<u4", self.n)
         at += 4 * self.n
-        self.values = []
-        for m in sizes:
-            self.values.append((take(at, "u1", self.n), take(at + self.n, "<u4", m), take(at + self.n + 4 * m, "<i8", m)))
-            at += self.n + 12 * m
-        self.size = at
+        self.code = take(at, f"<u{width}", self.n)
+        at += width * self.n
+        self.listed = take(at, "<i8", k * m).reshape(k, m)
+        self.size = at + 8 * k * m
 
     def get(self, key: np.ndarray) -> np.ndarray:
         """Values by key, a row each; 0 of absent keys. Sorted keys are found faster."""
-        out = np.zeros((len(self.values), len(key)), np.int64)
+        out = np.zeros((len(self.listed), len(key)), np.int64)
         if not self.n or not len(key):
             return out
         bucket, want = _split(key, self.skip, self.bits)
@@ -205,13 +214,7 @@ class Table:
             hi = np.where(less, hi, mid)
         at = np.minimum(lo, self.n - 1)
         hit = np.flatnonzero((lo < end) & (self.rest[at] == want))
-        at = at[hit]
-        for i, (small, where, large) in enumerate(self.values):
-            v = small[at].astype(np.int64)
-            if len(where):
-                big = np.flatnonzero(v == 255)
-                v[big] = large[np.searchsorted(where, at[big])]
-            out[i, hit] = v
+        out[:, hit] = self.listed[:, self.code[at[hit]]]
         return out
 
 
@@ -289,12 +292,13 @@ def _second_scan(docs: DataFrame, order: int, groups: int, passes: int, number:
             ctx = np.full(len(h), mix(np.array([BEGIN + _U(1)]))[0], _U)
             ctx[1:] = np.where(at[1:] > 0, ending[:-1], ctx[1:])
             full = at >= order - 2
+            words = [back(h, at, k) for k in range(order - 2, -1, -1)]
             out = []
             for kind, key in ((_GRAM, ctx), (_ENDING, ending)):
-                group = group_of(np.where(among(key, hot), g, key), groups)
-                i = np.flatnonzero(full & (group % passes == number))
+                group = group_of(np.where(among(key, hot), g, key) if len(hot) else key, groups)
+                i = np.flatnonzero(full & (group & (passes - 1) == number))
                 (one, j), n = distinct(g[i], i)
-                more = [key[j], one, n] if kind == _GRAM else [*(back(h, at, k)[j] for k in range(order - 2, -1, -1)), one]
+                more = [key[j], one, n] if kind == _GRAM else [*(w[j] for w in words), one]
                 out += [(kind, b, None, pack(arrays)) for b, arrays in dealt(group[j], more)]
             for lo in range(0, len(out), 200):
                 yield _rows(out[lo : lo + 200])
@@ -331,19 +335,22 @@ def _settle(rows: DataFrame, level: int, top: bool, folder: str, groups: list[in
                 *ends, g = columns(_ENDING, level + 1)
                 (g, *ends), _ = distinct(g, *ends)
                 ctx, gram, n = columns(_GRAM, 3)
-                order = np.argsort(gram, kind="stable")
+                order = np.argsort(gram)
                 gram, ctx, n = gram[order], ctx[order], n[order].astype(np.int64)
                 head = np.flatnonzero(np.concatenate(([True], gram[1:] != gram[:-1]))) if len(gram) else np.zeros(0, np.int64)
                 gram, ctx, n = gram[head], ctx[head], np.add.reduceat(n, head) if len(head) else n
                 facts(1, n, None)
                 tables = [dump(gram, 0, [n])]
-                follow = [np.zeros(len(n), np.int64), n, (n == 1).astype(np.int64), (n == 2).astype(np.int64), (n > 2).astype(np.int64), np.zeros(len(n), np.int64)]
-                one = _zeros(len(g), c=np.ones(len(g), np.int64))
-                none = np.zeros(len(ctx), _U)
+                (known, *ends), c = distinct(key_of(ends), *ends)
+                order = np.argsort(ctx)
+                ctx, n = ctx[order], n[order]
+                head = np.flatnonzero(np.concatenate(([True], ctx[1:] != ctx[:-1]))) if len(ctx) else np.zeros(0, np.int64)
+                follow = [np.add.reduceat(x, head) if len(head) else n for x in (n, (n == 1).astype(np.int64), (n == 2).astype(np.int64), (n > 2).astype(np.int64))]
+                none, zero = np.zeros(len(head), _U), np.zeros(len(head), np.int64)
                 # m-grams come before contexts, whose words aren't known here.
                 words = [np.concatenate([w, e, none]) for w, e in zip(words, ends, strict=True)]
-                sums = [np.concatenate(x) for x in zip(sums, one, follow, strict=True)]
-                key = np.concatenate([key, key_of(ends), ctx])
+                sums = [np.concatenate(x) for x in zip(sums, _zeros(len(c), c=c), [zero, *follow, zero], strict=True)]
+                key = np.concatenate([key, known, ctx[head]])
             key, words, sums = summed(key, words, sums)
             apart = among(key, hot) if top else np.zeros(len(key), bool)
             if apart.any():
@@ -550,7 +557,7 @@ def _collect(df: DataFrame, seen: np.ndarray, files: dict, number: int) -> None:
             files[number, r["grp"]] = r["name"]
 
 
-def train(docs: DataFrame, *, text_col: str = "text", order: int = 3, passes: int = 4, group_tokens: int = 1 << 20, hold: int = 1 << 20) -> Model:
+def train(docs: DataFrame, *, text_col: str = "text", order: int = 3, passes: int = 8, group_tokens: int = 1 << 20, hold: int = 1 << 20) -> Model:
     """Counts and writes a model from all rows of ``docs``, in a fresh folder of the shared
     store. Names of files, sums over all n-grams and sums of hot keys, of which there are
     fewer than groups, come to the driver."""
@@ -561,7 +568,7 @@ def train(docs: DataFrame, *, text_col: str = "text", order: int = 3, passes: in
     many = 1 << max(0, (size // 6 // group_tokens).bit_length())  # six bytes a token or so
     last = max(1, order - 1)
     groups = [1, min(many, 4096)] + [many] * (order - 2) if order > 2 else [1, many]
-    passes = min(passes, groups[last]) if order > 1 else 1
+    passes = min(1 << (passes - 1).bit_length(), groups[last]) if order > 1 else 1
     files: list[dict] = [{} for _ in range(last + 1)]
     rates: list[tuple] = [()] * (order + 1)
     empty = np.zeros(0, _U)
