@@ -171,7 +171,7 @@ def dump(key: np.ndarray, skip: int, values: list[np.ndarray]) -> bytes:
             room = int(code.max()) + 1
         code, room = code * most + v, room * most
     _, first, code = np.unique(code, return_index=True, return_inverse=True)
-    listed = np.stack([v[first] for v in values]) if n else np.zeros((len(values), 0))
+    listed = np.stack([v[first] for v in values], 1) if n else np.zeros((0, len(values)))
     width = max(1, np.min_scalar_type(max(0, len(first) - 1)).itemsize)
     parts = [np.array([n, skip, bits, *listed.shape, width], "<i8"), starts.astype("<u4"), rest.astype("<u4"), code.astype(f"<u{width}"), listed.astype("<i8")]
     return b"".join(x.tobytes() for x in parts)
@@ -188,7 +188,7 @@ class Table:
 
     def __init__(self, raw: np.ndarray):
         take = lambda at, kind, n: np.frombuffer(raw[at : at + n * np.dtype(kind).itemsize], kind)
-        self.n, self.skip, self.bits, k, m, width = take(0, "<i8", 6).tolist()
+        self.n, self.skip, self.bits, m, k, width = take(0, "<i8", 6).tolist()
         at = 48
         self.starts = take(at, "<u4", (1 << self.bits) + 1)
         at += 4 * len(self.starts)
@@ -196,12 +196,12 @@ class Table:
         at += 4 * self.n
         self.code = take(at, f"<u{width}", self.n)
         at += width * self.n
-        self.listed = take(at, "<i8", k * m).reshape(k, m)
+        self.listed = take(at, "<i8", k * m).reshape(m, k)
         self.size = at + 8 * k * m
 
     def get(self, key: np.ndarray) -> np.ndarray:
-        """Values by key, a row each; 0 of absent keys. Sorted keys are found faster."""
-        out = np.zeros((len(self.listed), len(key)), np.int64)
+        """A row of values for each key; zeros for absent ones. Sorted keys are found faster."""
+        out = np.zeros((len(key), self.listed.shape[1]), np.int64)
         if not self.n or not len(key):
             return out
         bucket, want = _split(key, self.skip, self.bits)
@@ -214,7 +214,7 @@ class Table:
             hi = np.where(less, hi, mid)
         at = np.minimum(lo, self.n - 1)
         hit = np.flatnonzero((lo < end) & (self.rest[at] == want))
-        out[:, hit] = self.listed[:, self.code[at[hit]]]
+        out[hit] = self.listed[self.code[at[hit]]]
         return out
 
 
@@ -263,9 +263,19 @@ def _first_scan(docs: DataFrame, order: int, groups: list[int], rate: float, hol
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rng = np.random.default_rng()
+        held, count = np.zeros(0, _U), np.zeros(0, np.int64)
+
+        def plain() -> Iterator[tuple]:
+            for k, g, _, p in _partial([held], _zeros(len(held), raw=count, **({"c": count} if order == 1 else {})), groups[1]):
+                yield k, g, "1", p
+
         for h, at in _blocks(batches, hold):
             (w,), n = distinct(h)
-            out = [(k, g, "1", p) for k, g, _, p in _partial([w], _zeros(len(w), raw=n, **({"c": n} if order == 1 else {})), groups[1])]
+            held, _, (count,) = summed(np.concatenate([held, w]), [], [np.concatenate([count, n])])
+            out: list[tuple] = []
+            if len(held) > 2 * hold:
+                out += plain()
+                held, count = held[:0], count[:0]
             for m in range(2, order):
                 i = np.flatnonzero(at == m - 2)
                 if len(i):
@@ -278,6 +288,9 @@ def _first_scan(docs: DataFrame, order: int, groups: list[int], rate: float, hol
                 out += [(_SAMPLE, k, None, None) for k in key]
             for lo in range(0, len(out), 1000):
                 yield _rows(out[lo : lo + 1000])
+        last = list(plain())
+        for lo in range(0, len(last), 1000):
+            yield _rows(last[lo : lo + 1000])
 
     return docs.mapInArrow(run, ROWS)
 
@@ -286,6 +299,7 @@ def _second_scan(docs: DataFrame, order: int, groups: int, passes: int, number:
     """n-grams by context with their counts, and by ending, for the groups of one pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mine = np.arange(groups) % passes == number
         for h, at in _blocks(batches, hold):
             grams = gram_hashes(h, at, order)
             g, ending = grams[-1], grams[-2]
@@ -296,7 +310,7 @@ def _second_scan(docs: DataFrame, order: int, groups: int, passes: int, number:
             out = []
             for kind, key in ((_GRAM, ctx), (_ENDING, ending)):
                 group = group_of(np.where(among(key, hot), g, key) if len(hot) else key, groups)
-                i = np.flatnonzero(full & (group & (passes - 1) == number))
+                i = np.flatnonzero(full & mine[group])
                 (one, j), n = distinct(g[i], i)
                 more = [key[j], one, n] if kind == _GRAM else [*(w[j] for w in words), one]
                 out += [(kind, b, None, pack(arrays)) for b, arrays in dealt(group[j], more)]
@@ -481,7 +495,7 @@ class Model:
 
     def _get(self, level: int, which: int, by: np.ndarray, key: np.ndarray, width: int) -> np.ndarray:
         """Values of keys in the ``which``-th tables of the groups of ``by``."""
-        out = np.zeros((width, len(key)), np.int64)
+        out = np.zeros((len(key), width), np.int64)
         order = np.argsort(by)
         group = group_of(by[order], self.groups[level])
         cut = np.concatenate(([0], np.flatnonzero(group[1:] != group[:-1]) + 1, [len(group)])) if len(group) else [0]
@@ -491,7 +505,7 @@ class Model:
                 mine = order[a:b]
                 if by is not key:
                     mine = mine[np.argsort(key[mine])]
-                out[:, mine] = tables[which].get(key[mine])
+                out[mine] = tables[which].get(key[mine])
         return out
 
     def sums(self, level: int, key: np.ndarray) -> np.ndarray:
@@ -501,12 +515,12 @@ class Model:
         if level == self.order - 1 and len(keys):
             at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
             hit = keys[at] == key
-            out[:, hit] = values[: len(out), at[hit]]
+            out[hit] = values[: out.shape[1], at[hit]].T
         return out
 
     def counts(self, ctx: np.ndarray, g: np.ndarray) -> np.ndarray:
         """Plain counts of n-grams."""
-        return self._get(self.order - 1, 1, np.where(among(ctx, self.hot[0]), g, ctx), g, 1)[0]
+        return self._get(self.order - 1, 1, np.where(among(ctx, self.hot[0]), g, ctx), g, 1)[:, 0]
 
     @staticmethod
     def _cut(count: np.ndarray, rate: tuple) -> np.ndarray:
@@ -517,10 +531,10 @@ class Model:
         h, starts = tokens(texts)
         at = places(starts)
         grams = gram_hashes(h, at, self.order)
-        u, inverse = np.unique(np.append(grams[0], mix(np.array([BEGIN + _U(1)]))), return_inverse=True)
-        words = self.sums(1, u)[:, inverse]
-        words, begin = words[:, :-1], words[:, -1]
-        count, raw = words[C], words[RAW]
+        begin = mix(np.array([BEGIN + _U(1)]))
+        u, inverse = np.unique(np.append(grams[0], begin), return_inverse=True)
+        before = self.sums(1, u)[inverse]  # the begin mark's come last
+        count, raw = before[:-1, C], before[:-1, RAW]
         base = np.log10((raw + 0.1) / (self.total + 0.1 * (self.distinct + 1)))
         d = self.rates[1]
         if self.types:
@@ -528,21 +542,20 @@ class Model:
             p = self._cut(count, d[:3]) / self.types + rest / (self.distinct + 1)
         else:
             p = np.full(len(h), 1.0 / (self.distinct + 1))
-        before, first = words, begin
         for level in range(2, self.order + 1):
             i = np.flatnonzero(at >= level - 2)
-            stats = np.where(at[i] > 0, before[:RAW, i - 1], first[:RAW, None])
+            stats = before[np.where(at[i] > 0, i - 1, len(h))]
             if level < self.order:
-                here = np.zeros((RAW, len(h)), np.int64)
-                here[:, i] = self.sums(level, grams[level - 1][i])
-                before, c = here, here[C, i]
+                before = np.zeros((len(h), RAW), np.int64)
+                before[i] = self.sums(level, grams[level - 1][i])
+                c = before[i, C]
             else:
-                ctx = np.where(at[i] > 0, grams[level - 2][i - 1], mix(np.array([BEGIN + _U(1)]))[0])
+                ctx = np.where(at[i] > 0, grams[level - 2][i - 1], begin[0])
                 c = self.counts(ctx, grams[level - 1][i])
-            known = stats[TOTAL] > 0
-            i, c, stats = i[known], c[known], stats[:, known]
+            known = np.flatnonzero(stats[:, TOTAL])
+            i, c, stats = i[known], c[known], stats[known]
             d = self.rates[level]
-            p[i] = (self._cut(c, d[:3]) + (d[0] * stats[2] + d[1] * stats[3] + d[2] * stats[4]) * p[i]) / stats[TOTAL]
+            p[i] = (self._cut(c, d[:3]) + (stats[:, 2:5] @ np.array(d[:3])) * p[i]) / stats[:, TOTAL]
         score = np.log10(p)
         sums = lambda x: np.add.reduceat(x, starts[:-1]).tolist() if len(starts) > 1 else []
         return np.diff(starts).tolist(), sums((raw > 0).astype(np.int64)), sums(base), sums(score)
@@ -557,7 +570,7 @@ def _collect(df: DataFrame, seen: np.ndarray, files: dict, number: int) -> None:
             files[number, r["grp"]] = r["name"]
 
 
-def train(docs: DataFrame, *, text_col: str = "text", order: int = 3, passes: int = 8, group_tokens: int = 1 << 20, hold: int = 1 << 20) -> Model:
+def train(docs: DataFrame, *, text_col: str = "text", order: int = 3, passes: int = 6, group_tokens: int = 1 << 20, hold: int = 1 << 19) -> Model:
     """Counts and writes a model from all rows of ``docs``, in a fresh folder of the shared
     store. Names of files, sums over all n-grams and sums of hot keys, of which there are
     fewer than groups, come to the driver."""
@@ -568,7 +581,7 @@ def train(docs: DataFrame, *, text_col: str = "text", order: int = 3, passes: in
     many = 1 << max(0, (size // 6 // group_tokens).bit_length())  # six bytes a token or so
     last = max(1, order - 1)
     groups = [1, min(many, 4096)] + [many] * (order - 2) if order > 2 else [1, many]
-    passes = min(1 << (passes - 1).bit_length(), groups[last]) if order > 1 else 1
+    passes = min(passes, groups[last]) if order > 1 else 1
     files: list[dict] = [{} for _ in range(last + 1)]
     rates: list[tuple] = [()] * (order + 1)
     empty = np.zeros(0, _U)

@@ -109,4 +109,4 @@ def test_tables_keep_large_counts():
     key = np.unique(r.integers(0, 1 << 63, 5000, dtype=np.uint64) >> np.uint64(2))
     values = [r.integers(0, 300, len(key)), np.full(len(key), 1 << 40)]
     t = ngram_lm.Table(np.frombuffer(ngram_lm.dump(key, 3, values) + b"more", "u1"))
-    assert (t.get(key) == np.stack(values)).all() and not t.get(key + np.uint64(1 << 28)).any()
+    assert (t.get(key) == np.stack(values, 1)).all() and not t.get(key + np.uint64(1 << 28)).any()
