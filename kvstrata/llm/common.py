@@ -39,22 +39,24 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/kvstrata/{label}-{uuid.uuid4().hex}"
 
 
-#: Settings while a table is written: Arrow batches stay small even if every row holds a
-#: very long text, and shuffle files go as soon as the table is there.
-_WRITING = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+#: While a table is written: Arrow batches stay small even if every row holds a very long
+#: text, and shuffle files go as soon as the table is there.
+_WRITING = {"spark.sql.execution.arrow.maxBytesPerBatch": str(32 << 20), "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
 
 
-def materialize(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
+def materialize(df: DataFrame, label: str, by: str | None = None, records: int = 1000) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it again: what
     was computed survives the loss of any executor, and its size is known to the
     optimizer. With ``by``, the table lies in buckets of that column, so that later joins
-    on it need not shuffle it. ``release`` deletes it."""
+    on it need not shuffle it. ``records`` bounds the rows of an Arrow batch. ``release``
+    deletes it."""
     spark = df.sparkSession
     path = shared_path(spark, label)
-    before = {k: spark.conf.get(k, None) for k in _WRITING}
+    settings = _WRITING | {"spark.sql.execution.arrow.maxRecordsPerBatch": str(records)}
+    before = {k: spark.conf.get(k, None) for k in settings}
     name = f"kvstrata_{uuid.uuid4().hex}" if by else None
     try:
-        for k, v in _WRITING.items():
+        for k, v in settings.items():
             spark.conf.set(k, v)
         if by:
             n = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -120,6 +122,7 @@ def pieces(batches: Iterator[pa.RecordBatch], size: int = 4 << 20, rows: int = 1
             yield batch.slice(lo)
 
 
+_U = np.uint64
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -155,13 +158,59 @@ def window_hashes(h: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
+def group_of(key: np.ndarray, groups: int) -> np.ndarray:
+    return (key >> _U(64 - (groups.bit_length() - 1))).astype(np.int64) if groups > 1 else np.zeros(len(key), np.int64)
+
+
+def pack(arrays: list[np.ndarray]) -> bytes:
+    """Arrays of one length as bytes, each in the narrowest whole numbers that hold it;
+    arrays of zeros take none."""
+    parts, codes = [], []
+    for a in arrays:
+        most = int(a.max()) if len(a) else 0
+        kind = np.min_scalar_type(most)
+        codes.append(kind.itemsize if most else 0)
+        if most:
+            parts.append(np.ascontiguousarray(a, kind).tobytes())
+    return b"".join([np.array([len(arrays), len(arrays[0]), *codes], "<i8").tobytes(), *parts])
+
+
+def unpack(raw: bytes) -> list[np.ndarray]:
+    k, n = np.frombuffer(raw, "<i8", 2).tolist()
+    codes = np.frombuffer(raw, "<i8", k, 16).tolist()
+    out, at = [], 16 + 8 * k
+    for c in codes:
+        out.append(np.frombuffer(raw, f"<u{c}", n, at) if c else np.zeros(n, np.uint8))
+        at += n * c
+    return out
+
+
+def dealt(group: np.ndarray, arrays: list[np.ndarray]) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """(group, its rows of the arrays)."""
+    order = np.argsort(group.astype(np.uint16) if len(group) and group.max() < 1 << 16 else group, kind="stable")
+    group = group[order]
+    cut = np.concatenate(([0], np.flatnonzero(group[1:] != group[:-1]) + 1, [len(group)])) if len(group) else [0]
+    arrays = [a[order] for a in arrays]
+    for a, b in zip(cut[:-1], cut[1:], strict=True):
+        yield int(group[a]), [x[a:b] for x in arrays]
+
+
 #: Texts are hashed in blocks of about so many bytes, and longer words one by one.
 _BLOCK, _LONG = 1 << 18, 64
 _GAP = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _BASE = 0x9E6C63D0876A9A35
-_SYMBOL = np.random.default_rng(20240301).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_SYMBOL[_GAP] = 0
-_SYMBOL_LOWER = _SYMBOL[np.frombuffer(LOWER, np.uint8)]
+
+
+def _symbols(seed: int) -> np.ndarray:
+    """A number for each byte; 0 for gaps."""
+    out = np.random.default_rng(seed).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    out[_GAP] = 0
+    return out
+
+
+#: By seed: two tables that have nothing to do with each other give two independent hashes.
+_SYMBOL = [_symbols(20240301), _symbols(20240302)]
+_SYMBOL_LOWER = [s[np.frombuffer(LOWER, np.uint8)] for s in _SYMBOL]
 _POWERS: list[np.ndarray] = []
 
 
@@ -175,13 +224,13 @@ def _powers() -> list[np.ndarray]:
     return _POWERS
 
 
-def _long_word(word: bytes, lower: bool) -> int:
+def _long_word(word: bytes, lower: bool, seed: int) -> int:
     from xxhash import xxh3_64_intdigest
 
-    return xxh3_64_intdigest(word.translate(LOWER) if lower else word)
+    return xxh3_64_intdigest(word.translate(LOWER) if lower else word, seed)
 
 
-def _hash_block(block: bytes, lower: bool) -> tuple[np.ndarray, np.ndarray]:
+def _hash_block(block: bytes, lower: bool, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """Starts and hashes of a block's words. The block begins and ends with a gap. A word's
     hash is a polynomial of its bytes' symbols, as a difference of sums over the block."""
     power, inverse = _powers()
@@ -189,15 +238,15 @@ def _hash_block(block: bytes, lower: bool) -> tuple[np.ndarray, np.ndarray]:
     gap = _GAP[x]
     edge = np.flatnonzero(gap[1:] != gap[:-1]) + 1
     start, end = edge[0::2], edge[1::2]
-    sums = np.cumsum((_SYMBOL_LOWER if lower else _SYMBOL)[x] * power[: len(x)])
+    sums = np.cumsum((_SYMBOL_LOWER if lower else _SYMBOL)[seed][x] * power[: len(x)])
     size = end - start
     h = mix((sums[end - 1] - sums[start - 1]) * inverse[start] + size.astype(np.uint64))
     for i in np.flatnonzero(size > _LONG).tolist():
-        h[i] = _long_word(block[start[i] : end[i]], lower)
+        h[i] = _long_word(block[start[i] : end[i]], lower, seed)
     return start, h
 
 
-def _pieces(text: bytes, lower: bool) -> Iterator[np.ndarray]:
+def _pieces(text: bytes, lower: bool, seed: int) -> Iterator[np.ndarray]:
     """Hashes of a long text's words, piece by piece; pieces end at gaps."""
     at, x = 0, np.frombuffer(text, np.uint8)
     while at < len(text):
@@ -205,26 +254,27 @@ def _pieces(text: bytes, lower: bool) -> Iterator[np.ndarray]:
         last = len(text) <= at + _BLOCK - 2
         if len(gaps) or last:
             end = len(text) if last else at + int(gaps[-1]) + 1
-            yield _hash_block(b" " + text[at:end] + b" ", lower)[1]
+            yield _hash_block(b" " + text[at:end] + b" ", lower, seed)[1]
         else:  # one word fills the piece
             end = at + _BLOCK - 2
             while end < len(text) and not (more := np.flatnonzero(_GAP[x[end : end + _BLOCK]])).size:
                 end += _BLOCK
             end = min(len(text), end + (int(more[0]) if end < len(text) else 0))
-            yield np.array([_long_word(text[at:end], lower)], np.uint64)
+            yield np.array([_long_word(text[at:end], lower, seed)], np.uint64)
         at = end
 
 
-def hash_texts(texts: list[bytes | None], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def hash_texts(texts: list[bytes | None], lower: bool = False, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words ``[^\\x20\\x09-\\x0D]+`` of all texts end to end (with ``lower``,
-    of their words with A-Z lower-cased), and how many words each text has."""
+    of their words with A-Z lower-cased), and how many words each text has. Seeds 0 and 1 give
+    independent hashes."""
     parts, sizes = [], np.zeros(len(texts), np.int64)
     held: list[bytes] = []
     first = room = 0
 
     def flush() -> None:
         if held:
-            start, h = _hash_block(b" " + b" ".join(held) + b" ", lower)
+            start, h = _hash_block(b" " + b" ".join(held) + b" ", lower, seed)
             bounds = np.cumsum([1, *(len(t) + 1 for t in held)])
             sizes[first : first + len(held)] = np.diff(np.searchsorted(start, bounds))
             parts.append(h)
@@ -235,7 +285,7 @@ def hash_texts(texts: list[bytes | None], lower: bool = False) -> tuple[np.ndarr
             flush()
             held, room = [], 0
         if len(t) + 2 > _BLOCK:
-            mine = list(_pieces(t, lower))
+            mine = list(_pieces(t, lower, seed))
             sizes[i] = sum(map(len, mine))
             parts += mine
             continue

@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kvstrata.llm.common import hash_texts, materialize, mix, open_fs, owning, pieces, release, remove_path, shared_path
+from kvstrata.llm.common import dealt, group_of, hash_texts, materialize, mix, open_fs, owning, pack, pieces, release, remove_path, shared_path, unpack
 
 _U = np.uint64
 END, BEGIN = _U(0x9AE16A3B2F90404F), _U(0xC949D7C7509E6557)
@@ -89,10 +89,6 @@ def key_of(words: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def group_of(key: np.ndarray, groups: int) -> np.ndarray:
-    return (key >> _U(64 - (groups.bit_length() - 1))).astype(np.int64) if groups > 1 else np.zeros(len(key), np.int64)
-
-
 def among(values: np.ndarray, few: np.ndarray) -> np.ndarray:
     """Which of the values are in the sorted array ``few``."""
     if not len(few):
@@ -100,29 +96,6 @@ def among(values: np.ndarray, few: np.ndarray) -> np.ndarray:
     return few[np.minimum(np.searchsorted(few, values), len(few) - 1)] == values
 
 
-def pack(arrays: list[np.ndarray]) -> bytes:
-    """Arrays of one length as bytes, each in the narrowest whole numbers that hold it;
-    arrays of zeros take none."""
-    parts, codes = [], []
-    for a in arrays:
-        most = int(a.max()) if len(a) else 0
-        kind = np.min_scalar_type(most)
-        codes.append(kind.itemsize if most else 0)
-        if most:
-            parts.append(np.ascontiguousarray(a, kind).tobytes())
-    return b"".join([np.array([len(arrays), len(arrays[0]), *codes], "<i8").tobytes(), *parts])
-
-
-def unpack(raw: bytes) -> list[np.ndarray]:
-    k, n = np.frombuffer(raw, "<i8", 2).tolist()
-    codes = np.frombuffer(raw, "<i8", k, 16).tolist()
-    out, at = [], 16 + 8 * k
-    for c in codes:
-        out.append(np.frombuffer(raw, f"<u{c}", n, at) if c else np.zeros(n, np.uint8))
-        at += n * c
-    return out
-
-
 def summed(key: np.ndarray, words: list[np.ndarray], sums: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
     """Rows in the order of distinct keys, with their sums; of equal keys, the first row's words."""
     if not len(key):
@@ -143,16 +116,6 @@ def distinct(key: np.ndarray, *more: np.ndarray) -> tuple[list[np.ndarray], np.n
     return [s[head], *(m[order[head]] for m in more)], np.diff(np.append(head, len(s)))
 
 
-def dealt(group: np.ndarray, arrays: list[np.ndarray]) -> Iterator[tuple[int, list[np.ndarray]]]:
-    """(group, its rows of the arrays)."""
-    order = np.argsort(group.astype(np.uint16) if len(group) and group.max() < 1 << 16 else group, kind="stable")
-    group = group[order]
-    cut = np.concatenate(([0], np.flatnonzero(group[1:] != group[:-1]) + 1, [len(group)])) if len(group) else [0]
-    arrays = [a[order] for a in arrays]
-    for a, b in zip(cut[:-1], cut[1:], strict=True):
-        yield int(group[a]), [x[a:b] for x in arrays]
-
-
 # ---------------------------------------------------------------- stored tables
 
 

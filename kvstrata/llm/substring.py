@@ -1,33 +1,37 @@
 """Removal of passages that repeat across documents, by recompression.
 
-Recompression rewrites a text in rounds: runs of one symbol become one symbol, then
-symbols are dealt to a left and a right side and each left-right pair becomes one symbol.
-A new symbol's name is a fingerprint of what it stands for, the same in all documents
-and tasks, so no table of names has to be agreed on or shuffled; whether two symbols
-merge is decided by their names alone. Equal passages therefore get equal symbols
-but for a few at their ends.
-
-Round 1 sends names through one shuffle, sorted by name and document:
-- symbols of 13 words or more, each time their length passes a power of four, and the
-  symbol of the whole text. One that a document with a smaller id has too (128 bits
-  agree) shows that all its words repeat;
-- for each window of 13 words, the least fingerprint among the boundaries of first-round
-  symbols in its interior, with three words of context on each side. What makes a boundary
-  lies within the context, so equal windows have equal boundaries. A window whose
-  fingerprint no other document has is unique and needs nothing more. A window
-  without a boundary (in runs) sends its own fingerprint.
-Round 2 sends the windows that are left: not inside a symbol known to repeat, and with a
-fingerprint that several documents have. Each is compared by 128 bits with the windows
-of all documents; the first document with a window never drops out before.
-Round 3 removes the words and digests what is kept.
-
-Rows are sorted and stream by, so frequent passages take no memory; what returns to a
-document is bounded by its own length. Documents' texts are shuffled twice.
+Recompression rewrites all texts in rounds. In each round, runs of one symbol become one
+symbol, and of the other symbols, dealt to a left and a right side by their names, each
+left-right pair becomes one symbol. A round is two jobs:
+
+- Naming. Texts, in blocks of a few MB, ask for the names of their distinct runs and
+  pairs; a shuffle brings equal ones of all blocks together. Two different ones never get
+  one name, as all of what a name stands for is compared, down to words, whose names are
+  checked against a second, independent hash. The answer also says whether other
+  documents have the symbol, and whether one with a smaller id has it.
+- Rewriting. Blocks take the answers and put the named symbols in place. A symbol that
+  only one document has ends there: nothing that holds it can repeat. Each symbol carries
+  the span of words that its making depended on. Equal windows of 13 words hold equal
+  symbols wherever that span lies inside the window, so a window with a symbol of one
+  document inside is unique and drops out, and with it all symbols that no open window
+  touches. After two or three rounds little but repeated text is left.
+- A symbol of 13 words or more that a document with a smaller id has shows that all its
+  words repeat, and settles the windows inside it.
+
+Windows still open after the last round lie at the ends of repeated passages, or in ones
+too short for a symbol. They are judged by one more naming: a window's name comes from its
+words' names, and is compared by 128 bits that start from both hashes of the words. The
+first document with a window never drops out before, as its symbols are shared or it has no
+equal window; so the result is complete whatever the rounds have settled.
+
+A block asks once for a symbol, however often it has it, so a frequent passage costs one
+row a block. A task holds one block's words, or one group of names; groups grow in number
+with the text. Blocks with their texts are shuffled three times, symbols once a round.
 
 Defined results: a null text has no words; rows without an id are kept whole and count
 for no other; rows that share an id are one document as to what is smaller, and each
-is judged by its own words; an empty table gives no rows. Only the id and text columns
-are read, so extra columns may have any names.
+is judged by its own words; an empty table gives no rows. A very long text is a block of
+its own. Only the id and text columns are read, so extra columns may have any names.
 """
 
 from __future__ import annotations
@@ -37,277 +41,403 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kvstrata.llm.common import hash_texts, materialize, mix, release, window_hashes
+from kvstrata.llm.common import dealt, group_of, hash_texts, materialize, mix, owning, pack, pieces, release, unpack, window_hashes
 
 WINDOW = 13
-CONTEXT = 3
 _U = np.uint64
-_NONE = _U(0xFFFFFFFFFFFFFFFF)
-_SECOND = _U(0xA0761D6478BD642F)
 _ONE = _U(1)
+_FAR = WINDOW + 1  # a span that reaches further can't lie in a window
+#: What a name stands for.
+PAIR, RUN, SPAN, WORD = range(4)
+#: Answers: only this document has it; others have it, but none before the block's first; one before has it.
+ALONE, SHARED, EARLIER = range(3)
+#: Added to the answer if the name was taken; the symbol gets its second name.
+_RENAMED = 4
+
+_TEXT, _STATE, _ASK, _ANSWER, _CLASH = range(5)
+ROWS = "kind int, blk bigint, grp bigint, payload binary, open binary, gone binary, ids array<bigint>, sizes array<int>, texts array<binary>"
+_NAMES = [c.split()[0] for c in ROWS.split(", ")]
+_TYPES = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.binary())]
+
+
+def _row(kind: int, blk: int, **values) -> pa.RecordBatch:
+    return _batch([(kind, blk, values)])
+
+
+def _batch(rows: list[tuple[int, int, dict]]) -> pa.RecordBatch:
+    columns = [[r[0] for r in rows], [r[1] for r in rows], *([r[2].get(c) for r in rows] for c in _NAMES[2:])]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _TYPES, strict=True)], _NAMES)
+
+
+def name_of(x1: np.ndarray, x2: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    """Names of pairs (two symbols), runs (symbol, length) and windows (two fingerprints). A
+    word's is its first hash, whatever its second."""
+    return np.where(kind == WORD, x1, mix(mix(x1 ^ (kind.astype(_U) * _U(0xA0761D6478BD642F))) * _U(0xD6E8FEB86659FD93) + x2))
+
+
+def second_name(x1: np.ndarray, x2: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    return mix(mix(x2 + _U(0x9FB21C651E98DF25)) * _U(0xC2B2AE3D27D4EB4F) + mix(x1) + kind.astype(_U))
+
+
+def by_groups(starts: np.ndarray, head: np.ndarray, how) -> np.ndarray:
+    return how.reduceat(starts, head) if len(head) else starts[:0]
+
+
+class Question:
+    """Distinct (x1, x2, kind) of a block, with the least and greatest id of each."""
+
+    def __init__(self, x1: np.ndarray, x2: np.ndarray, kind: np.ndarray, ids: np.ndarray, groups: int):
+        name = name_of(x1, x2, kind)
+        order = np.lexsort((x2, x1, name)) if len(name) and _clash(name, x1, x2) else np.argsort(name)
+        n1, n2 = x1[order], x2[order]
+        new = np.concatenate(([True], (n1[1:] != n1[:-1]) | (n2[1:] != n2[:-1]))) if len(name) else np.zeros(0, bool)
+        head = np.flatnonzero(new)
+        self.of = np.empty(len(name), np.int64)  # which of the distinct ones each is
+        self.of[order] = np.cumsum(new) - 1
+        self.name, self.x1, self.x2, self.kind = name[order[head]], n1[head], n2[head], kind[order[head]]
+        self.lo, self.hi = by_groups(ids[order], head, np.minimum), by_groups(ids[order], head, np.maximum)
+        self.groups = groups
+
+    def parts(self) -> Iterator[tuple[int, np.ndarray]]:
+        """(group, which of the distinct ones go there)."""
+        for g, (at,) in dealt(group_of(self.name, self.groups), [np.arange(len(self.name))]):
+            yield g, at
+
+    def payloads(self) -> Iterator[tuple[int, bytes]]:
+        for g, at in self.parts():
+            base = int(self.lo[at].min())
+            yield g, np.int64(base).tobytes() + pack([self.x1[at], self.x2[at], self.kind[at], self.lo[at] - base, self.hi[at] - self.lo[at]])
+
+    def answers(self, found: dict[int, bytes]) -> np.ndarray:
+        """One answer for each of the distinct ones."""
+        out = np.zeros(len(self.name), np.uint8)
+        for g, at in self.parts():
+            out[at] = np.frombuffer(found[g], np.uint8)
+        return out
+
+
+def _clash(name: np.ndarray, x1: np.ndarray, x2: np.ndarray) -> bool:
+    order = np.argsort(name)
+    a, b, c = name[order], x1[order], x2[order]
+    return bool(((a[1:] == a[:-1]) & ((b[1:] != b[:-1]) | (c[1:] != c[:-1]))).any())
+
+
+def named(g: int, rows: list[tuple[int, list[np.ndarray]]]) -> Iterator[pa.RecordBatch]:
+    """Answers to all that blocks ask of one group: rows of (block, x1, x2, kind, least and
+    greatest id)."""
+    x1, x2, kind, lo, hi = (np.concatenate(c) for c in zip(*(r for _, r in rows), strict=True))
+    x1, x2 = x1.astype(_U), x2.astype(_U)
+    name = name_of(x1, x2, kind)
+    taken = np.zeros(len(name), bool)
+    order = np.argsort(name)
+    s, a, b, k = name[order], x1[order], x2[order], kind[order]
+    mixed = (s[1:] == s[:-1]) & ((a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (k[1:] != k[:-1]))
+    if mixed.any():
+        if (k[1:][mixed] == WORD).any():
+            yield _row(_CLASH, 0)
+        order = np.lexsort((kind, x2, x1, name))
+        s, a, b, k = name[order], x1[order], x2[order], kind[order]
+    fresh = np.concatenate(([True], s[1:] != s[:-1]))
+    new = fresh.copy()
+    new[1:] |= (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (k[1:] != k[:-1])
+    head = np.flatnonzero(new)
+    size = np.diff(np.append(head, len(s)))
+    least, most = np.repeat(np.minimum.reduceat(lo[order], head), size), np.repeat(np.maximum.reduceat(hi[order], head), size)
+    taken[order] = np.repeat(~fresh[head], size)
+    answer = np.empty(len(name), np.uint8)
+    answer[order] = np.where(least == most, ALONE, np.where(least < lo[order], EARLIER, SHARED))
+    answer += taken.astype(np.uint8) * np.uint8(_RENAMED)
+    at, out = 0, []
+    for blk, r in rows:
+        if r[2][0] != WORD:
+            out.append((_ANSWER, blk, {"grp": g, "payload": answer[at : at + len(r[0])].tobytes()}))
+        at += len(r[0])
+    for i in range(0, len(out), 500):
+        yield _batch(out[i : i + 500])
+
+
+def settle(asked: DataFrame, groups: int) -> DataFrame:
+    """Names all that the blocks ask for: one task has all that may get one name."""
 
-
-class Texts:
-    """The words of some texts, end to end, as fingerprints."""
-
-    def __init__(self, texts: list[bytes | None]):
-        self.h, self.sizes = hash_texts(texts)
-        self.first = np.concatenate(([0], np.cumsum(self.sizes)))[:-1]
-        self.doc = np.repeat(np.arange(len(texts)), self.sizes)
-
-    def windows(self) -> tuple[np.ndarray, np.ndarray]:
-        """Starts of all windows, and their fingerprints."""
-        w = window_hashes(self.h, WINDOW)
-        at = np.flatnonzero(self.doc[: len(w)] == self.doc[WINDOW - 1 :]) if len(w) else np.zeros(0, np.int64)
-        return at, w[at]
-
-    def second(self, at: np.ndarray) -> np.ndarray:
-        """Second fingerprints of the windows that start there."""
-        return window_hashes(mix(self.h ^ _SECOND), WINDOW)[at] if len(at) else np.zeros(0, _U)
-
-    def marks(self, at: np.ndarray, w: np.ndarray) -> np.ndarray:
-        """Of each window (starts and fingerprints), the least fingerprint of a boundary
-        in its interior; of one without, its own. The lowest bit is 0."""
-        h, n, c = self.h, len(self.h), CONTEXT
-        key = np.full(n + 1, _NONE, _U)
-        ctx = window_hashes(h, 2 * c)
-        if len(ctx):
-            p = np.arange(c, c + len(ctx))
-            side = mix(h + _U(0x2545F4914F6CDD1D)) & _ONE
-            ok = (self.doc[p - c] == self.doc[p + c - 1]) & (h[p - 2] != h[p - 1]) & (h[p - 1] != h[p]) & (h[p] != h[p + 1])
-            ok &= ~((side[p - 1] == 0) & (side[p] == 1))  # else the two merge in round one
-            key[p[ok]] = ctx[ok]
-        width = WINDOW - 2 * c + 1  # boundaries from start + c to start + WINDOW - c
-        low, size = key, 1
-        while size * 2 <= width:
-            low = np.minimum(low[:-size], low[size:])
-            size *= 2
-        if size < width:
-            low = np.minimum(low[: len(low) - (width - size)], low[width - size :])
-        best = low[at + c]
-        return np.where(best == _NONE, mix(w ^ _SECOND), best) & ~_ONE
-
-    def symbols(self, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """First word, length, name and second name of the symbols that are worth
-        sharing, of all texts or the ``wanted`` ones. The lowest bit of names is 1."""
-        start = np.arange(len(self.h)) if wanted is None else np.flatnonzero(wanted[self.doc])
-        s, doc = self.h[start], self.doc[start]
-        t, size = mix(s ^ _SECOND), np.ones(len(s), np.int64)
-        rank = np.zeros(len(s), np.int64)  # powers of four that the length has passed
-        out: list[tuple] = []
-        for level in range(200):
-            if len(s) < 2 or (doc[1:] != doc[:-1]).all():
-                break
-            for runs in (True, False):
-                same = doc[1:] == doc[:-1]
-                if runs:
-                    join = same & (s[1:] == s[:-1])
-                else:
-                    side = mix(s + _U(level * 2 + 3)) & _ONE
-                    join = same & (side[:-1] == 0) & (side[1:] == 1)
-                if not join.any():
-                    continue
-                head = np.flatnonzero(np.concatenate(([True], ~join)))
-                count = np.diff(np.append(head, len(s)))
-                many = count > 1
-                if runs:
-                    new_s = np.where(many, mix(s[head] * _U(0x9E3779B97F4A7C15) + count.astype(_U)), s[head])
-                    new_t = np.where(many, mix(t[head] * _U(0xC2B2AE3D27D4EB4F) + count.astype(_U)), t[head])
-                else:
-                    last = head + count - 1
-                    new_s = np.where(many, mix(mix(s[head]) * _U(0xD6E8FEB86659FD93) + s[last]), s[head])
-                    new_t = np.where(many, mix(mix(t[head]) * _U(0x9FB21C651E98DF25) + t[last]), t[head])
-                size = np.add.reduceat(size, head)
-                had = np.maximum.reduceat(rank, head)
-                start, doc = start[head], doc[head]
-                # Not the name alone but the passage's length counts: 13, 52, 208, ...
-                rank = np.where(size >= WINDOW, 1 + np.floor(np.log2(np.maximum(size, WINDOW) / WINDOW) / 2).astype(np.int64), 0)
-                s, t = new_s, new_t
-                grown = np.flatnonzero(rank > had)
-                out.append((start[grown], size[grown], s[grown], t[grown]))
-        whole = size >= WINDOW
-        whole &= size == self.sizes[doc] if len(doc) else whole
-        out.append((start[whole], size[whole], s[whole], t[whole]))
-        a, b, c, d = (np.concatenate(x) for x in zip(*out, strict=True))
-        return a, b, c | _ONE, d
-
-
-def _signed(x: np.ndarray) -> pa.Array:
-    return pa.array(np.ascontiguousarray(x).view(np.int64))
-
-
-_PART = 500
-
-
-def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pieces of batches with at most ``_PART`` rows and, but for single rows, 4 MB of text."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held = None, []
+        for batch in batches:
+            for blk, g, payload in zip(batch["blk"].to_pylist(), batch["grp"].to_pylist(), batch["payload"], strict=True):
+                if g != group:
+                    if held:
+                        yield from named(group, held)
+                    group, held = g, []
+                raw = payload.as_py()
+                base = np.frombuffer(raw, np.int64, 1)[0]
+                x1, x2, kind, lo, more = unpack(raw[8:])
+                lo = lo.astype(np.int64) + base
+                held.append((blk, [x1, x2, kind, lo, lo + more.astype(np.int64)]))
+        if held:
+            yield from named(group, held)
+
+    n = min(groups, 4096)
+    return asked.select("blk", "grp", "payload").repartitionById(n, F.floor(F.col("grp") * n / groups).cast("int")).sortWithinPartitions("grp").mapInArrow(run, ROWS)
+
+
+class Words:
+    """The words of a block's texts end to end, by both hashes. Texts without an id have none."""
+
+    def __init__(self, ids: list[int | None], texts: list[bytes | None], salt: int, both: bool = False):
+        mine = [t if i is not None else None for i, t in zip(ids, texts, strict=True)]
+        self.name, self.sizes = hash_texts(mine)
+        self.other = hash_texts(mine, seed=1)[0] if both or salt else None
+        if salt:  # two words had one hash: names come from both
+            self.name = mix(self.name + mix(self.other + _U(salt)))
+
+    def windows(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Two fingerprints of the windows that start there."""
+        return window_hashes(self.name, WINDOW)[at], window_hashes(mix(self.other ^ mix(self.name)), WINDOW)[at]
+
+
+class Sequence:
+    """A block's symbols: names, first words and lengths in words, and the span of words
+    that each one's making depended on; the windows that are open (by first word), and the
+    words that go."""
+
+    def __init__(self, ids, sizes, s, a, n, lo, hi, open_, gone):
+        self.ids, self.sizes = np.array([i if i is not None else 0 for i in ids], np.int64), np.asarray(sizes, np.int64)
+        self.raw_ids = ids
+        self.s, self.a, self.n, self.lo, self.hi, self.open, self.gone = s, a, n, lo, hi, open_, gone
+        self.doc_of = np.repeat(np.arange(len(self.sizes)), self.sizes)
+
+    @classmethod
+    def start(cls, ids, words: Words) -> Sequence:
+        sizes, total = words.sizes, len(words.name)
+        at = np.arange(total)
+        ends = np.repeat(np.cumsum(sizes), sizes)
+        return cls(ids, sizes, words.name, at, np.ones(total, np.int64), at, at + 1, at + WINDOW <= ends, np.zeros(total, bool))
+
+    @classmethod
+    def load(cls, row: dict) -> Sequence:
+        total = sum(row["sizes"])
+        bits = lambda c: np.unpackbits(np.frombuffer(row[c], np.uint8), count=total).astype(bool)
+        s, a, n, left, right = unpack(row["payload"])
+        a, n = a.astype(np.int64), n.astype(np.int64)
+        return cls(row["ids"], row["sizes"], s.astype(_U), a, n, a - left, a + n + right, bits("open"), bits("gone"))
+
+    def row(self, blk: int, symbols: bool = True) -> pa.RecordBatch:
+        left, right = np.minimum(self.a - self.lo, _FAR), np.minimum(self.hi - self.a - self.n, _FAR)
+        return _row(_STATE, blk, payload=pack([self.s, self.a, self.n, left, right]) if symbols else None, open=np.packbits(self.open).tobytes(), gone=np.packbits(self.gone).tobytes(), ids=self.raw_ids, sizes=self.sizes.tolist())
+
+    def merge(self, number: int) -> tuple[Sequence, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The sequence with this round's runs and pairs as symbols, which of its symbols
+        these are, and what each stands for: x1, x2 and kind."""
+        s, a, n, k = self.s, self.a, self.n, len(self.s)
+        if not k:
+            none = np.zeros(0, np.int64)
+            return self, none, s, s, none
+        doc = self.doc_of[a]
+        next_ = np.zeros(k, bool)  # whether symbol i + 1 follows i in the text
+        next_[:-1] = (a[:-1] + n[:-1] == a[1:]) & (doc[1:] == doc[:-1])
+        equal = next_.copy()
+        equal[:-1] &= s[1:] == s[:-1]
+        before = np.concatenate(([False], equal[:-1]))
+        side = (mix(s + _U(2 * number + 3)) & _ONE).astype(bool)
+        pair = next_ & ~equal & ~before & ~side
+        pair[:-1] &= side[1:] & ~equal[1:]
+        join = equal | pair
+        head = np.flatnonzero(~np.concatenate(([False], join[:-1])))
+        count = np.diff(np.append(head, k))
+        # How far it reaches what a symbol's neighbours say, and their neighbours.
+        left = np.where(np.concatenate(([False], next_[:-1])), np.concatenate((self.lo[:1], self.lo[:-1])), a - _FAR)
+        right = np.where(next_, np.concatenate((self.hi[1:], self.hi[-1:])), a + n + _FAR)
+        lo, hi = np.minimum(self.lo, left), np.maximum(self.hi, right)
+        far_lo = np.minimum(lo, np.where(np.concatenate(([False], next_[:-1])), np.concatenate((lo[:1], lo[:-1])), a - _FAR))
+        far_hi = np.maximum(hi, np.where(next_, np.concatenate((hi[1:], hi[-1:])), a + n + _FAR))
+        made = count > 1
+        new = np.flatnonzero(made)
+        new_lo = np.where(made, np.minimum.reduceat(lo, head), far_lo[head])
+        new_hi = np.where(made, np.maximum.reduceat(hi, head), far_hi[head])
+        run = equal[head[new]]
+        x1, x2 = s[head[new]], np.where(run, count[new].astype(_U), s[np.minimum(head[new] + 1, k - 1)])
+        kind = np.where(run, RUN, PAIR)
+        names = s[head].copy()
+        names[new] = name_of(x1, x2, kind)
+        out = Sequence(self.raw_ids, self.sizes, names, a[head], np.add.reduceat(n, head), new_lo, new_hi, self.open, self.gone)
+        return out, new, x1, x2, kind
+
+    def ask(self, number: int, groups: int) -> Question:
+        seq, new, x1, x2, kind = self.merge(number)
+        return Question(x1, x2, kind, self.ids[self.doc_of[seq.a[new]]], groups)
+
+    def rewrite(self, number: int, groups: int, found: dict[int, bytes]) -> Sequence:
+        """The next sequence, by the answers to ``ask``."""
+        seq, new, x1, x2, kind = self.merge(number)
+        ids = self.ids[self.doc_of[seq.a[new]]]
+        q = Question(x1, x2, kind, ids, groups)
+        answer = q.answers(found)[q.of]
+        other = answer >= _RENAMED
+        seq.s[new[other]] = second_name(x1[other], x2[other], kind[other])
+        answer = answer % _RENAMED
+        # A window around what only one document has is unique.
+        a, n, lo, hi = seq.a[new], seq.n[new], seq.lo[new], seq.hi[new]
+        alone = answer == ALONE
+        kill = alone & (hi - lo <= WINDOW)
+        total = len(self.doc_of)
+        edge = np.zeros(total + 1, np.int64)
+        np.add.at(edge, np.maximum(hi[kill] - WINDOW, 0), 1)
+        np.add.at(edge, np.minimum(lo[kill] + 1, total), -1)
+        open_ = self.open & (np.cumsum(edge[:-1]) == 0)
+        # The words of a long symbol that an earlier document has go.
+        earlier = ((answer == EARLIER) | ((answer == SHARED) & (ids > q.lo[q.of]))) & (n >= WINDOW)
+        reach = np.zeros(total + 1, np.int64)
+        np.maximum.at(reach, a[earlier], a[earlier] + n[earlier])
+        reach = np.maximum.accumulate(reach)[:total]
+        at = np.arange(total)
+        seq.gone = self.gone | (reach > at)
+        seq.open = open_ & (reach < at + WINDOW)
+        # Only what an open window touches, and others have, goes on.
+        touched = np.concatenate(([0], np.cumsum(_covered(seq.open))))
+        keep = touched[np.minimum(seq.a + seq.n, total)] > touched[seq.a]
+        keep[new[alone]] = False
+        seq.s, seq.a, seq.n, seq.lo, seq.hi = (x[keep] for x in (seq.s, seq.a, seq.n, seq.lo, seq.hi))
+        return seq
+
+
+def _covered(starts: np.ndarray) -> np.ndarray:
+    """Words in the windows that start at the marked words."""
+    edge = np.zeros(len(starts) + WINDOW, np.int64)
+    edge[: len(starts)] = starts
+    edge[WINDOW:] -= starts
+    return np.cumsum(edge)[: len(starts)] > 0
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict[int, dict], dict[int, bytes]]]:
+    """(block, its text and state rows by kind, answers by group); rows come in order of blocks."""
+    blk, rows, found = None, {}, {}
     for batch in batches:
-        lo, size = 0, 0
-        for i, text in enumerate(batch["text"]):
-            n = len(text.as_buffer()) if text.is_valid else 0
-            if i > lo and (i - lo >= _PART or size + n > 4 << 20):
-                yield batch.slice(lo, i - lo)
-                lo, size = i, 0
-            size += n
-        if lo < batch.num_rows:
-            yield batch.slice(lo)
+        for i, (b, kind) in enumerate(zip(batch["blk"].to_pylist(), batch["kind"].to_pylist(), strict=True)):
+            if b != blk:
+                if blk is not None:
+                    yield blk, rows, found
+                blk, rows, found = b, {}, {}
+            if kind == _ANSWER:
+                found[batch["grp"][i].as_py()] = batch["payload"][i].as_py()
+            else:
+                rows[kind] = {c: batch[c][i].as_py() for c in _NAMES[3:]}
+    if blk is not None:
+        yield blk, rows, found
 
 
-def _names(docs: DataFrame) -> DataFrame:
-    """Round 1: key, key2 and id of symbols (odd keys) and of windows' marks (even)."""
+def _together(*frames: DataFrame) -> DataFrame:
+    """All rows of a block in one task, one after another."""
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out.repartition("blk").sortWithinPartitions("blk", "kind")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _parts(batches):
-            x, ids = Texts(part["text"].to_pylist()), part["id"].to_numpy()
-            first, _, s, t = x.symbols()
-            at, w = x.windows()
-            m = x.marks(at, w)
-            d = x.doc[at]
-            new = np.concatenate(([True], (m[1:] != m[:-1]) | (d[1:] != d[:-1]))) if len(m) else np.zeros(0, bool)
-            m, d = m[new], d[new]
-            yield pa.RecordBatch.from_arrays([_signed(np.concatenate((s, m))), _signed(np.concatenate((t, np.zeros(len(m), _U)))), pa.array(ids[np.concatenate((x.doc[first], d))])], ["key", "key2", "id"])
 
-    return docs.mapInArrow(run, "key bigint, key2 bigint, id bigint")
+def _asking(rows: DataFrame, question) -> DataFrame:
+    """``question`` of each block (its rows): any number of Question objects."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for blk, mine, _ in _blocks(batches):
+            out = [(_ASK, blk, {"grp": g, "payload": p}) for q in question(mine) for g, p in q.payloads()]
+            if out:
+                yield _batch(out)
 
-def _shared(rows: DataFrame, marks: bool) -> DataFrame:
-    """id and key of rows whose key a document with a smaller id has too; with ``marks``,
-    of even keys all rows whose key several documents have. Rows stream by in the order
-    of key, key2 and id; held are the last key and its first document."""
+    return rows.mapInArrow(run, ROWS)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple | None = None  # key, key2, first id, whether that id's row was sent
-        for batch in batches:
-            k, k2, d = (batch[c].to_numpy() for c in ("key", "key2", "id"))
-            if not len(k):
-                continue
-            new = np.concatenate(([True], (k[1:] != k[:-1]) | (k2[1:] != k2[:-1])))
-            carried = last is not None and last[0] == k[0] and last[1] == k2[0]
-            if carried:
-                new[0] = False
-            head = np.flatnonzero(new)
-            group = np.cumsum(new)  # 0: what goes on from the batch before
-            first = np.concatenate(([last[2] if carried else 0], d[head]))
-            later = d != first[group]
-            send = later.copy()
-            ids, keys = [], []
-            if marks:
-                several = np.zeros(len(first), bool)
-                np.logical_or.at(several, group, later)
-                even = (k & 1) == 0
-                lead = new & even & several[group]
-                send |= lead
-                if carried and several[0] and not last[3] and (k[0] & 1) == 0:
-                    ids.append(np.array([last[2]]))
-                    keys.append(k[:1])
-                sent = bool(several[group[-1]]) or (carried and group[-1] == 0 and last[3])
-            else:
-                sent = False
-            ids.append(d[send])
-            keys.append(k[send])
-            last = (k[-1], k2[-1], first[group[-1]], sent)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(keys))], ["id", "key"])
-
-    dealt = rows.repartition("key").sortWithinPartitions("key", "key2", "id")
-    return dealt.mapInArrow(run, "id bigint, key bigint").groupBy("id").agg(F.collect_set("key").alias("keys"))
-
-
-def _inside(x: Texts, known: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Marks words that lie in symbols known to repeat, and for each word how far the
-    longest such symbol reaches that starts there or before it."""
-    known = [k[(k & _ONE) == _ONE] for k in known]
-    first, size, s, _ = x.symbols(np.array([len(k) > 0 for k in known], bool))
-    n = len(x.h)
-    hit = np.zeros(len(s), bool)
-    owner = x.doc[first]
-    order = np.argsort(owner, kind="stable")
-    cuts = np.searchsorted(owner[order], np.arange(len(known) + 1))
-    for i, k in enumerate(known):
-        mine = order[cuts[i] : cuts[i + 1]]
-        if len(k) and len(mine):
-            hit[mine] = np.isin(s[mine], k)
-    reach = np.zeros(n + 1, np.int64)
-    np.maximum.at(reach, first[hit], first[hit] + size[hit])
-    reach = np.maximum.accumulate(reach)[:n] if n else reach[:0]
-    return reach > np.arange(n), reach
-
-
-def _keys_of(column) -> list[np.ndarray]:
-    """Lists of 64-bit keys, one for each row; null: none."""
-    return [np.array(v or [], np.int64).view(_U) for v in column.to_pylist()]
-
-
-def _left(docs: DataFrame) -> DataFrame:
-    """Round 2: key, key2 and id of the windows that may repeat and aren't known to."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _parts(batches):
-            x, ids, known = Texts(part["text"].to_pylist()), part["id"].to_numpy(), _keys_of(part["keys"])
-            at, w = x.windows()
-            m = x.marks(at, w)
-            _, reach = _inside(x, known)
-            open_ = reach[at] < at + WINDOW if len(at) else np.zeros(0, bool)
-            cuts = np.searchsorted(x.doc[at], np.arange(len(known) + 1))
-            for i, k in enumerate(known):
-                a, b = cuts[i], cuts[i + 1]
-                if b > a:
-                    open_[a:b] &= np.isin(m[a:b], k)
-            at, w = at[open_], w[open_]
-            yield pa.RecordBatch.from_arrays([_signed(w), _signed(x.second(at)), pa.array(ids[x.doc[at]])], ["key", "key2", "id"])
-
-    return docs.mapInArrow(run, "key bigint, key2 bigint, id bigint")
-
-
-def _removed(x: Texts, symbols: list[np.ndarray], windows: list[np.ndarray]) -> np.ndarray:
-    """Marks the words to remove."""
-    gone, _ = _inside(x, symbols) if len(x.h) else (np.zeros(0, bool), None)
-    at, w = x.windows()
-    cuts = np.searchsorted(x.doc[at], np.arange(len(windows) + 1))
-    edge = np.zeros(len(x.h) + 1, np.int64)
-    for i, k in enumerate(windows):
-        a, b = cuts[i], cuts[i + 1]
-        if b > a and len(k):
-            start = at[a:b][np.isin(w[a:b], k)]
-            np.add.at(edge, start, 1)
-            np.add.at(edge, start + WINDOW, -1)
-    return gone | (np.cumsum(edge)[:-1] > 0)
-
-
-def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
+def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, rounds: int = 9, block_bytes: int = 2 << 20, group_bytes: int = 16 << 20) -> DataFrame:
     """Per row: id, n_words, n_removed, kept_sha256 and, with ``with_text``, kept_text (the
-    kept words joined by one space)."""
+    kept words joined by one space). ``rounds`` is how large symbols may grow; the result
+    does not depend on it."""
     source = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").cast("binary").alias("text"))
-    numbered = source.where("id IS NOT NULL")
-    one = materialize(_shared(_names(numbered), True), "repeats-1")
-    two = materialize(_shared(_left(numbered.join(one, "id")), False), "repeats-2")
-    odd = one.select("id", F.filter("keys", lambda k: k.bitwiseAND(1) == 1).alias("symbols")).where(F.size("symbols") > 0)
-    every = source.join(odd, "id", "left").join(two.withColumnRenamed("keys", "windows"), "id", "left")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _parts(batches):
-            found = part["text"].to_pylist()
-            symbols, windows = _keys_of(part["symbols"]), _keys_of(part["windows"])
-            some = [i for i, (a, b) in enumerate(zip(symbols, windows, strict=True)) if len(a) or len(b)]
-            x = Texts([found[i] for i in some])
-            gone = _removed(x, [symbols[i] for i in some], [windows[i] for i in some])
-            cut = {i: gone[a : a + k] for i, a, k in zip(some, x.first.tolist(), x.sizes.tolist(), strict=True)}
-            n, r, sha, texts = [], [], [], []
-            for i, text in enumerate(found):
+    def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 40
+        for part in pieces(batches, block_bytes):
+            yield _row(_TEXT, number, ids=part["id"].to_pylist(), texts=part["text"].to_pylist())
+            number += 1
+
+    texts = materialize(source.mapInArrow(block, ROWS), "repeats-texts")
+    size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    groups = 1 << (size // group_bytes).bit_length()
+
+    salt = 0
+    while True:  # once, unless two words have one hash
+
+        def first(mine: dict, salt: int = salt) -> Iterator[Question]:
+            row = mine[_TEXT]
+            words = Words(row["ids"], row["texts"], salt, True)
+            zero = np.zeros(len(words.name), np.int64)
+            if len(zero):
+                yield Question(words.name, words.other, zero + WORD, zero, groups)
+                yield Sequence.start(row["ids"], words).ask(1, groups)
+
+        answers = materialize(settle(_asking(texts, first), groups), "repeats-names")
+        if answers.where(F.col("kind") == _CLASH).isEmpty():
+            break
+        release(answers)
+        salt += 1
+
+    state, number = texts, 1
+    while True:
+
+        def rewrite(batches: Iterator[pa.RecordBatch], number: int = number) -> Iterator[pa.RecordBatch]:
+            for blk, rows, found in _blocks(batches):
+                if _STATE in rows:
+                    seq = Sequence.load(rows[_STATE])
+                else:
+                    seq = Sequence.start(rows[_TEXT]["ids"], Words(rows[_TEXT]["ids"], rows[_TEXT]["texts"], salt))
+                yield seq.rewrite(number, groups, found).row(blk)
+
+        old = state
+        state = materialize(_together(state, answers).mapInArrow(rewrite, ROWS), f"repeats-{number}", records=16)
+        release(answers, *([old] if old is not texts else []))
+        number += 1
+        if number > rounds:
+            break
+
+        def again(mine: dict, number: int = number) -> Iterator[Question]:
+            yield Sequence.load(mine[_STATE]).ask(number, groups)
+
+        answers = materialize(settle(_asking(state, again), groups), "repeats-names")
+        if answers.isEmpty():
+            release(answers)
+            break
+
+    def open_windows(rows: dict) -> tuple[Sequence, np.ndarray, Question]:
+        words, seq = Words(rows[_TEXT]["ids"], rows[_TEXT]["texts"], salt, True), Sequence.load(rows[_STATE])
+        at = np.flatnonzero(seq.open)
+        x1, x2 = words.windows(at) if len(at) else (np.zeros(0, _U), np.zeros(0, _U))
+        return seq, at, Question(x1, x2, np.full(len(at), SPAN), seq.ids[seq.doc_of[at]], groups)
+
+    both = _together(texts, state)
+    answers = materialize(settle(_asking(both, lambda rows: [open_windows(rows)[2]]), groups), "repeats-windows", records=16)
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows, found in _blocks(batches):
+            seq, at, q = open_windows(rows)
+            answer = q.answers(found)[q.of] % _RENAMED
+            starts = np.zeros(len(seq.doc_of), bool)
+            starts[at] = (answer == EARLIER) | ((answer == SHARED) & (seq.ids[seq.doc_of[at]] > q.lo[q.of]))
+            gone = seq.gone | _covered(starts)
+            cuts = np.cumsum(np.concatenate(([0], seq.sizes))).tolist()
+            n, removed, sha, kept_texts = [], [], [], []
+            for i, text in enumerate(rows[_TEXT]["texts"]):
                 words = text.split() if text else []
-                g = cut.get(i)
-                count = 0 if g is None else int(g.sum())
-                kept = b" ".join(words if not count else [a for a, b in zip(words, g.tolist(), strict=True) if not b])
+                g = gone[cuts[i] : cuts[i + 1]]
+                count = int(g.sum())
+                kept = b" ".join(words if not count else [w for w, x in zip(words, g.tolist(), strict=True) if not x])
                 n.append(len(words))
-                r.append(count)
+                removed.append(count)
                 sha.append(hashlib.sha256(kept).hexdigest())
                 if with_text:
-                    texts.append(kept.decode())
-            cols = [part["id"], pa.array(n, pa.int64()), pa.array(r, pa.int64()), pa.array(sha, pa.string())]
-            yield pa.RecordBatch.from_arrays(cols + [pa.array(texts, pa.string())] * with_text, ["id", "n_words", "n_removed", "kept_sha256"] + ["kept_text"] * with_text)
+                    kept_texts.append(kept.decode())
+            cols = [pa.array(rows[_TEXT]["ids"], pa.int64()), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha, pa.string())]
+            yield pa.RecordBatch.from_arrays(cols + [pa.array(kept_texts, pa.string())] * with_text, ["id", "n_words", "n_removed", "kept_sha256"] + ["kept_text"] * with_text)
 
-    out = materialize(every.select("id", "text", "symbols", "windows").mapInArrow(run, "id bigint, n_words bigint, n_removed bigint, kept_sha256 string" + ", kept_text string" * with_text), "repeats")
-    release(one, two)
-    return out.withColumnRenamed("id", id_col)
+    out = materialize(_together(texts, state, answers).mapInArrow(finish, "id bigint, n_words bigint, n_removed bigint, kept_sha256 string" + ", kept_text string" * with_text), "repeats", records=16)
+    release(texts, state, answers)
+    return owning(out.withColumnRenamed("id", id_col), out)
