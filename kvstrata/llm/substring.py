@@ -59,9 +59,9 @@ ALONE, SHARED, EARLIER = range(3)
 _RENAMED = 4
 
 _TEXT, _STATE, _ASK, _ANSWER, _CLASH = range(5)
-ROWS = "kind int, blk bigint, grp bigint, payload binary, open binary, gone binary, ids array<bigint>, sizes array<int>, texts array<binary>"
+ROWS = "kind int, blk bigint, grp bigint, payload binary, open binary, gone binary, ids array<bigint>, sizes array<int>"
 _NAMES = [c.split()[0] for c in ROWS.split(", ")]
-_TYPES = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.binary())]
+_TYPES = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32())]
 
 
 def _row(kind: int, blk: int, **values) -> pa.RecordBatch:
@@ -73,6 +73,23 @@ def _batch(rows: list[tuple[int, int, dict]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _TYPES, strict=True)], _NAMES)
 
 
+def _packed(texts: list[bytes | None]) -> dict:
+    """Texts of a block as one compressed string, with their lengths (-1: null)."""
+    import zstandard
+
+    return {"payload": zstandard.compress(b"".join(t or b"" for t in texts), 1), "sizes": [-1 if t is None else len(t) for t in texts]}
+
+
+def _texts(row: dict) -> list[bytes | None]:
+    import zstandard
+
+    raw, at, out = zstandard.decompress(row["payload"]), 0, []
+    for n in row["sizes"]:
+        out.append(None if n < 0 else raw[at : at + n])
+        at += max(n, 0)
+    return out
+
+
 def name_of(x1: np.ndarray, x2: np.ndarray, kind: np.ndarray) -> np.ndarray:
     """Names of pairs (two symbols), runs (symbol, length) and windows (two fingerprints). A
     word's is its first hash, whatever its second."""
@@ -92,9 +109,14 @@ class Question:
 
     def __init__(self, x1: np.ndarray, x2: np.ndarray, kind: np.ndarray, ids: np.ndarray, groups: int):
         name = name_of(x1, x2, kind)
-        order = np.lexsort((x2, x1, name)) if len(name) and _clash(name, x1, x2) else np.argsort(name)
-        n1, n2 = x1[order], x2[order]
-        new = np.concatenate(([True], (n1[1:] != n1[:-1]) | (n2[1:] != n2[:-1]))) if len(name) else np.zeros(0, bool)
+        order = np.argsort(name)
+        s, n1, n2 = name[order], x1[order], x2[order]
+        differ = (n1[1:] != n1[:-1]) | (n2[1:] != n2[:-1])
+        if ((s[1:] == s[:-1]) & differ).any():  # names that clash
+            order = np.lexsort((x2, x1, name))
+            n1, n2 = x1[order], x2[order]
+            differ = (n1[1:] != n1[:-1]) | (n2[1:] != n2[:-1])
+        new = np.concatenate(([True], differ)) if len(name) else np.zeros(0, bool)
         head = np.flatnonzero(new)
         self.of = np.empty(len(name), np.int64)  # which of the distinct ones each is
         self.of[order] = np.cumsum(new) - 1
@@ -120,12 +142,6 @@ class Question:
         return out
 
 
-def _clash(name: np.ndarray, x1: np.ndarray, x2: np.ndarray) -> bool:
-    order = np.argsort(name)
-    a, b, c = name[order], x1[order], x2[order]
-    return bool(((a[1:] == a[:-1]) & ((b[1:] != b[:-1]) | (c[1:] != c[:-1]))).any())
-
-
 def named(g: int, rows: list[tuple[int, list[np.ndarray]]]) -> Iterator[pa.RecordBatch]:
     """Answers to all that blocks ask of one group: rows of (block, x1, x2, kind, least and
     greatest id)."""
@@ -226,7 +242,7 @@ class Sequence:
 
     def row(self, blk: int, symbols: bool = True) -> pa.RecordBatch:
         left, right = np.minimum(self.a - self.lo, _FAR), np.minimum(self.hi - self.a - self.n, _FAR)
-        return _row(_STATE, blk, payload=pack([self.s, self.a, self.n, left, right]) if symbols else None, open=np.packbits(self.open).tobytes(), gone=np.packbits(self.gone).tobytes(), ids=self.raw_ids, sizes=self.sizes.tolist())
+        return _row(_STATE, blk, payload=pack([x[: len(x) if symbols else 0] for x in (self.s, self.a, self.n, left, right)]), open=np.packbits(self.open).tobytes(), gone=np.packbits(self.gone).tobytes(), ids=self.raw_ids, sizes=self.sizes.tolist())
 
     def merge(self, number: int) -> tuple[Sequence, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """The sequence with this round's runs and pairs as symbols, which of its symbols
@@ -241,18 +257,29 @@ class Sequence:
         equal = next_.copy()
         equal[:-1] &= s[1:] == s[:-1]
         before = np.concatenate(([False], equal[:-1]))
-        side = (mix(s + _U(2 * number + 3)) & _ONE).astype(bool)
-        pair = next_ & ~equal & ~before & ~side
-        pair[:-1] &= side[1:] & ~equal[1:]
-        join = equal | pair
+        side = mix(s + _U(2 * number + 3))
+        left, right = (side & _ONE).astype(bool), (side & _U(2)).astype(bool)
+        pair = next_ & ~equal & ~before & ~left
+        pair[:-1] &= left[1:] & ~equal[1:]
+        # What has found no partner is dealt to sides once more.
+        free = ~(equal | before | pair | np.concatenate(([False], pair[:-1])))
+        late = next_ & free & ~right
+        late[:-1] &= free[1:] & right[1:]
+        join = equal | pair | late
         head = np.flatnonzero(~np.concatenate(([False], join[:-1])))
         count = np.diff(np.append(head, k))
-        # How far it reaches what a symbol's neighbours say, and their neighbours.
-        left = np.where(np.concatenate(([False], next_[:-1])), np.concatenate((self.lo[:1], self.lo[:-1])), a - _FAR)
-        right = np.where(next_, np.concatenate((self.hi[1:], self.hi[-1:])), a + n + _FAR)
-        lo, hi = np.minimum(self.lo, left), np.maximum(self.hi, right)
-        far_lo = np.minimum(lo, np.where(np.concatenate(([False], next_[:-1])), np.concatenate((lo[:1], lo[:-1])), a - _FAR))
-        far_hi = np.maximum(hi, np.where(next_, np.concatenate((hi[1:], hi[-1:])), a + n + _FAR))
+        # Runs and pairs of the first deal depend on a neighbour at each side, those of the
+        # second on two, and single symbols on four: that far the spans are joined.
+        spans = [(self.lo, self.hi)]
+        follows = np.concatenate(([False], next_[:-1]))
+        for _ in range(4):
+            lo, hi = spans[-1]
+            lo = np.minimum(lo, np.where(follows, np.concatenate((lo[:1], lo[:-1])), a - _FAR))
+            hi = np.maximum(hi, np.where(next_, np.concatenate((hi[1:], hi[-1:])), a + n + _FAR))
+            spans.append((lo, hi))
+        (lo, hi), (late_lo, late_hi), (far_lo, far_hi) = spans[1], spans[2], spans[4]
+        second = late | np.concatenate(([False], late[:-1]))
+        lo, hi = np.where(second, late_lo, lo), np.where(second, late_hi, hi)
         made = count > 1
         new = np.flatnonzero(made)
         new_lo = np.where(made, np.minimum.reduceat(lo, head), far_lo[head])
@@ -348,7 +375,7 @@ def _asking(rows: DataFrame, question) -> DataFrame:
     return rows.mapInArrow(run, ROWS)
 
 
-def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, rounds: int = 9, block_bytes: int = 2 << 20, group_bytes: int = 16 << 20) -> DataFrame:
+def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, rounds: int = 6, block_bytes: int = 4 << 20, group_bytes: int = 16 << 20) -> DataFrame:
     """Per row: id, n_words, n_removed, kept_sha256 and, with ``with_text``, kept_text (the
     kept words joined by one space). ``rounds`` is how large symbols may grow; the result
     does not depend on it."""
@@ -356,9 +383,17 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
     def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 40
-        for part in pieces(batches, block_bytes):
-            yield _row(_TEXT, number, ids=part["id"].to_pylist(), texts=part["text"].to_pylist())
-            number += 1
+        ids, held, size = [], [], 0
+        for part in pieces(batches, block_bytes // 4):
+            ids += part["id"].to_pylist()
+            held += part["text"].to_pylist()
+            size += part["text"].nbytes
+            if size >= block_bytes:
+                yield _row(_TEXT, number, ids=ids, **_packed(held))
+                number += 1
+                ids, held, size = [], [], 0
+        if ids:
+            yield _row(_TEXT, number, ids=ids, **_packed(held))
 
     texts = materialize(source.mapInArrow(block, ROWS), "repeats-texts")
     size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -369,7 +404,7 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
         def first(mine: dict, salt: int = salt) -> Iterator[Question]:
             row = mine[_TEXT]
-            words = Words(row["ids"], row["texts"], salt, True)
+            words = Words(row["ids"], _texts(row), salt, True)
             zero = np.zeros(len(words.name), np.int64)
             if len(zero):
                 yield Question(words.name, words.other, zero + WORD, zero, groups)
@@ -389,8 +424,8 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
                 if _STATE in rows:
                     seq = Sequence.load(rows[_STATE])
                 else:
-                    seq = Sequence.start(rows[_TEXT]["ids"], Words(rows[_TEXT]["ids"], rows[_TEXT]["texts"], salt))
-                yield seq.rewrite(number, groups, found).row(blk)
+                    seq = Sequence.start(rows[_TEXT]["ids"], Words(rows[_TEXT]["ids"], _texts(rows[_TEXT]), salt))
+                yield seq.rewrite(number, groups, found).row(blk, number < rounds)
 
         old = state
         state = materialize(_together(state, answers).mapInArrow(rewrite, ROWS), f"repeats-{number}", records=16)
@@ -407,8 +442,8 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
             release(answers)
             break
 
-    def open_windows(rows: dict) -> tuple[Sequence, np.ndarray, Question]:
-        words, seq = Words(rows[_TEXT]["ids"], rows[_TEXT]["texts"], salt, True), Sequence.load(rows[_STATE])
+    def open_windows(rows: dict, texts: list[bytes | None] | None = None) -> tuple[Sequence, np.ndarray, Question]:
+        words, seq = Words(rows[_TEXT]["ids"], texts or _texts(rows[_TEXT]), salt, True), Sequence.load(rows[_STATE])
         at = np.flatnonzero(seq.open)
         x1, x2 = words.windows(at) if len(at) else (np.zeros(0, _U), np.zeros(0, _U))
         return seq, at, Question(x1, x2, np.full(len(at), SPAN), seq.ids[seq.doc_of[at]], groups)
@@ -418,14 +453,15 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows, found in _blocks(batches):
-            seq, at, q = open_windows(rows)
+            raw = _texts(rows[_TEXT])
+            seq, at, q = open_windows(rows, raw)
             answer = q.answers(found)[q.of] % _RENAMED
             starts = np.zeros(len(seq.doc_of), bool)
             starts[at] = (answer == EARLIER) | ((answer == SHARED) & (seq.ids[seq.doc_of[at]] > q.lo[q.of]))
             gone = seq.gone | _covered(starts)
             cuts = np.cumsum(np.concatenate(([0], seq.sizes))).tolist()
             n, removed, sha, kept_texts = [], [], [], []
-            for i, text in enumerate(rows[_TEXT]["texts"]):
+            for i, text in enumerate(raw):
                 words = text.split() if text else []
                 g = gone[cuts[i] : cuts[i + 1]]
                 count = int(g.sum())
