@@ -7,9 +7,11 @@ signatures that differ in at most 31 symbols have, by the pigeonhole principle,
 with at most one error, so they share a key: every pair within that signature distance
 is found. (Texts with a similarity of 0.8 share no key with probability 5e-10.)
 
-Pairs that share a key are candidates. A second signature of 512 one-bit minima rules out
-those that are too far apart by more than 6 standard deviations; the rest is confirmed
-on the full sets of 64-bit shingle hashes. Sets that are equal count once, from the start.
+Pairs that share a key are candidates, and the full sets of 64-bit shingle hashes confirm
+them. A bitmap of 1024 buckets, marked where a set has a hash, spares comparisons without
+ever losing a link: a bucket that only one of two sets marks holds a shingle that the other
+hasn't, which bounds their intersection from above. Sets that are equal count once, from
+the start.
 
 Within a bucket of documents with one key, not all pairs are made. In a few rounds each
 document meets the bucket's first member and the nearest ones that it isn't yet connected
@@ -21,13 +23,14 @@ matters is lost: two candidates are left untested only if they are connected.
 Defined results: a null or wordless text has an empty set and is linked with nothing; a
 text with fewer words than a shingle is one shingle of all its words; rows that share an
 id are one node, linked by any of their texts; rows without an id are linked with
-nothing and kept, with a null component; an empty table gives no rows. Only the id and
-text columns are read, so extra columns may have any names.
+nothing and kept, with a null component; an empty table gives no rows. A very long text's
+set is held as a whole, and sets meet in tasks by their bytes. Only the id and text columns
+are read, so extra columns may have any names. ``drop_near_duplicates`` tells rows apart
+by numbers of its own, so repeated rows and rows without an id are links as any others.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,13 +38,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kvstrata.llm.common import hash_texts, materialize, mix, release, window_hashes
+from kvstrata.llm.common import hash_texts, materialize, mix, owning, release, window_hashes
 
 CHUNKS, CHUNK = 16, 5  # symbols: 80
-SYMBOLS, BITS = CHUNKS * CHUNK, 512
+SYMBOLS, BITS = CHUNKS * CHUNK, 1024
 _RNG = np.random.default_rng(20240229)
-_A = _RNG.integers(1, 1 << 63, SYMBOLS + BITS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_B = _RNG.integers(0, 1 << 63, SYMBOLS + BITS, dtype=np.uint64)
+_A = _RNG.integers(1, 1 << 63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_B = _RNG.integers(0, 1 << 63, SYMBOLS, dtype=np.uint64)
 
 
 def shingle_sets(texts: list[bytes | None], size: int) -> Iterator[np.ndarray]:
@@ -54,21 +57,32 @@ def shingle_sets(texts: list[bytes | None], size: int) -> Iterator[np.ndarray]:
             at += n
 
 
-def _minima(items: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    low = np.full(len(a), np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(items), 1024):
-        np.minimum(low, (items[None, at : at + 1024] * a[:, None] + b[:, None]).min(1), out=low)
-    return mix(low)
-
-
 def signature(items: np.ndarray) -> bytes:
     """80 symbols of 16 bits."""
-    return (_minima(items, _A[:SYMBOLS], _B[:SYMBOLS]) & np.uint64(0xFFFF)).astype("<u2").tobytes()
+    low = np.full(SYMBOLS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(items), 1024):
+        np.minimum(low, (items[None, at : at + 1024] * _A[:, None] + _B[:, None]).min(1), out=low)
+    return (mix(low) & np.uint64(0xFFFF)).astype("<u2").tobytes()
 
 
 def sketch(items: np.ndarray) -> bytes:
-    """512 symbols of one bit."""
-    return np.packbits((_minima(items, _A[SYMBOLS:], _B[SYMBOLS:]) >> np.uint64(40) & np.uint64(1)).astype(np.uint8)).tobytes()
+    """1024 bits: those of the buckets that the set has a hash in."""
+    bits = np.zeros(BITS, np.uint8)
+    bits[(items >> np.uint64(54)).astype(np.int64)] = 1
+    return np.packbits(bits).tobytes()
+
+
+def apart(a: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many items of a set at least are missing in each of the others, and theirs in it."""
+    count = lambda x: np.bitwise_count(x).sum(1, dtype=np.int64)
+    return count(a & ~others), count(others & ~a)
+
+
+def may_link(n: int, others: np.ndarray, lacks: np.ndarray, lacked: np.ndarray, similarity: int) -> np.ndarray:
+    """Whether sets of ``n`` items and of ``others`` may be similar enough: exact, never no
+    where they are."""
+    both = np.minimum(n - lacks, others - lacked)
+    return 100 * both >= similarity * (n + others - both)
 
 
 def keys(symbols: np.ndarray) -> np.ndarray:
@@ -149,12 +163,6 @@ def _buckets(reps: DataFrame, chunk: int) -> DataFrame:
     return exploded.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(share, "key bigint, rep bigint, anchor bigint, block bigint")
 
 
-def _far(similarity: int) -> int:
-    """Sketches of sets with that similarity differ in no more bits (6 deviations)."""
-    p = (1 - similarity / 100) / 2
-    return math.ceil(BITS * p + 6 * math.sqrt(BITS * p * (1 - p)))
-
-
 _ROW = ["key", "other", "rep", "anchor", "n", "sketch", "label"]
 
 
@@ -194,7 +202,6 @@ def _matrix(column, kind: str) -> np.ndarray:
 def _near(rows: DataFrame, similarity: int, limit: int, most: int) -> DataFrame:
     """x, y and distance: for each x of the sorted ``rows`` of buckets the first member
     and the ``most`` nearest ones with other labels."""
-    far = _far(similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
@@ -212,11 +219,12 @@ def _near(rows: DataFrame, similarity: int, limit: int, most: int) -> DataFrame:
                 j = np.flatnonzero((label != label[i]) & (100 * np.minimum(n, n[i]) >= similarity * np.maximum(n, n[i])))
                 if not len(j):
                     continue
-                d = np.bitwise_count(sk[j] ^ sk[i]).sum(1, dtype=np.int64)
+                lacks, lacked = apart(sk[i], sk[j])
+                ok, d = may_link(int(n[i]), n[j], lacks, lacked, similarity), lacks + lacked
                 pick = d.argsort(kind="stable")[:most] if most < len(j) else np.arange(len(j))
                 if first >= 0 and label[first] != label[i]:
                     pick = np.union1d(pick, np.flatnonzero(j == first))
-                pick = pick[d[pick] <= far]
+                pick = pick[ok[pick]]
                 if len(pick):
                     out.append((np.full(len(pick), rep[i]), rep[j[pick]], d[pick]))
                     count += len(pick)
@@ -233,7 +241,6 @@ def _open_pairs(rows: DataFrame, similarity: int) -> DataFrame:
     """a and b, a < b: labels of components with a candidate between them. ``rows`` are
     the sorted buckets, or pairs of blocks of long ones. Two documents meet in each bucket
     that they share; the first of their shared keys alone reports them."""
-    far = _far(similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, _, rep, _, n, sk, label, sig in _groups(batches, None, [*_ROW, "sig"]):
@@ -243,7 +250,7 @@ def _open_pairs(rows: DataFrame, similarity: int) -> DataFrame:
             for i in range(len(rep) - 1):
                 j = i + 1 + np.flatnonzero((label[i + 1 :] != label[i]) & (100 * np.minimum(n[i + 1 :], n[i]) >= similarity * np.maximum(n[i + 1 :], n[i])))
                 if len(j):
-                    j = j[np.bitwise_count(sk[j] ^ sk[i]).sum(1, dtype=np.int64) <= far]
+                    j = j[may_link(int(n[i]), n[j], *apart(sk[i], sk[j]), similarity)]
                 if len(j):
                     if all_keys is None:
                         all_keys = keys(sig).view(np.int64)
@@ -291,10 +298,9 @@ def _confirm_blocks(open_: DataFrame, labels: DataFrame, sets: DataFrame, simila
     """Links (x, y) between the components of each pair (a, b) of ``open_``.
 
     The larger component of a pair is the host. Its members are dealt to blocks of about
-    ``block``; the other's members go to each of them and stream by, and meet every
+    ``block`` shingles; the other's members go to each of them and stream by, and meet every
     member of the block. One link for each guest component and block will do."""
-    far = _far(similarity)
-    sizes = labels.groupBy("label").agg(F.count("*").alias("size"))
+    sizes = labels.groupBy("label").agg(F.sum("n").alias("size"))
     sized = open_.join(sizes.select(F.col("label").alias("a"), F.col("size").alias("na")), "a").join(sizes.select(F.col("label").alias("b"), F.col("size").alias("nb")), "b")
     swap = F.col("nb") > F.col("na")
     plan = sized.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("host"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("guest"), F.ceil(F.greatest("na", "nb") / block).cast("bigint").alias("blocks"))
@@ -305,12 +311,12 @@ def _confirm_blocks(open_: DataFrame, labels: DataFrame, sets: DataFrame, simila
     cols = ["host", "part", "side", "label", "rep", "sketch", "items"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held, sk, done = None, [], None, None
+        key, held, sk, counts, done = None, [], None, None, None
         for batch in batches:
             xs, ys = [], []
             for host, part, side, label, rep, sketch_, items in zip(*(batch[c] if c == "items" else batch[c].to_pylist() for c in cols), strict=True):
                 if key != (host, part):
-                    key, held, sk, done = (host, part), [], None, None
+                    key, held, sk, counts, done = (host, part), [], None, None, None
                 if not side:
                     held.append((rep, sketch_, np.frombuffer(items.as_py(), np.uint64)))
                     continue
@@ -318,9 +324,10 @@ def _confirm_blocks(open_: DataFrame, labels: DataFrame, sets: DataFrame, simila
                     continue
                 if sk is None:
                     sk = np.frombuffer(b"".join(x[1] for x in held), "<u8").reshape(len(held), -1)
+                    counts = np.array([len(x[2]) for x in held])
                 mine = np.frombuffer(items.as_buffer(), np.uint64)
-                d = np.bitwise_count(sk ^ np.frombuffer(sketch_, "<u8")).sum(1, dtype=np.int64)
-                near = np.flatnonzero(d <= far)
+                lacks, lacked = apart(np.frombuffer(sketch_, "<u8"), sk)
+                near, d = np.flatnonzero(may_link(len(mine), counts, lacks, lacked, similarity)), lacks + lacked
                 for i in near[d[near].argsort(kind="stable")].tolist():
                     if _similar(held[i][2], mine, similarity):
                         xs.append(held[i][0])
@@ -393,7 +400,7 @@ def _several(sig: DataFrame) -> DataFrame:
     return rows.join(ids, "id", "left_semi").distinct()
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 2, similarity: int = 80, rounds: int = 2, chunk: int = 4096, block: int = 1000) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 2, similarity: int = 80, rounds: int = 2, chunk: int = 4096, block: int = 1000, block_items: int = 1 << 20) -> DataFrame:
     """Per row with its id: n_shingles, component_id (least id that it is connected with)
     and kept (whether that is its own). Runs at once; the result is read from tables."""
     source = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").cast("binary").alias("text"))
@@ -426,7 +433,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             rows = rows.join(several, "key").withColumn("b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("last")))).withColumn("other", F.least("block", "b") * (F.col("last") + 1) + F.greatest("block", "b"))
             rows = rows.select(*_ROW, "sig").repartition("key", "other").sortWithinPartitions("key", "other", "rep")
             open_ = materialize(_open_pairs(rows, similarity), "open")
-            links = materialize(_confirm_blocks(open_, labels, sets, similarity, block), "links")
+            links = materialize(_confirm_blocks(open_, labels.join(info.select("rep", "n"), "rep"), sets, similarity, block_items), "links")
             release(open_)
         of = labels.select(F.col("rep").alias("node"), F.col("label").alias("root"))
         roots = components(_mapped(_mapped(links, of, "x"), of, "y"))
@@ -455,7 +462,17 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: int = 80) -> DataFrame:
-    """``docs`` with one document of each group, that with the least id; rows without an
-    id stay. Columns unchanged. Documents are shuffled once, by id."""
-    gone = near_duplicates(docs, id_col=id_col, text_col=text_col, shingle=shingle, similarity=similarity).where("NOT kept").select(F.col(id_col).alias("__gone")).distinct()
-    return docs.join(gone, F.col(f"`{id_col}`") == F.col("__gone"), "left_anti")
+    """``docs`` with one row of each group, that with the least id (nulls last; of repeated
+    rows, one). Columns unchanged, whatever their names. Rows are numbered in a table, and
+    shuffled once by number."""
+    names = [f"__c{i}" for i in range(len(docs.columns))]
+    of = dict(zip(docs.columns, names, strict=True))
+    rows = materialize(docs.toDF(*names).withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    found = near_duplicates(rows, id_col="__row", text_col=of[text_col], shingle=shingle, similarity=similarity)
+    several = found.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1").select("component_id")
+    grouped = found.join(several, "component_id").select("component_id", "__row").join(rows.select("__row", F.col(of[id_col]).alias("id")), "__row")
+    first = grouped.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "__row")).alias("first"))
+    gone = materialize(grouped.join(first, "component_id").where(F.col("__row") != F.col("first.__row")).select("__row"), "copies")
+    kept = rows.join(gone, "__row", "left_anti").select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])
+    release(found)
+    return owning(kept, rows, gone)

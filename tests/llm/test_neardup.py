@@ -59,21 +59,44 @@ def cases_of(seed):
 @pytest.mark.parametrize("size,chunk,rounds", [(2, 4096, 2), (5, 4096, 2), (2, 7, 0), (2, 8, 2)])
 def test_against_brute_force(spark, size, chunk, rounds):
     cases = cases_of(size)
-    out = neardup.near_duplicates(frame(spark, cases), shingle=size, chunk=chunk, rounds=rounds, block=4 if chunk < 99 else 1000)
+    out = neardup.near_duplicates(frame(spark, cases), shingle=size, chunk=chunk, rounds=rounds, block=4 if chunk < 99 else 1000, block_items=300 if chunk < 99 else 1 << 20)
     assert rows(out, "doc_id", "n_shingles", "component_id", "kept") == expected(cases, size)
 
 
 def test_filter_and_empty(spark):
     cases = cases_of(5)
     df = frame(spark, cases)
+    for name in ("__gone", "__row", "component_id", "first", "n_shingles"):
+        df = df.withColumn(name, df.doc_id)
     kept = neardup.drop_near_duplicates(df)
     assert kept.columns == df.columns
-    want = [(i, t) for (i, t) in cases if i is None or any(k and j == i for j, _, _, k in expected(cases, 5))]
-    assert rows(kept, "doc_id", "text") == sorted(want, key=lambda r: tuple((x is not None, x) for x in r))
+    # Every row is a node of its own: numbered in the order in which the first of a group stays.
+    order = sorted(cases, key=lambda c: (c[0] is None, c[0] or 0))
+    keep = [k for *_, k in sorted(expected([(j, t) for j, (_, t) in enumerate(order)], 5))]
+    want = [c for c, k in zip(order, keep, strict=True) if k]
+    same_id = lambda rs: sorted((i is None, i or 0, t is None, t or "") for i, t in rs)
+    assert same_id(rows(kept, "doc_id", "text")) == same_id(want)
     assert neardup.near_duplicates(df.limit(0)).count() == 0
     assert neardup.drop_near_duplicates(df.limit(0)).count() == 0
 
 
+def test_repeated_rows_and_rows_without_an_id_leave_one(spark):
+    text = " ".join(f"w{k}" for k in range(40))
+    df = frame(spark, [(7, text), (7, text), (None, text), (None, text), (None, "a b c d e f"), (None, "a b c d e f")])
+    assert rows(neardup.drop_near_duplicates(df), "doc_id", "text") == [(None, "a b c d e f"), (7, text)]
+
+
+def test_the_bitmap_rules_no_link_out():
+    rng = np.random.default_rng(4)
+    for _ in range(400):
+        n = int(rng.integers(1, 3000))
+        a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64) << np.uint64(1))
+        b = np.unique(np.concatenate([a[rng.random(len(a)) < rng.choice([0.7, 0.85, 0.9, 1.0])], rng.integers(0, 1 << 63, int(rng.integers(0, n // 4 + 1)), dtype=np.uint64)]))
+        bits = [np.frombuffer(neardup.sketch(x), "<u8") for x in (a, b)]
+        may = neardup.may_link(len(a), np.array([len(b)]), *neardup.apart(bits[0], bits[1][None, :]), 80)[0]
+        assert may or not neardup._similar(a, b, 80)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(100, 140)] + [(5, 3), (3, 9), (9, 7), (7, 7)] + [(1, k) for k in range(200, 230)]
     got = dict(tuple(r) for r in neardup.components(spark.createDataFrame(edges, "x bigint, y bigint")).collect())
