@@ -1,8 +1,9 @@
 """Chat formatting in budgeted windows.
 
-A conversation is cut into windows of whole turns. Prefix sums of the turns' tokens say
-where a window must end; each window repeats the system turn and a limited history of
-the turns before it, and the loss mask marks each assistant text in one window only.
+A conversation is cut into windows of whole turns. Prefix sums of the turns' tokens, as a
+tokenizer counts them, say where a window must end; each window repeats the system turn and
+a limited history of the turns before it, and the loss mask marks each assistant text in
+one window only.
 
 Template of a turn: ``### <role>: <text> </turn>`` and a newline. Inside texts, ``\\``,
 ``###`` and ``</turn>`` get a backslash before them, so any text can be read back; roles
@@ -10,22 +11,25 @@ are percent-quoted.
 
 Defined results: null texts and roles count as empty; rows without a conversation id
 are one conversation (null) of their own; rows are ordered by turn, then role, then
-text, nulls first, and repeated rows are turns of their own; a turn longer than the
-budget has a window to itself; an empty table gives no windows.
+text, nulls first, and repeated rows are turns of their own; a turn that doesn't fit the
+budget together with the system turn has a window to itself, the only kind of window that
+may go beyond the budget or lack the system turn; an empty table gives no windows. One turn
+of any length is held as a whole, a conversation never is.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kvstrata.llm.common import materialize
+from kvstrata.llm.common import materialize, owning
+from kvstrata.llm.token_files import encoder
 
 _CONTROL = re.compile(r"\\|###|</turn>")
 _ESCAPED = re.compile(r"\\(\\|###|</turn>)")
@@ -44,10 +48,19 @@ def unescape(text: str) -> str:
 
 
 def n_tokens(text: str) -> int:
-    """Tokens of a turn: words and single signs, and the two marks around it."""
+    """Tokens of a turn where no tokenizer is given: words and single signs, and the two
+    marks around it."""
     return len(_TOKEN.findall(text)) + 2
 
 
+def counter(tokenizer: str | None) -> Callable[[str], int]:
+    """Tokens of a turn by a tokenizer's file, and the two marks around it."""
+    if tokenizer is None:
+        return n_tokens
+    encode = encoder(tokenizer).packed
+    return lambda text: len(encode(text.encode())) // 4 + 2
+
+
 def parse(formatted: str) -> list[tuple[str, str, int, int]]:
     """(role, text, start, end) of each turn in a window; start and end bound the
     escaped text. Raises if the window is not made of whole turns."""
@@ -87,7 +100,7 @@ class _Window:
         self.repeated += repeated
 
 
-def windows_of(turns: Iterator[tuple[str, str]], budget: int, history: int) -> Iterator[_Window]:
+def windows_of(turns: Iterator[tuple[str, str]], budget: int, history: int, count: Callable[[str], int] = n_tokens) -> Iterator[_Window]:
     """Windows of one conversation, as its turns stream by. Held at a time: the open
     window, the system turn, and at most ``history`` tokens of turns to repeat."""
     window, system = _Window(0), None
@@ -95,17 +108,18 @@ def windows_of(turns: Iterator[tuple[str, str]], budget: int, history: int) -> I
     total, opened = 0, 0  # prefix sum of turn tokens; its value where the window's own turns start
     extra = 0
     for role, text in turns:
-        size = n_tokens(text)
+        size = count(text)
         if total > opened and total + size - opened + extra > budget:
             yield window
             window = _Window(window.number + 1)
             again, room = [], min(history, budget - size - (system[2] if system else 0))
+            fits = system is None or size + system[2] <= budget
             for turn in reversed(past):
-                if turn[2] > room:
+                if turn[2] > room or not fits:
                     break
                 again.append(turn)
                 room -= turn[2]
-            if system and system not in again:
+            if system and fits and not any(turn is system for turn in again):
                 again.append(system)
             for r, t, n in reversed(again):
                 window.add(r, t, n, False, True)
@@ -114,7 +128,7 @@ def windows_of(turns: Iterator[tuple[str, str]], budget: int, history: int) -> I
             system = (role, text, size)
         window.add(role, text, size, role == "assistant")
         total += size
-        past.append((role, text, size))
+        past.append(system if system and system[1] is text and system[0] == role else (role, text, size))
         held = sum(n for *_, n in past[1:])
         while len(past) > 1 and held > history:
             past.pop(0)
@@ -123,7 +137,7 @@ def windows_of(turns: Iterator[tuple[str, str]], budget: int, history: int) -> I
         yield window
 
 
-def format_conversations(conversations: DataFrame, *, budget: int = 1024, history: int = 256, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
+def format_conversations(conversations: DataFrame, *, budget: int = 1024, history: int = 256, tokenizer: str | None = None, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """Windows of all conversations: conv_id, window_no, n_repeated (leading turns that
     repeat earlier ones), n_turns, n_tokens, formatted, and loss (starts and ends of the
     target texts, in characters of ``formatted``).
@@ -143,8 +157,9 @@ def format_conversations(conversations: DataFrame, *, budget: int = 1024, histor
                     yield from zip(*(part[x].to_pylist() for x in ("conv_id", "role", "text")), strict=True)
 
         held: list[tuple] = []
+        count = counter(tokenizer)
         for conv, group in _groups(turns()):
-            for w in windows_of(group, budget, history):
+            for w in windows_of(group, budget, history, count):
                 held.append((conv, w.number, w.repeated, w.turns, w.tokens, "".join(w.parts), w.loss))
                 if len(held) >= 200:
                     yield _batch(held)
@@ -194,6 +209,8 @@ def digests(windows: DataFrame) -> DataFrame:
                     part = batch.slice(lo, 200)
                     yield from zip(*(part[x].to_pylist() for x in ("conv_id", "n_repeated", "formatted", "loss")), strict=True)
 
+        types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+        names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
         out: list[tuple] = []
         for conv, group in _groups(rows()):
             turns, loss, n, masked, chars = hashlib.sha256(), hashlib.sha256(), 0, 0, 0
@@ -207,13 +224,16 @@ def digests(windows: DataFrame) -> DataFrame:
                     masked += len(target)
                     loss.update(target.encode())
             out.append((conv, n, turns.hexdigest(), masked, loss.hexdigest(), chars))
+            if len(out) >= 1000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
+                out = []
         if out:
-            types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
 
     return windows.select("conv_id", "window_no", "n_repeated", "formatted", "loss").repartition("conv_id").sortWithinPartitions("conv_id", "window_no").mapInArrow(run, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
 
 
-def round_trip(conversations: DataFrame) -> DataFrame:
+def round_trip(conversations: DataFrame, **options) -> DataFrame:
     """Format all conversations into a table of the shared store and read it back."""
-    return digests(materialize(format_conversations(conversations), "chat-windows"))
+    windows = materialize(format_conversations(conversations, **options), "chat-windows")
+    return owning(digests(windows), windows)

@@ -21,6 +21,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_OWN_ROOT: list[str] = []
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``. Where that is
     unset, a temporary one if all runs on one machine, else an error."""
@@ -28,9 +31,10 @@ def shared_root(spark: SparkSession) -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="kvstrata-")
-        atexit.register(shutil.rmtree, root[7:], ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", root)
+        if not _OWN_ROOT:
+            _OWN_ROOT.append("file://" + tempfile.mkdtemp(prefix="kvstrata-"))
+            atexit.register(shutil.rmtree, _OWN_ROOT[0][7:], ignore_errors=True)
+        root = _OWN_ROOT[0]
     return root.rstrip("/")
 
 
@@ -76,17 +80,18 @@ def materialize(df: DataFrame, label: str, by: str | None = None, records: int =
     return out
 
 
-def owning(out: DataFrame, *frames: DataFrame) -> DataFrame:
-    """``out``, which reads the tables ``frames``: its release deletes them."""
-    out._kvstrata_owned = [*getattr(out, "_kvstrata_owned", []), *frames]
+def owning(out: DataFrame, *what: DataFrame | str) -> DataFrame:
+    """``out``, which reads these tables and folders: its release deletes them."""
+    out._kvstrata_owned = [*getattr(out, "_kvstrata_owned", []), *what]
     return out
 
 
 def release(*frames: DataFrame) -> None:
-    """Delete the tables that ``materialize`` wrote for these frames, and those they own.
+    """Delete the tables that ``materialize`` wrote for these frames, and what they own.
     Nothing may read them any more."""
     for df in frames:
-        release(*getattr(df, "_kvstrata_owned", []))
+        for x in getattr(df, "_kvstrata_owned", []):
+            remove_path(df.sparkSession, x) if isinstance(x, str) else release(x)
         path = getattr(df, "_kvstrata_path", None)
         if getattr(df, "_kvstrata_name", None):
             df.sparkSession.sql(f"DROP TABLE IF EXISTS {df._kvstrata_name}")

@@ -5,16 +5,21 @@ IBANs, calendar for dates, ranges for the rest), and what is valid is replaced b
 keyed permutation of itself within its format: a Feistel network whose halves are lists
 of symbols, each with its own radix, and whose round function is SHA-256 under the key.
 Check digits are computed anew. Equal values get equal pseudonyms in all documents, and
-different values of a kind get different ones. Digits stay digits of their range, letters
-stay letters of their case, so punctuation, length and layout are kept.
+different values of a kind get different ones. Digits stay digits, letters stay letters of
+their case, so punctuation, length and layout are kept; in phone numbers 0 and 1 stay among
+themselves, as they may start no area code. Secrets keep nothing but their alphabet: keys
+are permuted over all 36 letters and digits, hex values over all 16 digits of their case
+(over digits, small and capital letters apart if they mix the two).
+
+The key is no part of the plan: it comes from a scalar subquery over a table of one row.
 
 Kinds: e-mail addresses (local part), phone numbers, payment cards, IBANs, IPv4
 addresses, US social security numbers, ISO and day-first dates, and secrets (AKIA keys,
 hex values of password/token/secret/key settings, in either case).
 
 Defined results: a null text stays null; text without valid candidates is returned
-unchanged, byte for byte; repeated rows are treated alike; all other columns, whatever
-their names, pass through.
+unchanged, byte for byte; repeated rows are treated alike; an empty table gives no rows; a
+very long text is rewritten whole; all other columns, whatever their names, pass through.
 """
 
 from __future__ import annotations
@@ -58,9 +63,9 @@ def _q(s: str) -> str:
 
 def feistel(symbols: str, radices: str, key: str, tweak: str) -> str:
     """SQL of the permuted symbols: ``symbols`` and ``radices`` are SQL of arrays of
-    int, symbol i being below radix i. Halves change places after each of an even number of
+    int, symbol i being below radix i; ``key`` is SQL of the key. Halves change places after each of an even number of
     rounds, so that each symbol ends where it began."""
-    digest = f"sha2(concat({_q(key + '|' + tweak + '|')}, r, '|', i, '|', array_join(s.b, ',')), 256)"
+    digest = f"sha2(concat({key}, {_q('|' + tweak + '|')}, r, '|', i, '|', array_join(s.b, ',')), 256)"
     return f"""transform(array(struct({symbols} AS v, {radices} AS m)), z -> aggregate(sequence(1, {ROUNDS}),
       struct(slice(z.v, 1, size(z.v) DIV 2) AS a, slice(z.m, 1, size(z.v) DIV 2) AS ra, slice(z.v, size(z.v) DIV 2 + 1, size(z.v)) AS b, slice(z.m, size(z.v) DIV 2 + 1, size(z.v)) AS rb),
       (s, r) -> struct(s.b AS a, s.rb AS ra, transform(s.a, (x, i) -> CAST(pmod(x + CAST(conv(substring({digest}, 1, 12), 16, 10) AS BIGINT), s.ra[i]) AS INT)) AS b, s.ra AS rb),
@@ -68,7 +73,7 @@ def feistel(symbols: str, radices: str, key: str, tweak: str) -> str:
 
 
 #: Classes of characters that stay among themselves.
-_DIGITS = ["01", "23456789"]
+_DIGITS, _PHONE = ["0123456789"], ["01", "23456789"]
 _LETTERS = ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"]
 
 
@@ -76,7 +81,7 @@ def _by_class(value: str, classes: list[str], key: str, tweak: str) -> str:
     """SQL of a text whose characters of the classes are permuted, each within its
     class; all other characters stay."""
     case = lambda of: "CASE " + " ".join(f"WHEN locate(c, '{k}') > 0 THEN {of(k)}" for k in classes)
-    inside = "[" + "".join(classes) + "]"
+    inside = "[" + "".join(dict.fromkeys("".join(classes))) + "]"
     chars = f"filter(split({value}, ''), c -> c RLIKE '{inside}')"
     symbols = f"transform({chars}, c -> {case(lambda k: f"locate(c, '{k}') - 1")} END)"
     radices = f"transform({chars}, c -> {case(lambda k: str(len(k)))} END)"
@@ -106,11 +111,14 @@ def _bind(value: str, name: str, body: str) -> str:
 
 
 def replacement(key: str) -> str:
-    """SQL of the pseudonym of a candidate ``v``; the candidate itself if not valid."""
+    """SQL of the pseudonym of a candidate ``v``, ``key`` being SQL of the key; the
+    candidate itself if not valid."""
     email = f"concat({_by_class("substring_index(v, '@', 1)", _DIGITS + _LETTERS, key, 'email')}, '@', substring_index(v, '@', -1))"
-    aws = f"concat('AKIA', {_by_class('substring(v, 5)', _DIGITS + _LETTERS, key, 'aws')})"
+    aws = f"concat('AKIA', {_by_class('substring(v, 5)', [_DIGITS[0] + _LETTERS[1]], key, 'aws')})"
     value = "regexp_extract(v, '([0-9a-fA-F]{12,64})$', 1)"
-    secret = f"concat(substring(v, 1, length(v) - length({value})), {_by_class(value, [*_DIGITS, 'abcdef', 'ABCDEF'], key, 'secret')})"
+    hexes = [("x NOT RLIKE '[A-F]'", ["0123456789abcdef"]), ("x NOT RLIKE '[a-f]'", ["0123456789ABCDEF"]), ("true", [*_DIGITS, "abcdef", "ABCDEF"])]
+    permuted = "CASE " + " ".join(f"WHEN {test} THEN {_by_class('x', classes, key, 'secret')}" for test, classes in hexes) + " END"
+    secret = f"concat(substring(v, 1, length(v) - length({value})), {_bind(value, 'x', permuted)})"
     # Cards: first digit stays, the rest but the check digit is permuted.
     d = "regexp_replace(v, '[ -]', '')"
     body = f"concat(substring(d, 1, 1), {_by_class('substring(d, 2, length(d) - 2)', ['0123456789'], key, 'card')})"
@@ -138,7 +146,7 @@ def replacement(key: str) -> str:
     iso = f"coalesce({date('v', 'yyyy-MM-dd')}, v)"
     dmy = f"coalesce(replace({date("replace(v, '.', '/')", 'dd/MM/yyyy')}, '/', substring(v, 3, 1)), v)"
     head = r"regexp_extract(v, '^(\\+\\d{1,3})', 1)"
-    phone = f"CASE WHEN length(regexp_replace(v, '[^0-9]', '')) BETWEEN 8 AND 15 THEN concat({head}, {_by_class(f'substring(v, length({head}) + 1)', _DIGITS, key, 'phone')}) ELSE v END"
+    phone = f"CASE WHEN length(regexp_replace(v, '[^0-9]', '')) BETWEEN 8 AND 15 THEN concat({head}, {_by_class(f'substring(v, length({head}) + 1)', _PHONE, key, 'phone')}) ELSE v END"
     sql = {"email": email, "aws": aws, "secret": secret, "iban": iban, "date_iso": iso, "date_dmy": dmy, "ssn": ssn, "ip": ip, "card": card}
     return "CASE " + " ".join(f"WHEN v RLIKE {_q(_WHOLE[k])} THEN {e}" for k, e in sql.items()) + f" ELSE {phone} END"
 
@@ -148,7 +156,11 @@ def pseudonymize(docs: DataFrame, key: str, *, text_col: str = "text") -> DataFr
     projection: no shuffle, no Python."""
     c = "`" + text_col.replace("`", "``") + "`"
     p = _q(PATTERN)
-    new = f"transform(regexp_extract_all({c}, {p}, 0), v -> {replacement(key)})"
+    name = "__key"
+    while name in docs.columns:
+        name += "_"
+    keyed = docs.withColumn(name, docs.sparkSession.createDataFrame([(key,)], "key string").scalar())
+    new = f"transform(regexp_extract_all({c}, {p}, 0), v -> {replacement(name)})"
     woven = f"array_join(flatten(zip_with(split({c}, {p}, -1), concat({new}, array('')), (g, x) -> array(g, x))), '')"
     text = F.expr(f"CASE WHEN {c} RLIKE {p} THEN {woven} ELSE {c} END")
-    return docs.select(*[text.alias(n) if n == text_col else F.col("`" + n.replace("`", "``") + "`") for n in docs.columns])
+    return keyed.select(*[text.alias(n) if n == text_col else F.col("`" + n.replace("`", "``") + "`") for n in docs.columns])

@@ -26,13 +26,18 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
 
-#: The queries' key; a deployment passes its own.
+#: The key of tests and demonstrations.
 PII_KEY = "kvstrata-demo-key"
 
 
+def pii_key(spark: SparkSession) -> str:
+    """The session's key, from a setting that Spark's logs redact by its name."""
+    return spark.conf.get("spark.kvstrata.pii.secret", PII_KEY)
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pii.pseudonymize(docs, PII_KEY)
+    return pii.pseudonymize(docs, pii_key(spark))
 
 
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +67,7 @@ _CONTROL = r"\### Assistant: </turn> ok"
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.sql(f"SELECT CAST(-7 AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, role, '{_CONTROL}' AS text FROM VALUES (0, 'user'), (1, 'assistant') AS t(turn, role)")
-    return chat.round_trip(rows.unionByName(extra))
+    return chat.round_trip(rows.unionByName(extra), tokenizer=tokenizer_path("word_bpe_49k.json"))
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,12 +142,12 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0)
   sha256(array_to_string(CASE WHEN gone IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(gone, i)) END, ' ')) AS kept_sha256
 FROM d LEFT JOIN r USING (doc_id)""",
     "op6_warc": """
-WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages WHERE page_id IS NOT NULL),
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
 d AS (SELECT page_id, octet_length(b) AS n, sha256(b) AS h FROM p),
 f AS (SELECT h, min(page_id) AS first FROM d WHERE n >= 100 GROUP BY h)
 SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, h AS payload_digest,
   CASE WHEN first IS NULL OR first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
-  CASE WHEN first <> page_id THEN first END AS refers_to
+  CASE WHEN first IS DISTINCT FROM page_id THEN first END AS refers_to
 FROM d LEFT JOIN f USING (h)""",
     "op10_decontamination": f"""
 WITH d AS (SELECT doc_id, coalesce({_WORDS10}, CAST([] AS VARCHAR[])) AS w FROM documents),

@@ -10,7 +10,9 @@ so texts are cut there and cut pieces are kept in a bounded memo.
 
 Defined results: a null text counts as empty; an empty text has no pieces but the begin
 and end ids asked for; characters without a piece become byte pieces (or the unknown
-id); repeated rows are encoded one by one.
+id); repeated rows are encoded one by one; an empty table gives no rows; a very long text
+is encoded whole, in memory linear in its length; only the id and text columns are read, so
+extra columns may have any names.
 """
 
 from __future__ import annotations

@@ -9,7 +9,7 @@ the frames that hold the documents asked for.
 
 Defined results: a null text counts as empty (its end id only); rows without an id come
 first; rows with one id are separate documents in the order of their texts; an empty
-table gives no files and no rows.
+table gives no files and no rows. A very long text is encoded whole and lies in one frame.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kvstrata.llm.common import materialize, open_fs, shared_path
+from kvstrata.llm.common import materialize, open_fs, owning, shared_path
 
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 _ENTRY, _FOOTER = struct.Struct("<III"), struct.Struct("<IBI")
@@ -256,7 +256,8 @@ def read_documents(path: str, wanted: Iterable[int]) -> dict[int, np.ndarray]:
 def round_trip(docs: DataFrame, tokenizer: str, *, end_id: int) -> DataFrame:
     """Write all documents to a fresh folder of the shared store and read them back."""
     folder = shared_path(docs.sparkSession, "tokens")
-    return read_token_files(write_token_files(docs, tokenizer, folder, end_id=end_id))
+    manifest = write_token_files(docs, tokenizer, folder, end_id=end_id)
+    return owning(read_token_files(manifest), manifest, folder)
 
 
 def file_of(docs: list[tuple[int, list[int]]], width: int = 4, frame_bytes: int = 1 << 20) -> bytes:

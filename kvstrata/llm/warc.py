@@ -6,9 +6,11 @@ frame, and checks version line, header lines, lengths and digests of each record
 
 Defined results: a null html is an empty payload; a null url writes no target; records
 with equal payloads of at least ``least`` bytes share one response, that with the
-smallest page id, and the others revisit it; rows without a page id are not written;
-rows with one page id and one payload are written each, and refer to that id; an empty
-table gives no archives.
+smallest page id, and the others revisit it; rows without a page id have records with ids
+of their own, revisit the response if a page with an id has their payload, and are read
+back with a null id; rows with one page id and one payload are written each, as responses
+if that id is the smallest; an empty table gives no archives. A payload of any length is
+held as a whole, one at a time.
 """
 
 from __future__ import annotations
@@ -25,16 +27,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kvstrata.llm.common import materialize, open_fs, shared_path
+from kvstrata.llm.common import materialize, open_fs, owning, release, shared_path
 
 DICTIONARY_FRAME, ZSTD_FRAME = 0x184D2A5D, 0xFD2FB528
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _URN = re.compile(r"<urn:x-page:(-?\d+)>")
 
 
-def record(page_id: int, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
     """One WARC record: a response with its payload, or a revisit without."""
-    head = ["WARC/1.1", "WARC-Type: " + ("response" if refers_to is None else "revisit"), f"WARC-Record-ID: <urn:x-page:{page_id}>", "WARC-Date: 1970-01-01T00:00:00Z"]
+    head = ["WARC/1.1", "WARC-Type: " + ("response" if refers_to is None else "revisit"), "WARC-Record-ID: " + (f"<urn:x-page:{page_id}>" if page_id is not None else uuid.uuid4().urn.join("<>")), "WARC-Date: 1970-01-01T00:00:00Z"]
     if url is not None:
         head.append("WARC-Target-URI: " + quote(url, safe="!#$%&'()*+,/:;=?@[]~-._"))
     head += [f"WARC-Payload-Digest: sha256:{digest}", f"X-Payload-Length: {len(payload)}"]
@@ -142,13 +144,17 @@ def plan_records(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "u
     nothing more. The few digests that repeat are joined back to the pages' narrow rows,
     whose hot digests are spread over ``salts`` parts, and then to the pages by id.
     """
-    page = pages.where(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").cast("bigint").alias("page_id"), F.col(f"`{url_col}`").cast("string").alias("url"), F.coalesce(F.col(f"`{html_col}`").cast("binary"), F.lit(b"")).alias("payload")).withColumn("digest", F.sha2("payload", 256))
-    slim = materialize(page.select("page_id", F.unhex("digest").alias("d"), (F.octet_length("payload") >= least).alias("large")).where("large"), "warc-digests")
+    page = pages.select(F.col(f"`{id_col}`").cast("bigint").alias("page_id"), F.col(f"`{url_col}`").cast("string").alias("url"), F.coalesce(F.col(f"`{html_col}`").cast("binary"), F.lit(b"")).alias("payload")).withColumn("digest", F.sha2("payload", 256))
+    slim = materialize(page.where("page_id IS NOT NULL").select("page_id", F.unhex("digest").alias("d"), (F.octet_length("payload") >= least).alias("large")).where("large"), "warc-digests")
     firsts = slim.groupBy("d").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("d", "first")
     salted = slim.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(salts)))
     wide = firsts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).withColumn("salt", F.col("salt").cast("bigint"))
     revisits = salted.join(wide, ["d", "salt"]).where("page_id <> first").select("page_id", F.lower(F.hex("d")).alias("digest"), F.col("first").alias("refers_to")).distinct()
-    return page.join(revisits, ["page_id", "digest"], "left").select("page_id", "url", "payload", "digest", "refers_to")
+    out = page.where("page_id IS NOT NULL").join(revisits, ["page_id", "digest"], "left").select("page_id", "url", "payload", "digest", "refers_to")
+    # Pages without an id meet the first page with their payload, spread likewise.
+    nameless = page.where("page_id IS NULL").withColumn("d", F.when(F.octet_length("payload") >= least, F.unhex("digest"))).withColumn("salt", F.pmod(F.xxhash64("url"), F.lit(salts)))
+    firsts = slim.join(nameless.select("d").distinct(), "d", "left_semi").groupBy("d").agg(F.min("page_id").alias("refers_to")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).withColumn("salt", F.col("salt").cast("bigint"))
+    return owning(out.unionByName(nameless.join(firsts, ["d", "salt"], "left").select("page_id", "url", "payload", "digest", "refers_to")), slim)
 
 
 def write_archives(pages: DataFrame, folder: str, **columns) -> DataFrame:
@@ -178,7 +184,10 @@ def write_archives(pages: DataFrame, folder: str, **columns) -> DataFrame:
         else:
             fs.delete_file(f"{root}/{name}.tmp")
 
-    return materialize(plan_records(pages, **columns).mapInArrow(run, "path string, n_records bigint"), "warc-manifest")
+    plan = plan_records(pages, **columns)
+    out = materialize(plan.mapInArrow(run, "path string, n_records bigint"), "warc-manifest")
+    release(plan)
+    return out
 
 
 def read_archives(manifest: DataFrame, with_payload: bool = False) -> DataFrame:
@@ -191,7 +200,8 @@ def read_archives(manifest: DataFrame, with_payload: bool = False) -> DataFrame:
         with fs.open_input_stream(root, compression=None) as src:
             for f in read_archive(src):
                 ref = f.get("warc-refers-to")
-                row = (int(_URN.fullmatch(f["warc-record-id"])[1]), int(f["x-payload-length"]), f["warc-payload-digest"].removeprefix("sha256:"), f["warc-type"], int(_URN.fullmatch(ref)[1]) if ref else None)
+                own = _URN.fullmatch(f["warc-record-id"])
+                row = (int(own[1]) if own else None, int(f["x-payload-length"]), f["warc-payload-digest"].removeprefix("sha256:"), f["warc-type"], int(_URN.fullmatch(ref)[1]) if ref else None)
                 yield (*row, f.get("warc-target-uri"), f["payload"] if ref is None else None) if with_payload else row
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,4 +228,6 @@ def _batch(rows: list[tuple], types, names) -> pa.RecordBatch:
 
 def round_trip(pages: DataFrame) -> DataFrame:
     """Write all pages to a fresh folder of the shared store and read them back."""
-    return read_archives(write_archives(pages, shared_path(pages.sparkSession, "warc")))
+    folder = shared_path(pages.sparkSession, "warc")
+    manifest = write_archives(pages, folder)
+    return owning(read_archives(manifest), manifest, folder)

@@ -53,6 +53,25 @@ def test_windows():
     assert seen == turns
 
 
+def test_budget_holds_with_a_tokenizer(spark):
+    from kvstrata.llm.queries import tokenizer_path
+
+    path = tokenizer_path("word_bpe_49k.json")
+    count = chat.counter(path)
+    r = random.Random(8)
+    turns = [("system", "you are kind " * 5)] + [(("user", "assistant")[i % 2], " ".join(r.choice(["unbelievable", "a", "x1y2", "Größe"]) for _ in range(r.choice([3, 20, 70])))) for i in range(120)]
+    df = spark.createDataFrame([(1, i, a, t) for i, (a, t) in enumerate(turns)], "conv_id bigint, turn int, role string, text string")
+    seen = []
+    for w in chat.format_conversations(df, budget=150, history=60, tokenizer=path).orderBy("window_no").collect():
+        got = [(a, b) for a, b, *_ in chat.parse(w.formatted)]
+        own = got[w.n_repeated :]
+        assert w.n_tokens == sum(count(t) for _, t in got)
+        assert w.n_tokens <= 150 or len(got) == 1
+        assert got[0] == turns[0] or (len(got) == 1 and count(own[0][1]) + count(turns[0][1]) > 150)
+        seen += own
+    assert seen == turns
+
+
 def test_malformed_window():
     with pytest.raises(ValueError):
         chat.parse("### user: hi")

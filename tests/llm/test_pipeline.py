@@ -60,3 +60,30 @@ def test_empty(spark, small):
         assert out.count() == 0
         if out.columns == docs.columns:
             docs = out
+
+
+def test_clashing_columns_and_odd_rows(spark, small):
+    """Names that the operators use themselves, rows without ids, repeated and empty texts."""
+    docs = spark.read.parquet(f"{small}/documents.parquet").limit(60)
+    odd = spark.createDataFrame([(None, None, None, None, None), (None, "", "en", "a", 0), (7, " \n", "en", "a", 3)], docs.schema)
+    docs = docs.unionByName(docs.limit(5)).unionByName(odd)
+    extra = ["h1", "h2", "__h1", "__gone", "__row", "__key", "__items", "__text", "label", "rep", "kept", "n_words", "__c0", "id"]
+    for name in extra:
+        docs = docs.withColumn(name, docs.doc_id)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, small)
+        assert out.columns == docs.columns
+        rows = out.collect()
+        assert all(r[c] == r.doc_id for r in rows for c in extra) and len(rows) > 20
+        docs = spark.createDataFrame(rows, docs.schema)
+    ids = [r.doc_id for r in corpus_pipeline.STAGES[-1][1](spark, docs, small).collect()]
+    assert len(ids) == len(set(ids)) == docs.count()
+
+
+def test_temporary_tables_go(spark, small, tmp_path, monkeypatch):
+    from kvstrata.llm import common
+
+    monkeypatch.setattr(common, "shared_root", lambda _: f"file://{tmp_path}")
+    rows = corpus_pipeline.run(spark, small).count()
+    left = [p.name for p in (tmp_path / "kvstrata").iterdir()]
+    assert rows > 0 and len(left) == 1 and left[0].startswith("stage-4"), left

@@ -18,8 +18,6 @@ def expected(cases):
             first[p] = min(i, first.get(p, i))
     out = []
     for i, _, h in cases:
-        if i is None:
-            continue
         p = (h or "").encode()
         f = first.get(p, i)
         out.append((i, len(p), hashlib.sha256(p).hexdigest(), "response" if f == i else "revisit", None if f == i else f))
@@ -28,7 +26,7 @@ def expected(cases):
 
 def test_round_trip(spark):
     long, odd = "ab" * 60, "WARC/1.1\r\n\r\n" * 20 + "é\x00"
-    cases = [(3, "u", long), (1, "u\r\nWARC-Type: x", long), (9, None, long), (2, "u", "short"), (4, "u", "short"), (5, "ü", None), (6, "", ""), (7, "u", odd), (8, "u", odd), (None, "u", long), (10, "u", "x" * 300_000), (1, "u", long)]
+    cases = [(3, "u", long), (1, "u\r\nWARC-Type: x", long), (9, None, long), (2, "u", "short"), (4, "u", "short"), (5, "ü", None), (6, "", ""), (7, "u", odd), (8, "u", odd), (None, "u", long), (None, "v", long), (None, None, None), (None, "w", "z" * 200), (None, "w", "z" * 200), (10, "u", "x" * 300_000), (1, "u", long)]
     cases += [(100 + i, "u", f"<html>{i}" + "<p>word " * (i % 50)) for i in range(300)]
     df = spark.createDataFrame([(*c, "d", "f") for c in cases], SCHEMA)
     got = rows(warc.round_trip(df), "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
