@@ -1,13 +1,21 @@
 """From raw documents to token ids: quality, near duplicates, benchmark passages, personal
-data, encoding. Each stage takes all that the one before has kept."""
+data, encoding. Each stage takes all that the one before has kept.
+
+Defined results: a null, empty or wordless text fails the base quality rules and goes; very
+long texts pass through whole; of repeated rows one stays, whether they have an id or not
+(of a group of near duplicates, the row with the least id); without benchmark items nothing
+is contaminated; extra columns, whatever their names, are kept by all stages but the last,
+which returns ids and token ids; an empty table gives an empty one.
+
+The key of the pseudonyms is the setting ``spark.kvstrata.pii.secret``."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from kvstrata.llm import decontaminate, neardup, pii, quality, sentencepiece_bpe
-from kvstrata.llm.common import shared_path, table
-from kvstrata.llm.queries import PII_KEY, tokenizer_path
+from kvstrata.llm.common import release, remove_path, shared_path, table
+from kvstrata.llm.queries import pii_key, tokenizer_path
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +35,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data becomes pseudonyms of the same format."""
-    return pii.pseudonymize(docs, PII_KEY)
+    return pii.pseudonymize(docs, pii_key(spark))
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,10 +51,15 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each one's result is a Parquet table in the shared
-    folder, which the next one reads."""
-    docs = table(spark, sf_dir, "documents")
+    folder, which the next one reads. A stage's own tables and the table before it go once
+    its result is written."""
+    docs, last = table(spark, sf_dir, "documents"), None
     for number, (_, stage) in enumerate(STAGES):
         path = shared_path(spark, f"stage-{number}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        out = stage(spark, docs, sf_dir)
+        out.write.parquet(path)
+        release(out)
+        if last:
+            remove_path(spark, last)
+        docs, last = spark.read.parquet(path), path
     return docs
