@@ -400,7 +400,7 @@ def _several(sig: DataFrame) -> DataFrame:
     return rows.join(ids, "id", "left_semi").distinct()
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 2, similarity: int = 80, rounds: int = 2, chunk: int = 4096, block: int = 1000, block_items: int = 1 << 20) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 2, similarity: int = 80, rounds: int = 2, chunk: int = 4096, block: int = 1000, block_items: int = 1 << 18) -> DataFrame:
     """Per row with its id: n_shingles, component_id (least id that it is connected with)
     and kept (whether that is its own). Runs at once; the result is read from tables."""
     source = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").cast("binary").alias("text"))
