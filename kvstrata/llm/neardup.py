@@ -469,10 +469,11 @@ def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
     of = dict(zip(docs.columns, names, strict=True))
     rows = materialize(docs.toDF(*names).withColumn("__row", F.monotonically_increasing_id()), "numbered")
     found = near_duplicates(rows, id_col="__row", text_col=of[text_col], shingle=shingle, similarity=similarity)
-    several = found.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1").select("component_id")
-    grouped = found.join(several, "component_id").select("component_id", "__row").join(rows.select("__row", F.col(of[id_col]).alias("id")), "__row")
-    first = grouped.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "__row")).alias("first"))
-    gone = materialize(grouped.join(first, "component_id").where(F.col("__row") != F.col("first.__row")).select("__row"), "copies")
+    several = found.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1")
+    grouped = _join_salted(found.select("component_id", "__row"), several, ["component_id"], "__row").where("n IS NOT NULL")
+    grouped = materialize(grouped.select("component_id", "__row").join(rows.select("__row", F.col(of[id_col]).alias("id")), "__row"), "groups")
+    first = grouped.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "__row")).alias("first")).select("component_id", F.col("first.__row").alias("first"))
+    gone = materialize(_join_salted(grouped, first, ["component_id"], "__row").where(F.col("__row") != F.col("first")).select("__row"), "copies")
     kept = rows.join(gone, "__row", "left_anti").select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])
-    release(found)
+    release(found, grouped)
     return owning(kept, rows, gone)
