@@ -11,21 +11,26 @@ from kvstrata.schema import COMMANDS
 CODECS = ("none", "gzip", "snappy", "lz4", "zstd")
 
 
-def write_run(commands: DataFrame, path: str, *, compression: str = "gzip", target_bytes: int | None = None, row_bytes: int = 64, block_bytes: int = 8 << 20, bloom: bool = True, partitions: int | None = None) -> None:
+def write_run(commands: DataFrame, path: str, *, compression: str = "gzip", block_bytes: int = 8 << 20, bloom: bool = True, partitions: int | None = None) -> None:
     """Write a sorted run: ranges of keys to files, each sorted by key and version, so that
-    row-group statistics prune reads by key. A bloom filter on the key serves point reads.
-    ``target_bytes`` splits files by the rows that about make it."""
+    row-group statistics prune reads by key. A bloom filter on the key serves point reads."""
     if compression not in CODECS:
         raise FlushException(f"unknown codec {compression}")
     ranged = commands.repartitionByRange(partitions, "store_id", "key") if partitions else commands.repartitionByRange("store_id", "key")
     out = ranged.sortWithinPartitions("store_id", "key", "tsn").write.option("compression", compression).option("parquet.block.size", block_bytes)
     if bloom:
         out = out.option("parquet.bloom.filter.enabled#key", "true").option("parquet.bloom.filter.fpp#key", "0.01")
-    if target_bytes:
-        out = out.option("maxRecordsPerFile", max(1, target_bytes // row_bytes))
     out.parquet(path)
 
 
+def write_parts(commands: DataFrame, path: str, parts: int, *, compression: str = "gzip", block_bytes: int = 8 << 20) -> None:
+    """Write ``parts`` runs at once, one a range of keys, to ``path/part=k``. All versions of
+    a key lie in one run."""
+    ranged = commands.repartitionByRange(parts, "store_id", "key").withColumn("part", F.spark_partition_id())
+    out = ranged.sortWithinPartitions("part", "store_id", "key", "tsn").write.partitionBy("part").option("compression", compression).option("parquet.block.size", block_bytes)
+    out.option("parquet.bloom.filter.enabled#key", "true").option("parquet.bloom.filter.fpp#key", "0.01").parquet(path)
+
+
 def read_runs(spark: SparkSession, paths: list[str]) -> DataFrame:
     """The commands of some runs; an empty list has none."""
     return spark.read.schema(COMMANDS).parquet(*paths) if paths else empty(spark)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kvstrata.operators.reads import seek_many
+from kvstrata.errors import WriteAheadLogCorruptedException
+from kvstrata.operators.reads import neighbours, seek_many
 
 
 def completed(wal: DataFrame) -> DataFrame:
@@ -26,6 +27,30 @@ def transactions(wal: DataFrame) -> DataFrame:
     return wal.groupBy("commit_tsn").agg((F.count_if(F.col("type") == "START") > 0).alias("started"), (F.count_if(F.col("type") == "COMMIT") > 0).alias("completed"), F.count_if(F.col("type") == "COMMAND").alias("commands"))
 
 
+def check_complete(wal: DataFrame, max_persisted_tsn: int) -> int | None:
+    """The last committed version of the log; an error if files already hold a later one, as
+    then a part of the log is gone."""
+    last = wal.where("type = 'COMMIT'").agg(F.max("commit_tsn")).first()[0]
+    if last is not None and last < max_persisted_tsn:
+        raise WriteAheadLogCorruptedException(f"the log ends at {last}, but {max_persisted_tsn} was written to files")
+    return last
+
+
+def check_order(wal: DataFrame) -> None:
+    """An error if the versions of commits ever go down along the log. Ranges of the log are
+    compared by their ends, so nothing is sorted in one task."""
+    commits = wal.where("type = 'COMMIT'").select("seq", "commit_tsn")
+    before = commits.select(F.col("seq").alias("previous_key"), F.col("commit_tsn").alias("before"))
+    if not neighbours(commits, "seq").join(before, "previous_key").where("before > commit_tsn").isEmpty():
+        raise WriteAheadLogCorruptedException("versions of commits go down along the log")
+
+
+def shorten(wal: DataFrame, low_watermark: int) -> DataFrame:
+    """The log without the transactions that all stores have in files: those at or below the
+    least low watermark."""
+    return wal.where(F.col("commit_tsn") > low_watermark)
+
+
 def gaps(files: DataFrame) -> DataFrame:
     """Sequence numbers (column ``seq``) whose predecessor is missing, with the one before
     the gap. Ends and starts of runs are found by joins, and only they are searched."""
