@@ -15,7 +15,7 @@ from kvstrata.functions import bytesfn as b
 from kvstrata.operators import compaction, reads
 from kvstrata.operators import versioning as v
 from kvstrata.plans import policies
-from kvstrata.schema import TieredStrategy
+from kvstrata.schema import LeveledStrategy, TieredStrategy
 from kvstrata.sources import manifest, wal
 
 S, T = 5000, 2500  # versions that queries ask for
@@ -497,3 +497,101 @@ def split_exact(spark, sf):
 
 
 QUERIES["split_exact"] = split_exact  # the rolling rule is sequential; tests hold it against plain code
+
+
+@query("SELECT o_orderpriority AS value FROM orders")
+def ordered_values(spark, sf):
+    return reads.ordered(_orders(spark, sf), descending=True, columns=["value"])
+
+
+@query("SELECT o_orderkey AS key, o_orderpriority AS value FROM orders WHERE o_orderkey >= 500")
+def entries_from_here(spark, sf):
+    return reads.entries_from(_orders(spark, sf), 500).select("key", "value")
+
+
+@query("SELECT o_orderkey AS key, o_orderpriority AS value FROM orders")
+def check_ordered(spark, sf):
+    """Fails as it runs if the keys of a status ever fall."""
+    return v.check_ordered(_orders(spark, sf).withColumn("__pos", F.col("key")), ["key"], within=["status"]).select("key", "value")
+
+
+@query(_last("tsn // 1000 = 2"))
+def latest_in_file(spark, sf):
+    return shown(v.latest(_filed(spark, sf).where("file_index = 2").drop("file_index")))
+
+
+@query(f"WITH {C} SELECT DISTINCT key, key < '800000000000004b' AS less, key = '800000000000004b' AS same FROM c")
+def bytes_compare(spark, sf):
+    keys = commands(spark, sf).select("key").distinct()
+    return shown(keys.select("key", (F.col("key") < F.lit(_key(75))).alias("less"), (F.col("key") == F.lit(_key(75))).alias("same")))
+
+
+@query("""WITH x AS (SELECT o_orderkey, 2 * CAST(floor(o_totalprice * o_orderkey) AS BIGINT) + 1 AS n FROM orders)
+SELECT o_orderkey, CASE WHEN n >= 1099511627776 THEN printf('%.2f', n / 1099511627776.0) || ' TiB' WHEN n >= 1073741824 THEN printf('%.2f', n / 1073741824.0) || ' GiB'
+  WHEN n >= 1048576 THEN printf('%.2f', n / 1048576.0) || ' MiB' WHEN n >= 1024 THEN printf('%.2f', n / 1024.0) || ' KiB' ELSE n || ' B' END AS size FROM x""")
+def human_sizes(spark, sf):
+    n = 2 * F.floor(F.col("o_totalprice") * F.col("o_orderkey")).cast("bigint") + 1
+    return table(spark, sf, "orders").select("o_orderkey", b.human_size(n).alias("size"))
+
+
+@query("SELECT o_orderkey, md5(CAST(o_orderkey AS VARCHAR)) AS bytes, regexp_replace(md5(CAST(o_orderkey AS VARCHAR)), '^(.{8})(.{4})(.{4})(.{4})(.{12})$', '\\1-\\2-\\3-\\4-\\5') AS uuid FROM orders")
+def uuids(spark, sf):
+    """Bytes to the text form and back."""
+    text = b.bytes_uuid(F.unhex(F.md5(F.col("o_orderkey").cast("string"))))
+    return table(spark, sf, "orders").select("o_orderkey", b.hex_lower(b.uuid_bytes(text)).alias("bytes"), text.alias("uuid"))
+
+
+@query(f"WITH {C} SELECT tsn * 3 + 1 AS seq, 'COMMAND' AS type, tsn // 10 AS commit_tsn FROM c WHERE tsn // 10 > 300 UNION ALL SELECT DISTINCT tsn // 10 * 30, 'START', tsn // 10 FROM c WHERE tsn // 10 > 300 UNION ALL SELECT DISTINCT tsn // 10 * 30 + 29, 'COMMIT', tsn // 10 FROM c WHERE tsn // 10 > 300 AND (tsn // 10) % 10 <> 9")
+def wal_shortened(spark, sf):
+    return wal.shorten(_wal(spark, sf), 300).select("seq", "type", "commit_tsn")
+
+
+def _merges(spark, sf, plan) -> DataFrame:
+    """The merge that a policy asks for, of each store's catalog (a few rows a store)."""
+    stores: dict[str, list[policies.File]] = {}
+    small = commands(spark, sf).withColumn("file_index", F.expr("tsn DIV 100"))
+    for r in compaction.file_stats(small, ["store_id", "file_index"]).withColumn("level_or_tier", (F.col("file_index") % 3).cast("int")).collect():
+        stores.setdefault(r["store_id"], []).append(policies.File(r["file_index"], r["level_or_tier"], r["size_bytes"], bytes(r["min_key"]), bytes(r["max_key"]), r["min_tsn"], r["max_tsn"], r["head_entries"], r["total_entries"]))
+    found = [(s, plan(files)) for s, files in sorted(stores.items())]
+    rows = [(s, m.trigger, m.output, m.keep_tombstones, ",".join(map(str, sorted(m.files)))) for s, m in found if m]
+    return spark.createDataFrame(rows, "store_id string, trigger string, output int, keep_tombstones boolean, files string")
+
+
+_LEVELS = f"{_FS}, l AS (SELECT *, CAST(file_index % 3 AS INT) AS level FROM s)".replace("tsn // 1000", "tsn // 100")
+_LIST = "string_agg(CAST(file_index AS VARCHAR), ',' ORDER BY file_index) AS files"
+
+
+@query(f"{_LEVELS} SELECT store_id, 'FULL_COMPACTION' AS trigger, max(level) AS output, false AS keep_tombstones, {_LIST} FROM l GROUP BY store_id")
+def merge_full(spark, sf):
+    return _merges(spark, sf, policies.full)
+
+
+@query(f"""{_LEVELS}, z AS (SELECT store_id, min(min_key) AS lo, max(max_key) AS hi FROM l WHERE level = 0 GROUP BY store_id)
+SELECT store_id, 'LEVELED_LEVEL0' AS trigger, CAST(1 AS INT) AS output, true AS keep_tombstones, {_LIST} FROM l JOIN z USING (store_id) WHERE level = 0 OR level = 1 AND min_key <= hi AND lo <= max_key GROUP BY store_id""")
+def merge_leveled_level0(spark, sf):
+    return _merges(spark, sf, lambda files: policies.leveled(files, LeveledStrategy(level0_trigger=1, max_levels=3)))
+
+
+@query(f"""{_LEVELS}, p AS (SELECT store_id, file_index AS chosen, min_key AS lo, max_key AS hi FROM (SELECT *, row_number() OVER (PARTITION BY store_id ORDER BY min_tsn, file_index) AS rn FROM l WHERE level = 1) WHERE rn = 1)
+SELECT store_id, 'LEVELED_TARGET_SIZE_RATIO' AS trigger, CAST(2 AS INT) AS output, false AS keep_tombstones, {_LIST} FROM l JOIN p USING (store_id) WHERE file_index = chosen OR level = 2 AND min_key <= hi AND lo <= max_key GROUP BY store_id""")
+def merge_leveled_ratio(spark, sf):
+    """Level 1 is over its target, as levels are to grow by a thousand."""
+    return _merges(spark, sf, lambda files: policies.leveled(files, LeveledStrategy(level0_trigger=99_999, max_levels=3, base_bytes=1, level_size_multiplier=1000.0, file_selection="OLDEST_SMALLEST_SEQUENCE_FIRST")))
+
+
+@query(f"{_LEVELS} SELECT store_id, 'TIER_SPACE_AMPLIFICATION' AS trigger, max(level) AS output, false AS keep_tombstones, {_LIST} FROM l GROUP BY store_id")
+def merge_tiered_space(spark, sf):
+    return _merges(spark, sf, lambda files: policies.tiered(files, TieredStrategy(number_of_tiers=1, max_space_amplification=0.01)))
+
+
+@query(f"""{_LEVELS}, t AS (SELECT store_id, level, sum(size_bytes) AS size FROM l GROUP BY ALL),
+r AS (SELECT *, sum(size) OVER (PARTITION BY store_id ORDER BY level ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS below FROM t),
+g AS (SELECT store_id, min(level) AS goal FROM r WHERE size / below > 0.1 GROUP BY store_id), m AS (SELECT store_id, max(level) AS last FROM t GROUP BY store_id)
+SELECT store_id, 'TIER_SIZE_RATIO' AS trigger, max(goal) AS output, max(goal) < max(last) AS keep_tombstones, {_LIST} FROM l JOIN g USING (store_id) JOIN m USING (store_id) WHERE level <= goal GROUP BY store_id""")
+def merge_tiered_ratio(spark, sf):
+    return _merges(spark, sf, lambda files: policies.tiered(files, TieredStrategy(number_of_tiers=1, max_space_amplification=1e9, size_ratio=0.1)))
+
+
+@query(f"{_LEVELS} SELECT store_id, 'TIER_HEIGHT_REDUCTION' AS trigger, CAST(1 AS INT) AS output, true AS keep_tombstones, {_LIST} FROM l WHERE level < 2 GROUP BY store_id")
+def merge_tiered_height(spark, sf):
+    return _merges(spark, sf, lambda files: policies.tiered(files, TieredStrategy(number_of_tiers=3, max_space_amplification=1e9, size_ratio=1e9)))
