@@ -85,6 +85,17 @@ def contains_byte(b: Column, byte: int) -> Column:
     return F.array_contains(_pairs(b), f"{byte:02X}")
 
 
+def contains_all(b: Column, wanted: bytes) -> Column:
+    """Whether each of the bytes occurs."""
+    return F.size(F.array_except(F.array(*[F.lit(f"{x:02X}") for x in set(wanted)]) if wanted else F.array().cast("array<string>"), _pairs(b))) == 0
+
+
+def random_bytes(size: int, seed: int | None = None) -> Column:
+    """Random bytes, not the same in a task that runs again."""
+    one = lambda i: F.lpad(F.hex(F.floor(F.rand(None if seed is None else seed + i) * 256).cast("bigint")), 2, "0")
+    return F.unhex(F.concat(*[one(i) for i in range(size)])) if size else F.lit(b"")
+
+
 def _pairs(b: Column) -> Column:
     return F.regexp_extract_all(F.hex(b), F.lit(".."), F.lit(0))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kvstrata.functions.bytesfn import has_prefix
+from kvstrata.functions.ranges import range_of
 from kvstrata.operators.versioning import as_of, latest
 
 
@@ -81,17 +82,6 @@ def seek(rows: DataFrame, probe, mode: str, key: str = "key") -> DataFrame:
     return first_entry(found, key) if least else last_entry(found, key)
 
 
-def range_of(value: Column, cuts: list) -> Column:
-    """How many of the sorted ``cuts`` are at most ``value``, by binary search: the
-    expression has one literal array and stays flat however many cuts there are."""
-    if not cuts:
-        return F.lit(0)
-    steps = [1 << i for i in range(len(cuts).bit_length() - 1, -1, -1)]
-    table = F.array(*[F.lit(c) for c in cuts])
-    fits = lambda at, step: (at + step <= len(cuts)) & (F.get(table, at + step - 1) <= value)
-    return F.aggregate(F.array(*[F.lit(x) for x in steps]), F.lit(0), lambda at, step: F.when(fits(at, step), at + step).otherwise(at))
-
-
 def range_cuts(keys: DataFrame, n: int) -> list:
     """Up to ``n`` - 1 values of the one column that cut the rows about evenly, from a bounded
     sample."""

@@ -3,17 +3,21 @@
 All functions take and return DataFrames with the columns of ``commands`` (or, for layers,
 any key columns and a value). The latest version of a key is found by an aggregate that is
 combined before the shuffle (``max_by``), so a key with a third of all versions sends one row
-for each task, and no window needs to sort a key's versions.
+for each task. Where it matters which version follows which (time travel, dropping history),
+a window sorts the versions of each key, which spills but lies in one task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
+from itertools import islice
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kvstrata.functions.ranges import range_of
+
 KEY = ["store_id", "key"]
 
 
@@ -36,16 +40,23 @@ def as_of(commands: DataFrame, tsn: int | None = None, include_deletions: bool =
     return out if include_deletions else drop_tombstones(out)
 
 
-def time_travel(commands: DataFrame, snapshots: DataFrame) -> DataFrame:
+def time_travel(commands: DataFrame, snapshots: DataFrame, block: int = 1000) -> DataFrame:
     """Visible rows at each of many versions (column ``snapshot``).
 
-    One pass finds for each command the version that ends it; a snapshot sees the command
-    whose interval it lies in. Snapshots are a list that somebody asked for, so they go
-    along with each task; the result has one row for each key and snapshot."""
+    One pass finds for each command the version that ends it, and the asked snapshots that
+    see it: a slice of their sorted list, found by binary search. The list, which somebody
+    asked for, is taken in blocks of ``block``; the result has a row for each key and
+    snapshot, so blocks cost nothing beyond it."""
     ends = F.lead("tsn").over(Window.partitionBy(*KEY).orderBy("tsn"))
     spans = commands.withColumn("__end", ends).where(F.col("op") == "PUT")
-    inside = (F.col("snapshot") >= F.col("tsn")) & (F.col("__end").isNull() | (F.col("snapshot") < F.col("__end")))
-    return spans.join(snapshots.select("snapshot"), inside).drop("__end")
+    out, asked = None, snapshots.where("snapshot IS NOT NULL").select("snapshot").distinct().orderBy("snapshot").toLocalIterator()
+    while cuts := [r[0] for r in islice(asked, block)]:
+        first = range_of(F.col("tsn") - 1, cuts)
+        last = F.when(F.col("__end").isNull(), len(cuts)).otherwise(range_of(F.col("__end") - 1, cuts))
+        table = F.array(*[F.lit(c).cast("bigint") for c in cuts])
+        seen = spans.withColumn("snapshot", F.explode(F.slice(table, first + 1, last - first)))
+        out = seen if out is None else out.unionByName(seen)
+    return (spans.withColumn("snapshot", F.lit(None).cast("bigint")).where("false") if out is None else out).drop("__end")
 
 
 def overlay(layers: list[DataFrame], keys: list[str], value: str = "value") -> DataFrame:

@@ -240,3 +240,19 @@ def test_running_total_by_ranges(spark):
     for parts in (1, 7, 300):
         out = {x.t: x.before for x in reads.running_total(df, F.col("n"), ["g"], ["k", "t"], "before", parts).collect()}
         assert out == {t: sum(m for h, _, u, m in rows if h == g and u < t) for g, _, t, _ in rows}
+
+
+def test_time_travel_in_blocks(spark):
+    r = random.Random(8)
+    c = log(spark, *{(k, t): (k, t, None if r.random() < 0.3 else str(t)) for k, t in ((f"k{r.randrange(9)}", r.randrange(1, 60)) for _ in range(200))}.values())
+    asked = [-3, 0, 5, 5, 17, 18, 40, 59, 1000]
+    snapshots = spark.createDataFrame([(t,) for t in asked] + [(None,)], "snapshot bigint")
+    for block in (2, 1000):
+        got = sorted((x.snapshot, x.key.decode(), x.tsn) for x in v.time_travel(c, snapshots, block).collect())
+        assert got == sorted((t, k, n) for t in set(asked) for k, n, _ in seen(v.as_of(c, t)))
+    assert v.time_travel(c, snapshots.where("false")).count() == 0
+
+
+def test_more_bytes(spark):
+    row = spark.createDataFrame([(b"\x01\x02\xff",)], "b binary").select(b.contains_all(F.col("b"), b"\xff\x01").alias("x"), b.contains_all(F.col("b"), b"\x03\x01").alias("y"), b.contains_all(F.col("b"), b"").alias("z"), b.random_bytes(7, 1).alias("r")).first()
+    assert row.x and not row.y and row.z and len(row.r) == 7
