@@ -6,20 +6,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kvstrata.errors import FlushException
+from kvstrata.functions.bytesfn import command_size
 from kvstrata.schema import COMMANDS
 
 CODECS = ("none", "gzip", "snappy", "lz4", "zstd")
 
 
-def write_run(commands: DataFrame, path: str, *, compression: str = "gzip", block_bytes: int = 8 << 20, bloom: bool = True, partitions: int | None = None) -> None:
+def write_run(commands: DataFrame, path: str, *, compression: str = "gzip", target_bytes: int | None = None, block_bytes: int = 8 << 20, bloom: bool = True, partitions: int | None = None) -> None:
     """Write a sorted run: ranges of keys to files, each sorted by key and version, so that
-    row-group statistics prune reads by key. A bloom filter on the key serves point reads."""
+    row-group statistics prune reads by key. A bloom filter on the key serves point reads.
+    ``target_bytes`` splits files by the rows of mean size, which is measured, that make it."""
     if compression not in CODECS:
         raise FlushException(f"unknown codec {compression}")
     ranged = commands.repartitionByRange(partitions, "store_id", "key") if partitions else commands.repartitionByRange("store_id", "key")
     out = ranged.sortWithinPartitions("store_id", "key", "tsn").write.option("compression", compression).option("parquet.block.size", block_bytes)
     if bloom:
         out = out.option("parquet.bloom.filter.enabled#key", "true").option("parquet.bloom.filter.fpp#key", "0.01")
+    if target_bytes:
+        mean = commands.agg(F.avg(command_size(F.col("key"), F.col("op"), F.col("value")))).first()[0]
+        out = out.option("maxRecordsPerFile", max(1, int(target_bytes // (mean or 1))))
     out.parquet(path)
 
 
