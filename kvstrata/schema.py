@@ -130,6 +130,8 @@ class Settings:
     lock_timeout_s: float = 10.0
     checkpoint_operations: int = 1000
     statistics: bool = False
+    manifest_log: str = "auto"  # "file": one local file under a lock; "objects": a file a line
+    orphan_age_s: float = 86_400.0  # with "objects", files that no line names go when as old as this
 
     def with_(self, **changes) -> Settings:
         return replace(self, **changes)
