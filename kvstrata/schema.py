@@ -130,6 +130,13 @@ class Settings:
     lock_timeout_s: float = 10.0
     checkpoint_operations: int = 1000
     statistics: bool = False
+    maintenance_threads: int = 4
+    minor_compaction_cron: str | None = "0 */10 * * * *"
+    major_compaction_cron: str | None = "0 0 2 * * 0"
+    checkpoint_cron: str | None = "0 */10 * * * *"
+    garbage_cron: str | None = "0 */10 * * * *"
+    flush_bytes: int | None = None  # unflushed bytes from which a commit flushes; None: never
+    checkpoint_on_close: bool = False
     manifest_log: str = "auto"  # "file": one local file under a lock; "objects": a file a line
     orphan_age_s: float = 86_400.0  # with "objects", files that no line names go when as old as this
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kvstrata.errors import WriteAheadLogCorruptedException
+from kvstrata.functions.hashes import murmur3
 from kvstrata.operators.reads import neighbours, seek_many
 
 
@@ -61,14 +62,17 @@ def gaps(files: DataFrame) -> DataFrame:
     return found.where("found IS NOT NULL").select(F.col("probe").alias("seq"), F.col("found").alias("previous"))
 
 
-def with_checksum(wal: DataFrame) -> DataFrame:
-    """Adds ``checksum`` of each entry's content."""
-    return wal.withColumn("checksum", F.crc32(_content()))
+CHECKSUMS = {"crc32": F.crc32, "murmur3": murmur3}
 
 
-def damaged(wal: DataFrame) -> DataFrame:
+def with_checksum(wal: DataFrame, kind: str = "crc32") -> DataFrame:
+    """Adds ``checksum`` of each entry's content, of one of the ``CHECKSUMS``."""
+    return wal.withColumn("checksum", CHECKSUMS[kind](_content()))
+
+
+def damaged(wal: DataFrame, kind: str = "crc32") -> DataFrame:
     """Entries whose ``checksum`` isn't that of their content."""
-    return wal.where(F.col("checksum") != F.crc32(_content()))
+    return wal.where(F.col("checksum") != CHECKSUMS[kind](_content()))
 
 
 def _content():

@@ -10,7 +10,7 @@ from kvstrata.functions import bytesfn as b
 from kvstrata.operators import compaction, reads
 from kvstrata.operators import versioning as v
 from kvstrata.plans import policies as p
-from kvstrata.schema import BinarySize, LeveledStrategy, StoreId, TieredStrategy
+from kvstrata.schema import WAL, BinarySize, LeveledStrategy, StoreId, TieredStrategy
 from kvstrata.sources import manifest as mf
 from kvstrata.sources import runs, wal
 
@@ -257,3 +257,84 @@ def test_time_travel_in_blocks(spark):
 def test_more_bytes(spark):
     row = spark.createDataFrame([(b"\x01\x02\xff",)], "b binary").select(b.contains_all(F.col("b"), b"\xff\x01").alias("x"), b.contains_all(F.col("b"), b"\x03\x01").alias("y"), b.contains_all(F.col("b"), b"").alias("z"), b.random_bytes(7, 1).alias("r")).first()
     assert row.x and not row.y and row.z and len(row.r) == 7
+
+
+def _murmur3(data: bytes, seed: int = 0) -> int:
+    m, h, n = 0xFFFFFFFF, seed & 0xFFFFFFFF, len(data) // 4 * 4
+    for i in range(0, len(data), 4):
+        k = int.from_bytes(data[i : i + 4], "little") * 0xCC9E2D51 & m
+        h ^= ((k << 15 | k >> 17) & m) * 0x1B873593 & m
+        if i < n:
+            h = ((h << 13 | h >> 19) & m) * 5 + 0xE6546B64 & m
+    h ^= len(data)
+    h = (h ^ h >> 16) * 0x85EBCA6B & m
+    h = (h ^ h >> 13) * 0xC2B2AE35 & m
+    h ^= h >> 16
+    return h - (1 << 32) if h >> 31 else h
+
+
+def test_murmur3(spark):
+    from kvstrata.functions.hashes import murmur3
+
+    assert (_murmur3(b""), _murmur3(b"hello"), _murmur3(b"The quick brown fox jumps over the lazy dog")) == (0, 0x248BFA47, 0x2E4FF723)  # published values
+    raw = [None, b"", b"\xff" * 1000, *(bytes((i * 37 + j * 91) % 256 for j in range(i % 23)) for i in range(100))]
+    rows = spark.createDataFrame([(r,) for r in raw], "b binary").select("b", murmur3(F.col("b")).alias("h"), murmur3(F.col("b"), -7).alias("seeded")).collect()
+    for r in rows:
+        assert (r.h, r.seeded) == ((None, None) if r.b is None else (_murmur3(bytes(r.b)), _murmur3(bytes(r.b), -7)))
+
+
+def test_compressors(spark):
+    from kvstrata.functions import codecs
+
+    raw = [None, b"", b"a", b"abc" * 5000, bytes(range(256))]
+    df = spark.createDataFrame([(r,) for r in raw], "b binary")
+    assert {"none", "gzip", "snappy", "lz4", "zstd"} <= set(codecs.names())
+    for name in ("none", "gzip", "snappy", "lz4", "zstd"):
+        packed = df.select("b", codecs.compress(F.col("b"), name).alias("c"))
+        for r in packed.select("b", F.octet_length("c").alias("n"), codecs.decompress(F.col("c"), name).alias("back")).collect():
+            assert r.back == r.b and (name == "none" or r.b is None or len(r.b) < 9999 or r.n < 1000)
+    with pytest.raises(ValueError):
+        codecs.register("gzip", bytes, bytes)
+    with pytest.raises(ValueError):
+        codecs.compress(F.col("b"), "brotli9")
+    codecs.register("reversed", lambda b: b[::-1], lambda b: b[::-1])
+    try:
+        assert [r[0] for r in df.select(codecs.compress(F.col("b"), "reversed")).collect()] == [r and r[::-1] for r in raw]
+    finally:
+        codecs._REGISTERED.pop("reversed")
+
+
+def test_doubles_as_bytes(spark):
+    import struct
+
+    from kvstrata.functions import codecs
+
+    numbers = [None, 0.0, -0.0, -1.5, 5e-324, 1e300, float("inf")]
+    df = spark.createDataFrame([(x,) for x in numbers], "d double").withColumn("b", codecs.little_endian_double(F.col("d")))
+    for r in df.select("d", "b", codecs.double_from_little_endian(F.col("b")).alias("back")).collect():
+        assert (r.b, r.back) == ((None, None) if r.d is None else (struct.pack("<d", r.d), r.d))
+    assert spark.createDataFrame([(b"short",)], "b binary").select(codecs.double_from_little_endian(F.col("b"))).first()[0] is None
+
+
+def test_bloom_filters(spark):
+    from kvstrata.operators.bloom import bloom_filters, might_contain
+
+    key = F.encode(F.col("id").cast("string"), "UTF-8").alias("key")
+    rows = spark.range(20000).select((F.col("id") % 3).alias("file"), key).union(spark.createDataFrame([(1, None), (1, b"0"), (7, b"0")], "file bigint, key binary"))
+    files = rows.groupBy("file").agg(F.count("*").alias("total_entries"))
+    filters = bloom_filters(rows, files, ["file"])
+    sizes = {r.file: r.level for r in filters.select("file", "level").distinct().collect()}
+    assert sizes[0] > 0 and sizes[7] == 0
+    found = might_contain(filters, spark.range(60000).select(key), ["file"]).select("file", F.decode("key", "UTF-8").cast("int").alias("k")).collect()
+    got = {(r.file, r.k) for r in found}
+    true = {(i % 3, i) for i in range(20000)} | {(1, 0), (7, 0)}
+    assert len(found) == len(got) and true <= got and len(got - true) < 0.01 * 60000 * 4
+    nothing = spark.createDataFrame([], "key binary")
+    assert might_contain(filters, nothing, ["file"]).isEmpty() and might_contain(bloom_filters(rows.limit(0), files, ["file"]), spark.range(5).select(key), ["file"]).isEmpty()
+
+
+def test_entries_with_murmur3_checksums(spark):
+    log = spark.createDataFrame([(1, "START", 5, None, None, None, None), (2, "COMMAND", 5, "s", b"k", "PUT", b"v"), (3, "COMMIT", 5, None, None, None, None)], WAL)
+    marked = wal.with_checksum(log, "murmur3")
+    assert wal.damaged(marked, "murmur3").isEmpty()
+    assert [r.seq for r in wal.damaged(marked.withColumn("value", F.when(F.col("seq") == 2, F.lit(b"w")).otherwise(F.col("value"))), "murmur3").collect()] == [2]
