@@ -95,6 +95,13 @@ def ranges_wanted(rows: DataFrame, parts: int | None) -> int:
     return parts or max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
+def _same_range(a: Column, b: Column) -> Column:
+    """Equal numbers of ranges. They are never null, but a plain equality would let the optimizer
+    put the expression behind one number in the place of the other, on a side of the join
+    that lacks the key it reads."""
+    return a.eqNullSafe(b)
+
+
 def seek_many(rows: DataFrame, probes: DataFrame, mode: str, key: str = "key", probe: str = "probe", parts: int | None = None) -> DataFrame:
     """For each probe the nearest key (null if there is none), as one merge of both sides.
 
@@ -116,8 +123,8 @@ def seek_many(rows: DataFrame, probes: DataFrame, mode: str, key: str = "key", p
     local = both.withColumn("near", pick("k").over(w)).where(F.col("k").isNull()).select("x", "b", "near")
     edges = both.groupBy("b").agg(pick("k").alias("e"))
     outward = Window.orderBy(F.desc("b") if least else F.asc("b")).rowsBetween(Window.unboundedPreceding, -1)
-    beyond = edges.select("b", pick("e").over(outward).alias("beyond"))
-    return local.join(beyond, "b", "left").select(F.col("x").alias(probe), F.coalesce("near", "beyond").alias("found"))
+    beyond = edges.select(F.col("b").alias("eb"), pick("e").over(outward).alias("beyond"))
+    return local.join(beyond, _same_range(F.col("b"), F.col("eb")), "left").select(F.col("x").alias(probe), F.coalesce("near", "beyond").alias("found"))
 
 
 def neighbours(rows: DataFrame, key: str = "key", within: list[str] | None = None, parts: int | None = None) -> DataFrame:
@@ -133,7 +140,7 @@ def neighbours(rows: DataFrame, key: str = "key", within: list[str] | None = Non
     edges = cut.groupBy(*group, "__b").agg(F.min(F.struct(key)).alias("lo"), F.max(F.struct(key)).alias("hi"))
     order = Window.partitionBy(*group).orderBy("__b")
     edges = edges.select(*[F.col(c).alias(n) for c, n in zip(group, names, strict=True)], F.col("__b").alias("__eb"), F.lag("hi").over(order)[key].alias("__before"), F.lead("lo").over(order)[key].alias("__after"))
-    same = F.col("__b") == F.col("__eb")
+    same = _same_range(F.col("__b"), F.col("__eb"))
     for c, n in zip(group, names, strict=True):
         same &= F.col(c).eqNullSafe(F.col(n))
     out = local.join(edges, same, "left")
@@ -152,7 +159,7 @@ def running_total(rows: DataFrame, amount: Column, group: list[str], order: list
     sums = cut.groupBy(*group, "__b").agg(F.sum("__a").alias("s"))
     before = F.coalesce(F.sum("s").over(Window.partitionBy(*group).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     sums = sums.select(*[F.col(c).alias(n) for c, n in zip(group, names, strict=True)], F.col("__b").alias("__eb"), before.alias("__before"))
-    same = F.col("__b") == F.col("__eb")
+    same = _same_range(F.col("__b"), F.col("__eb"))
     for c, n in zip(group, names, strict=True):
         same &= F.col(c).eqNullSafe(F.col(n))
     return local.join(sums, same, "left").select(*rows.columns, (F.col("__local") + F.col("__before")).alias(name))

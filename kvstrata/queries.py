@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from kvstrata import stats
 from kvstrata.functions import bytesfn as b
-from kvstrata.operators import compaction, reads
+from kvstrata.operators import bloom, compaction, reads
 from kvstrata.operators import versioning as v
 from kvstrata.plans import policies
 from kvstrata.schema import LeveledStrategy, TieredStrategy
@@ -329,6 +329,17 @@ def may_contain(spark, sf):
     return compaction.may_contain(compaction.file_stats(_filed(spark, sf), ["store_id", "file_index"]), _key(50), S).select("store_id", "file_index")
 
 
+@query(f"WITH {C} SELECT DISTINCT store_id, tsn // 1000 AS file_index, key FROM c WHERE key IN (SELECT '8' || lpad(lower(to_hex(c_custkey)), 15, '0') FROM customer)")
+def bloom_lookup(spark, sf):
+    """Which files hold which of the customers' keys: only files whose filters let a key pass
+    are searched for it."""
+    by = ["store_id", "file_index"]
+    filed = _filed(spark, sf)
+    filters = bloom.bloom_filters(filed, compaction.file_stats(filed, by), by)
+    asked = table(spark, sf, "customer").select(b.stable_long(F.col("c_custkey")).alias("key"))
+    return shown(bloom.might_contain(filters, asked, by).join(filed, [*by, "key"], "left_semi"))
+
+
 def _catalog(spark, sf) -> DataFrame:
     return compaction.file_stats(_filed(spark, sf), ["store_id", "file_index"]).withColumn("level_or_tier", (F.col("file_index") % 3).cast("int"))
 

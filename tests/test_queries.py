@@ -1,5 +1,7 @@
 """Each query against its SQL, and plans."""
 
+import re
+
 import duckdb
 import pytest
 
@@ -57,3 +59,9 @@ def test_split_exact_follows_the_rolling_rule(spark, small):
                 part, size = part + 1, 0
             assert r.part == part
             size += 21 + (4 + len(r.value) if r.op == "PUT" else 0)
+
+
+@pytest.mark.parametrize("name", ["block_stats", "split_by_floor", "neighbours", "seek_floor", "seek_ceiling"])
+def test_plans_read_only_what_their_inputs_have(spark, small, name):
+    """The optimizer must not move a range's expression to a side of a join without its key."""
+    assert not [line for line in plan_of(queries.QUERIES[name](spark, small)).splitlines() if re.match(r"[\s:+\-*()\d]*!", line)]
