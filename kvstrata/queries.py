@@ -335,9 +335,10 @@ def bloom_lookup(spark, sf):
     are searched for it."""
     by = ["store_id", "file_index"]
     filed = _filed(spark, sf)
-    filters = bloom.bloom_filters(filed, compaction.file_stats(filed, by), by)
+    files = compaction.file_stats(filed, by)
+    filters = bloom.bloom_filters(filed, files, by)
     asked = table(spark, sf, "customer").select(b.stable_long(F.col("c_custkey")).alias("key"))
-    return shown(bloom.might_contain(filters, asked, by).join(filed, [*by, "key"], "left_semi"))
+    return shown(bloom.might_contain(filters, asked, by, files=files).join(filed, [*by, "key"], "left_semi"))
 
 
 def _catalog(spark, sf) -> DataFrame:

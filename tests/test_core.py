@@ -333,6 +333,46 @@ def test_bloom_filters(spark):
     assert might_contain(filters, nothing, ["file"]).isEmpty() and might_contain(bloom_filters(rows.limit(0), files, ["file"]), spark.range(5).select(key), ["file"]).isEmpty()
 
 
+def test_bloom_lookup_joins_no_key_with_each_file(spark):
+    """Keys and files of one block all meet: a join that tests bits would do so pair by pair."""
+    from kvstrata.operators.bloom import bloom_filters, might_contain
+
+    key = F.encode((F.col("id") * 577 % 6000).cast("string"), "UTF-8").alias("key")
+    rows = spark.range(5000).select((F.col("id") % 500).alias("file"), key)
+    files = rows.groupBy("file").agg(F.count("*").alias("total_entries"))
+    found = might_contain(bloom_filters(rows, files, ["file"]), spark.range(3000).select(key), ["file"])
+    got = found.collect()
+    assert len(got) == len(set(got)) and set(rows.join(spark.range(3000).select(key), "key", "left_semi").select("file", "key").collect()) <= set(got)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Join" in line and "bits" in line]
+
+
+def test_bloom_lookup_in_groups_and_parts(spark, monkeypatch):
+    """Files of several sizes in many groups, keys in several parts: the same as each key
+    tested in each file by itself, less files whose range leaves the key out."""
+    from kvstrata.operators import bloom
+
+    monkeypatch.setattr(bloom, "GROUP_FILES", 70)
+    monkeypatch.setattr(bloom, "PART_KEYS", 300)
+    key = F.encode(F.lpad(F.col("id").cast("string"), 5, "0"), "UTF-8").alias("key")
+    small = spark.range(6000).select(F.concat(F.lit("s"), F.floor(F.col("id") / 40)).alias("file"), F.lit(1).alias("n"), key)
+    rows = small.union(spark.range(40000).select(F.lit("large"), (F.col("id") % 2).cast("int"), key)).union(spark.createDataFrame([("empty", 1, None)], small.schema))
+    files = rows.groupBy("file", "n").agg(F.count("*").alias("total_entries"), F.min("key").alias("min_key"), F.max("key").alias("max_key"))
+    by, fpp = ["file", "n"], 0.3
+    filters = bloom.bloom_filters(rows, files, by, fpp)
+    probes = spark.range(0, 12000, 3).select(key).union(spark.createDataFrame([(None,)], "key binary"))
+    tested = filters.crossJoin(probes.where("key IS NOT NULL")).where(F.col("block") == bloom._block())
+    for spot in bloom._spots(bloom._hashes(fpp)):
+        tested = tested.where(F.ascii(F.substring(F.lpad(F.conv(F.hex(F.substring("bits", F.floor(spot / 8).cast("int") + 1, F.lit(1))), 16, 2), 8, "0"), 8 - (spot % 8).cast("int"), F.lit(1))) == 49)
+    expected = {(r.file, r.n, bytes(r.key)) for r in tested.select(*by, "key").collect()}
+    open_ = [(r.file, r.n, bytes(r.key)) for r in bloom.might_contain(filters, probes, by, fpp).collect()]
+    ranged = [(r.file, r.n, bytes(r.key)) for r in bloom.might_contain(filters, probes, by, fpp, files).collect()]
+    span = {(r.file, r.n): (r.min_key, r.max_key) for r in files.where("min_key IS NOT NULL").collect()}
+    assert len({x[0] for x in expected}) == 151 and {r.level for r in filters.select("level").distinct().collect()} > {0}
+    assert len(open_) == len(set(open_)) and set(open_) == expected
+    assert len(ranged) == len(set(ranged)) and set(ranged) == {x for x in expected if span[x[:2]][0] <= x[2] <= span[x[:2]][1]} != expected
+
+
 def test_entries_with_murmur3_checksums(spark):
     log = spark.createDataFrame([(1, "START", 5, None, None, None, None), (2, "COMMAND", 5, "s", b"k", "PUT", b"v"), (3, "COMMIT", 5, None, None, None, None)], WAL)
     marked = wal.with_checksum(log, "murmur3")
